@@ -30,8 +30,9 @@ def list_text(items: Column) -> Column:
     """An array of strings the way a Python list of strings prints."""
 
     def quoted(s: Column) -> Column:
-        slashes = F.replace(s, F.lit("\\"), F.lit("\\\\"))
-        lines = F.replace(slashes, F.lit("\n"), F.lit("\\n"))
+        lines = F.replace(s, F.lit("\\"), F.lit("\\\\"))
+        for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            lines = F.replace(lines, F.lit(raw), F.lit(shown))
         plain = F.contains(s, F.lit("'")) & ~F.contains(s, F.lit('"'))
         return F.when(plain, F.concat(F.lit('"'), lines, F.lit('"'))).otherwise(
             F.concat(F.lit("'"), F.replace(lines, F.lit("'"), F.lit("\\'")), F.lit("'"))

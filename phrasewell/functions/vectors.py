@@ -68,7 +68,7 @@ def mean_vector(vectors: Column) -> Column:
 
 def median_vector(vectors: Column) -> Column:
     """Element-wise median; an even count takes the mean of the middle two."""
-    ordered = _per_dimension(vectors, F.array_sort)
+    ordered = _per_dimension(vectors, lambda xs: F.array_sort(xs))
     return F.transform(
         ordered,
         lambda xs: (

@@ -10,8 +10,9 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from phrasewell.functions.text import response_text
+from phrasewell.functions.text import response_text, text_or_missing
 from phrasewell.operators.prompts import (
     TAGGED,
     candidate_fanout,
@@ -27,8 +28,6 @@ Encoder = Callable[[list[str]], list[Iterable[float]]]
 def _attach(
     df: DataFrame, inputs: list[str], out: str, kind: T.DataType, factory: Callable[[], Callable]
 ) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_type
-
     schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
     arrow_kind = to_arrow_type(kind)
 
@@ -166,8 +165,6 @@ def encode_text(
     concurrency: int | None = None,
 ) -> DataFrame:
     """Add the vector of each text; a missing text is encoded as its placeholder."""
-    from phrasewell.functions.text import text_or_missing
-
     asked = df.withColumn("_text", text_or_missing(F.col(text)))
     if concurrency:
         asked = asked.repartition(concurrency)
@@ -182,7 +179,7 @@ def encode_distinct(
     The encoded side holds a text once, so a text that fills a third of the table skews only the
     other side, which the adaptive join splits.
     """
-    keyed = df.withColumn("_key", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    keyed = df.withColumn("_key", F.sha2(text_or_missing(F.col(text)), 256))
     once = keyed.select("_key", text).dropDuplicates(["_key"])
     vectors = encode_text(once, text, out, encoder, concurrency).select("_key", out)
     return keyed.join(vectors, "_key", "left").drop("_key")
