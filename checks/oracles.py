@@ -92,9 +92,17 @@ BLEU = """sides AS (
   SELECT doc_id, 0 AS side, string_split(response, ' ') AS w FROM mix
   UNION ALL SELECT doc_id, 1, string_split(first, ' ') FROM mix
   UNION ALL SELECT doc_id, 2, string_split(second, ' ') FROM mix
+), words AS (
+  SELECT doc_id, side, unnest(w) AS tok, generate_subscripts(w, 1) AS pos, len(w) AS size FROM sides
+), ahead AS (
+  SELECT doc_id, side, pos, size, tok AS g1, tok || ' ' || lead(tok, 1) OVER o AS g2,
+         tok || ' ' || lead(tok, 1) OVER o || ' ' || lead(tok, 2) OVER o AS g3,
+         tok || ' ' || lead(tok, 1) OVER o || ' ' || lead(tok, 2) OVER o || ' ' || lead(tok, 3) OVER o AS g4
+  FROM words WINDOW o AS (PARTITION BY doc_id, side ORDER BY pos)
 ), grams AS (
-  SELECT doc_id, side, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram
-  FROM sides, (SELECT unnest([1, 2, 3, 4]) AS n)
+  SELECT doc_id, side, 1 AS n, g1 AS gram FROM ahead UNION ALL SELECT doc_id, side, 2, g2 FROM ahead WHERE pos + 1 <= size
+  UNION ALL SELECT doc_id, side, 3, g3 FROM ahead WHERE pos + 2 <= size
+  UNION ALL SELECT doc_id, side, 4, g4 FROM ahead WHERE pos + 3 <= size
 ), tally AS (
   SELECT doc_id, n, gram, count(*) FILTER (side = 0) AS h, count(*) FILTER (side = 1) AS r1, count(*) FILTER (side = 2) AS r2
   FROM grams GROUP BY ALL

@@ -49,10 +49,11 @@ def bleu_counts(
             )
         ).alias("s"),
     ).select(key, "s.side", tokens(F.col("s.text")).alias("words"))
-    grams = sides.select(
+    # The length is taken here, so that the exploded rows do not carry the array along.
+    grams = sides.select(key, "side", "words", F.size("words").alias("length")).select(
         key,
         "side",
-        F.size("words").alias("length"),
+        "length",
         F.explode(F.flatten(F.array(*[_numbered(F.col("words"), n) for n in range(1, max_n + 1)]))).alias("g"),
     ).select(key, "side", "length", "g.n", "g.gram")
     counted = grams.groupBy(key, "n", "gram").agg(
