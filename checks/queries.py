@@ -323,7 +323,7 @@ def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.tokens(F.col("text"))))
     token_rows = words.select("doc_id", F.col("pos"), (F.length("col") * 7 % 500).cast("bigint").alias("vec_id"))
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    pooled = C.mean_pool(token_rows, vectors, "doc_id", "vec_id", "pos", max_tokens=512)
+    pooled = C.mean_pool(token_rows, vectors, "doc_id", "vec_id", "pos", views.DIMS)
     return by_dim(pooled, "vector", "doc_id")
 
 
@@ -583,6 +583,7 @@ def assess_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     assessed = assess(
         rows, new_path(spark, "assess"), views.echo_generator(), views.shortest_critic(),
         views.hashing_encoder(), views.hashing_encoder(32), k=4, rounds=1, mode="instantiated",
+        concurrency=8,
     )
     kept = results(assessed).drop("query_id")
     return kept.select(*[rounded(c, 5) if c in SCORES else F.col(c) for c in kept.columns])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phrasewell.functions import fixed_values as fixed, vectors as V
 from phrasewell.functions.text import tokens
-from phrasewell.operators.ranges import BUCKET, with_bucket
+from phrasewell.operators.ranges import BUCKET, spread, with_bucket
 from phrasewell.session import fits
 
 SCORE_DIGITS = 9
@@ -24,7 +24,7 @@ def hashed_embedding(df: DataFrame, key: str, text: str, dims: int = 64) -> Data
 
     Texts are spread by key first, so the exploded tokens are counted without another shuffle.
     """
-    words = df.select(key, F.col(text).alias("_text")).repartition(key)
+    words = spread(df.select(key, F.col(text).alias("_text")), key)
     token = words.select(key, F.explode(tokens(F.coalesce("_text", F.lit("")))).alias("token"))
     bucket = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("bigint") % dims
     counted = token.groupBy(key, bucket.cast("int").alias("dim")).agg(
@@ -45,23 +45,26 @@ def mean_pool(
     key: str,
     token: str,
     position: str,
+    dims: int,
     max_tokens: int = fixed.MAX_TOKENS,
     broadcast_rows: int = 100_000,
 ) -> DataFrame:
-    """Mean of the vectors of the first ``max_tokens`` tokens of each text.
+    """Mean of the vectors of the first ``max_tokens`` tokens of each text, counted from 0.
 
-    ``table`` holds ``token`` and ``vector``. A token position is unique in its text and counts
-    from 0, so a text gathers at most ``max_tokens`` vectors. With a table that is checked to be
-    small only token ids are shuffled; otherwise the table is joined and vectors are shuffled.
+    ``table`` holds ``token`` and ``vector``. Equal tokens of a text are counted before they meet
+    their vector, and means are one sum per dimension, so that each task sends partial sums. A
+    table that is checked to be small is broadcast.
     """
-    kept = token_rows.where(F.col(position) < max_tokens).select(key, token)
-    vectors = table.select(token, F.col("vector"))
-    if fits(vectors, broadcast_rows):
-        joined = kept.repartition(key).join(F.broadcast(vectors), token)
-    else:
-        joined = kept.join(vectors, token)
-    pooled = joined.groupBy(key).agg(F.collect_list("vector").alias("_vectors"))
-    return pooled.select(key, V.mean_vector("_vectors").alias("vector"))
+    counted = (
+        token_rows.where(F.col(position) < max_tokens).groupBy(key, token).agg(F.count("*").alias("_c"))
+    )
+    vectors = table.select(token, V.doubles(F.col("vector")).alias("_v"))
+    joined = counted.join(F.broadcast(vectors) if fits(vectors, broadcast_rows) else vectors, token)
+    sums = joined.groupBy(key).agg(
+        F.sum("_c").alias("_n"),
+        F.array(*[F.sum(F.get("_v", F.lit(d)) * F.col("_c")) for d in range(dims)]).alias("_sums"),
+    )
+    return sums.select(key, F.transform("_sums", lambda x: x / F.col("_n")).alias("vector"))
 
 
 def gather_candidates(df: DataFrame, key: str, idx: str, *columns: str) -> DataFrame:

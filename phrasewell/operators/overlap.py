@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from phrasewell.functions.text import ngrams as ngram_array, text_or_missing, tokens
+from phrasewell.operators.ranges import spread
 
 MAX_N = 4
 
@@ -21,49 +22,33 @@ def ngrams(df: DataFrame, key: str, text: str, max_n: int = MAX_N) -> DataFrame:
     return sized.select(key, "n", F.posexplode(grams).alias("pos", "gram"))
 
 
-def _numbered(words: Column, n: int) -> Column:
-    return F.transform(ngram_array(words, n), lambda gram: F.struct(F.lit(n).alias("n"), gram.alias("gram")))
+def gram_counts(df: DataFrame, key: str, *texts: str, max_n: int = MAX_N) -> DataFrame:
+    """Per text row and gram, how often the gram occurs in each of ``texts``: c0, c1, ...
 
-
-def bleu_counts(
-    df: DataFrame, key: str, first: str, second: str, response: str, max_n: int = MAX_N
-) -> DataFrame:
-    """Per text and n: clipped matches and number of n-grams of the response; also the lengths.
-
-    A gram is worth the larger of its counts in the two references. Texts are spread by their
-    unique key once; counting the grams then needs no further shuffle.
+    Rows are spread by their unique key once; counting the grams needs no further shuffle. Each
+    longer gram is made from the one before it and the next token.
     """
-    texts = df.select(
-        key,
-        text_or_missing(F.col(first)).alias("_first"),
-        text_or_missing(F.col(second)).alias("_second"),
-        F.col(response).alias("_response"),
-    ).repartition(key)
-    sides = texts.select(
-        key,
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("side"), F.col("_response").alias("text")),
-                F.struct(F.lit(1).alias("side"), F.col("_first").alias("text")),
-                F.struct(F.lit(2).alias("side"), F.col("_second").alias("text")),
-            )
-        ).alias("s"),
-    ).select(key, "s.side", tokens(F.col("s.text")).alias("words"))
-    # The length is taken here, so that the exploded rows do not carry the array along.
-    grams = sides.select(key, "side", "words", F.size("words").alias("length")).select(
-        key,
-        "side",
-        "length",
-        F.explode(F.flatten(F.array(*[_numbered(F.col("words"), n) for n in range(1, max_n + 1)]))).alias("g"),
-    ).select(key, "side", "length", "g.n", "g.gram")
-    counted = grams.groupBy(key, "n", "gram").agg(
-        *[F.count_if(F.col("side") == i).alias(f"c{i}") for i in range(3)],
-        *[F.max(F.when(F.col("side") == i, F.col("length"))).alias(f"len{i}") for i in range(3)],
+    sides = F.array(
+        *[F.struct(F.lit(i).alias("side"), F.col(c).alias("text")) for i, c in enumerate(texts)]
     )
-    return counted.groupBy(key, "n").agg(
-        F.sum(F.least("c0", F.greatest("c1", "c2"))).alias("matches"),
-        F.sum("c0").alias("total"),
-        *[F.max(f"len{i}").alias(f"len{i}") for i in range(3)],
+    split = (
+        spread(df.select(key, *texts), key)
+        .select(key, F.explode(sides).alias("s"))
+        .select(key, "s.side", tokens(F.col("s.text")).alias("g1"))
+        .where(F.col("g1").isNotNull())
+    )
+    for n in range(2, max_n + 1):
+        left = F.size("g1") - (n - 1)
+        longer = F.zip_with(
+            F.slice(f"g{n - 1}", F.lit(1), left),
+            F.slice("g1", F.lit(n), left),
+            lambda gram, token: F.concat(gram, F.lit(" "), token),
+        )
+        split = split.withColumn(f"g{n}", F.when(left > 0, longer).otherwise(F.array().cast("array<string>")))
+    every = F.concat(*[F.col(f"g{n}") for n in range(1, max_n + 1)])
+    grams = split.select(key, "side", F.explode(every).alias("gram"))
+    return grams.groupBy(key, "gram").agg(
+        *[F.count_if(F.col("side") == i).alias(f"c{i}") for i in range(len(texts))]
     )
 
 
@@ -72,14 +57,27 @@ def bleu_score(
 ) -> DataFrame:
     """Sentence score of the response: geometric mean of clipped precisions, uniform weights.
 
-    No match of single words gives 0. A longer gram without a match counts as the smallest
-    positive number, so such a score is tiny but not 0. A missing response gives NULL.
+    A gram is worth the larger of its counts in the two references. No match of single words gives
+    0. A longer gram without a match counts as the smallest positive number, so such a score is
+    tiny but not 0. A missing response gives NULL.
     """
-    per_n = bleu_counts(df, key, first, second, response, max_n)
-    wide = per_n.groupBy(key).agg(
-        *[F.max(f"len{i}").alias(f"len{i}") for i in range(3)],
-        *[F.coalesce(F.max(F.when(F.col("n") == n, F.col("matches"))), F.lit(0)).alias(f"m{n}") for n in range(1, max_n + 1)],
-        *[F.coalesce(F.max(F.when(F.col("n") == n, F.col("total"))), F.lit(0)).alias(f"t{n}") for n in range(1, max_n + 1)],
+    texts = df.select(
+        key,
+        F.col(response).alias("_response"),
+        text_or_missing(F.col(first)).alias("_first"),
+        text_or_missing(F.col(second)).alias("_second"),
+    )
+    # Tokens hold no space, so the spaces of a gram tell its length.
+    spaces = F.length("gram") - F.length(F.replace("gram", F.lit(" "), F.lit("")))
+    counted = gram_counts(texts, key, "_response", "_first", "_second", max_n=max_n).withColumn(
+        "n", spaces + 1
+    )
+    clipped = F.least("c0", F.greatest("c1", "c2"))
+    orders = range(1, max_n + 1)
+    wide = counted.groupBy(key).agg(
+        *[F.sum(F.when(F.col("n") == 1, F.col(f"c{i}")).otherwise(0)).alias(f"len{i}") for i in range(3)],
+        *[F.sum(F.when(F.col("n") == n, clipped).otherwise(0)).alias(f"m{n}") for n in orders],
+        *[F.sum(F.when(F.col("n") == n, F.col("c0")).otherwise(0)).alias(f"t{n}") for n in orders],
     )
     hyp, one, two = F.col("len0"), F.col("len1"), F.col("len2")
     # The reference nearest in length; on a tie the shorter one.
@@ -99,7 +97,7 @@ def bleu_score(
     mean_log = logs[0]
     for term in logs[1:]:
         mean_log = mean_log + term
-    score = F.when(hyp.isNull(), None).when(F.col("m1") == 0, F.lit(0.0)).otherwise(
+    score = F.when(hyp == 0, None).when(F.col("m1") == 0, F.lit(0.0)).otherwise(
         penalty * F.exp(mean_log)
     )
     return wide.select(

@@ -55,16 +55,17 @@ def binary_eval(df: DataFrame, score: str, label: str) -> DataFrame:
     counts = score_counts(df, score, label)
     whole = counts.agg(F.struct(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).alias("w")).scalar()
     running = running_totals(counts, "score", {"tp": "pos", "fp": "neg"}, descending=True)
+    all_pos, all_neg = F.col("w.pos"), F.col("w.neg")
     p = R.precision(F.col("tp"), F.col("fp"))
-    r = F.try_divide(F.col("tp").cast("double"), whole["pos"])
-    rated = running.select(
+    r = F.try_divide(F.col("tp").cast("double"), all_pos)
+    rated = running.withColumn("w", whole).select(
         "score",
         p.alias("precision"),
         r.alias("recall"),
         F.coalesce(R.f1(p, r), F.lit(0.0)).alias("f1"),
-        F.try_divide((F.col("tp") + whole["neg"] - F.col("fp")).cast("double"), whole["pos"] + whole["neg"]).alias("accuracy"),
-        (p * F.try_divide(F.col("pos").cast("double"), whole["pos"])).alias("gain"),
-        (F.col("tp") + F.col("fp") < whole["pos"] + whole["neg"]).alias("tried"),
+        R.accuracy(F.col("tp") + all_neg - F.col("fp"), all_pos + all_neg).alias("accuracy"),
+        (p * F.try_divide(F.col("pos").cast("double"), all_pos)).alias("gain"),
+        (F.col("tp") + F.col("fp") < all_pos + all_neg).alias("tried"),
     )
     entry = F.struct("score", "accuracy", "f1", "precision", "recall")
     top = rated.agg(
@@ -72,19 +73,20 @@ def binary_eval(df: DataFrame, score: str, label: str) -> DataFrame:
         F.max_by(F.when(F.col("tried"), entry), F.when(F.col("tried"), F.struct("f1", "score"))).alias("f"),
         F.sum("gain").alias("average_precision"),
     )
-    # The next lower score of the two chosen ones closes their limits.
+    # The next lower score of each of the two chosen ones closes its limit.
     chosen = top.select(F.struct(F.col("a.score").alias("a"), F.col("f.score").alias("f")).alias("s")).scalar()
-    below = counts.agg(
+    lower = counts.select("score", chosen.alias("s"))
+    below = lower.agg(
         F.struct(
-            F.max(F.when(F.col("score") < chosen["a"], F.col("score"))).alias("a"),
-            F.max(F.when(F.col("score") < chosen["f"], F.col("score"))).alias("f"),
+            F.max(F.when(F.col("score") < F.col("s.a"), F.col("score"))).alias("a"),
+            F.max(F.when(F.col("score") < F.col("s.f"), F.col("score"))).alias("f"),
         ).alias("s")
     ).scalar()
-    return top.select(
+    return top.withColumn("below", below).select(
         F.col("a.accuracy").alias("accuracy"),
-        ((F.col("a.score") + below["a"]) / 2).alias("accuracy_threshold"),
+        ((F.col("a.score") + F.col("below.a")) / 2).alias("accuracy_threshold"),
         F.col("f.f1").alias("f1"),
-        ((F.col("f.score") + below["f"]) / 2).alias("f1_threshold"),
+        ((F.col("f.score") + F.col("below.f")) / 2).alias("f1_threshold"),
         F.col("f.precision").alias("precision"),
         F.col("f.recall").alias("recall"),
         "average_precision",
@@ -99,15 +101,16 @@ def similarity_eval(df: DataFrame, score: str, label: str) -> DataFrame:
     """
     counts = score_counts(df, score, label).withColumn("c", F.col("pos") + F.col("neg"))
     whole = counts.agg(F.struct(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).alias("w")).scalar()
-    pos, neg = whole["pos"].cast("double"), whole["neg"].cast("double")
-    running = running_totals(counts, "score", {"upto": "c"})
+    pos, neg = F.col("w.pos").cast("double"), F.col("w.neg").cast("double")
+    running = running_totals(counts, "score", {"upto": "c"}).withColumn("w", whole)
     rank = F.col("upto") - (F.col("c") - 1) / 2 - (pos + neg + 1) / 2
     # Ranks of the label, from the middle: zeros lie pos/2 below it, ones neg/2 above it.
-    sums = running.select("score", "pos", "neg", "c", rank.alias("rank")).agg(
+    sums = running.withColumn("rank", rank).agg(
         F.sum(F.col("rank") * F.col("rank") * F.col("c")).alias("rr"),
         F.sum(F.col("rank") * (F.col("pos") * neg - F.col("neg") * pos) / 2).alias("rl"),
+        F.max(pos * neg * (pos + neg) / 4).alias("ll"),
         F.sum(F.col("c")).alias("n"),
     )
-    spearman = F.try_divide(F.col("rl"), F.sqrt("rr") * F.sqrt(pos * neg * (pos + neg) / 4))
+    spearman = F.try_divide(F.col("rl"), F.sqrt("rr") * F.sqrt("ll"))
     pearson = df.agg(F.corr(F.col(score).cast("double"), F.col(label).cast("double")).alias("p")).scalar()
     return sums.select(pearson.alias("pearson"), spearman.alias("spearman"), "n")

@@ -19,6 +19,15 @@ def bucket_count(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows hashed by a unique key into as many partitions as a shuffle has.
+
+    The number is given so that small texts, which grow when they are taken apart, are not put
+    together into few tasks.
+    """
+    return df.repartition(bucket_count(df), key)
+
+
 def with_bucket(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
     """Add ``_bucket``, which never falls when ``key`` grows. ``key`` is numeric, date or time."""
     n = buckets or bucket_count(df)
@@ -35,7 +44,7 @@ def with_bucket(df: DataFrame, key: str, buckets: int | None = None) -> DataFram
     return placed.withColumn(BUCKET, F.col(BUCKET).cast("int")).drop(_AS_DOUBLE)
 
 
-def _spread(placed: DataFrame, per_bucket: DataFrame, buckets: int | None) -> DataFrame:
+def _place(placed: DataFrame, per_bucket: DataFrame, buckets: int | None) -> DataFrame:
     """Send bucket i to partition i and give its rows the columns of ``per_bucket``.
 
     ``per_bucket`` has one row per bucket, so the broadcast cannot grow with the data.
@@ -69,7 +78,7 @@ def running_totals(
     offsets = _earlier_buckets(totals, [f"_before_{new}" for new in sums], descending)
     order = F.col(key).desc() if descending else F.col(key)
     local = Window.partitionBy(BUCKET).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = _spread(placed, offsets, buckets)
+    joined = _place(placed, offsets, buckets)
     return joined.select(
         *df.columns,
         *[(F.col(f"_before_{new}") + F.sum(c).over(local)).alias(new) for new, c in sums.items()],
@@ -84,7 +93,7 @@ def with_position(
     totals = placed.groupBy(BUCKET).agg(F.count("*").alias("_before"))
     offsets = _earlier_buckets(totals, ["_before"], descending=False)
     local = Window.partitionBy(BUCKET).orderBy(key)
-    joined = _spread(placed, offsets, buckets)
+    joined = _place(placed, offsets, buckets)
     return joined.select(
         *df.columns, (F.col("_before") + F.row_number().over(local) - 1).cast("bigint").alias(out)
     )
@@ -109,7 +118,7 @@ def with_next(
     )
     local = Window.partitionBy(BUCKET).orderBy(key)
     chosen = F.coalesce(F.lead("_own").over(local), F.col("_following"))
-    joined = _spread(placed, following, buckets).withColumn("_next", chosen)
+    joined = _place(placed, following, buckets).withColumn("_next", chosen)
     return joined.select(
         *df.columns, *[F.col("_next")[source].alias(new) for new, source in columns.items()]
     )

@@ -81,9 +81,10 @@ def score_stats(df: DataFrame, score: str) -> DataFrame:
         F.max_by("score", F.struct(F.col("c"), -F.col("score"))).alias("mode"),
     )
     n = counts.agg(F.sum("c").alias("n")).scalar()
-    running = running_totals(counts, "score", {"upto": "c"})
+    running = running_totals(counts, "score", {"upto": "c"}).withColumn("n", n)
     middle = running.where(
-        (F.col("upto") > F.floor((n - 1) / 2)) & (F.col("upto") - F.col("c") <= F.floor(n / 2))
+        (F.col("upto") > F.floor((F.col("n") - 1) / 2))
+        & (F.col("upto") - F.col("c") <= F.floor(F.col("n") / 2))
     )
     median = middle.agg(((F.min("score") + F.max("score")) / 2).alias("median")).scalar()
     return simple.select("min", "max", "mean", median.alias("median"), "mode")
@@ -125,19 +126,21 @@ def histogram(
     if by:
         present = present.where(F.col(by).isin(list(groups)))
 
-    def bounds(place: Column) -> tuple[Column, Column]:
-        lo, hi = F.get(edges, place)["lo"], F.get(edges, place)["hi"]
+    def bounded(rows: DataFrame) -> DataFrame:
+        """Add lo, hi and the bin width w of the part of each row."""
+        own = rows.withColumn("_edges", edges).withColumn("_own", F.get("_edges", F.col("_part")))
+        lo, hi = F.col("_own.lo"), F.col("_own.hi")
         flat = lo == hi
-        return F.when(flat, lo - 0.5).otherwise(lo), F.when(flat, hi + 0.5).otherwise(hi)
-
-    placed = present.select(value.alias("x"), place.cast("int").alias("_part"))
-    lo, hi = bounds(F.col("_part"))
-    scaled = placed.select("x", "_part", lo.alias("lo"), hi.alias("hi")).select(
-        "x", "_part", "lo", ((F.col("hi") - F.col("lo")) / bins).alias("w"),
-        F.least(
-            F.floor((F.col("x") - F.col("lo")) * (bins / (F.col("hi") - F.col("lo")))),
-            F.lit(bins - 1).cast("bigint"),
-        ).alias("b"),
+        widened = own.withColumns(
+            {"lo": F.when(flat, lo - 0.5).otherwise(lo), "hi": F.when(flat, hi + 0.5).otherwise(hi)}
+        )
+        return widened.withColumn("w", (F.col("hi") - F.col("lo")) / bins).drop("_edges", "_own")
+
+    placed = bounded(present.select(value.alias("x"), place.cast("int").alias("_part")))
+    scale = bins / (F.col("hi") - F.col("lo"))
+    scaled = placed.withColumn(
+        "b",
+        F.least(F.floor((F.col("x") - F.col("lo")) * scale), F.lit(bins - 1).cast("bigint")),
     )
     # A value that rounding put on the wrong side of an edge goes to the bin the edges name.
     b, x = F.col("b"), F.col("x")
@@ -149,14 +152,12 @@ def histogram(
     spine = df.sparkSession.range(bins * len(parts)).select(
         F.floor(F.col("id") / bins).cast("int").alias("_part"), (F.col("id") % bins).alias("bin")
     )
-    lo, hi = bounds(F.col("_part"))
-    width = (hi - lo) / bins
-    left = F.col("bin") * width + lo
-    shown = spine.join(counted, ["_part", "bin"], "left").select(
+    at, lo, w = F.col("bin"), F.col("lo"), F.col("w")
+    shown = bounded(spine).join(counted, ["_part", "bin"], "left").select(
         *([F.get(F.array(*[F.lit(g) for g in parts]), F.col("_part")).alias(by)] if by else []),
         "bin",
-        left.alias("left"),
-        F.when(F.col("bin") == bins - 1, hi).otherwise((F.col("bin") + 1) * width + lo).alias("right"),
+        (at * w + lo).alias("left"),
+        F.when(at == bins - 1, F.col("hi")).otherwise((at + 1) * w + lo).alias("right"),
         F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
     )
     return shown if threshold is None else shown.withColumn("below", F.col("left") < threshold)
@@ -282,9 +283,9 @@ def threshold_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     counts = score_counts(df, score, label)
     whole = counts.agg(F.struct(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).alias("w")).scalar()
     running = running_totals(counts, "score", {"tp": "pos", "fp": "neg"}, descending=True)
-    full = running.select(
+    full = running.withColumn("w", whole).select(
         F.col("score").alias("threshold"), "tp", "fp",
-        (whole["pos"] - F.col("tp")).alias("fn"), (whole["neg"] - F.col("fp")).alias("tn"),
+        (F.col("w.pos") - F.col("tp")).alias("fn"), (F.col("w.neg") - F.col("fp")).alias("tn"),
     )
     p, r = R.precision(F.col("tp"), F.col("fp")), R.recall(F.col("tp"), F.col("fn"))
     return full.select("*", p.alias("precision"), r.alias("recall"), R.f1(p, r).alias("f1"))

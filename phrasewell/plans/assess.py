@@ -49,7 +49,8 @@ def assess(
     The input has question, sparql_wikidata, sparql_wikidata_translated and descriptions. Answers
     and critiques are stored under ``stage`` before they are used, and a second run with the same
     ``run_id`` asks for missing ones only. The candidates of a query meet in one shuffle of at most
-    ``k`` rows per key; everything after that happens inside the row.
+    ``k`` rows per key; everything after that happens inside the row. ``concurrency`` is the number
+    of tasks that call the models at a time.
     """
     queries = rows.select(
         content_key(F.lit(run_id), F.col("sparql_wikidata"), F.col("question")).alias("query_id"),
@@ -62,8 +63,10 @@ def assess(
     ).dropDuplicates(["query_id"])
 
     def answered(todo: DataFrame) -> DataFrame:
+        if concurrency:
+            todo = todo.repartition(concurrency, "query_id")
         made = answer_candidates(
-            todo, k, generator, rounds=rounds, style=style, concurrency=concurrency, raw_body=raw_body
+            todo, k, generator, rounds=rounds, style=style, raw_body=raw_body
         )
         encoded = encode_text(encode_text(made, "text", "text_vector", text_encoder), "text", "query_space", query_encoder)
         gathered = gather_candidates(encoded, "query_id", "cand_idx", "text", "text_vector", "query_space")
@@ -74,9 +77,11 @@ def assess(
         return sources.join(gathered, "query_id").drop("_asked")
 
     def criticised(todo: DataFrame) -> DataFrame:
+        if concurrency:
+            todo = todo.repartition(concurrency, "query_id")
         asked = todo.withColumn("_texts", F.transform("candidates", lambda c: c["text"]))
         chosen = critique_select(
-            asked, critic, candidates="_texts", style=style, concurrency=concurrency, raw_body=raw_body
+            asked, critic, candidates="_texts", style=style, raw_body=raw_body
         ).drop("_texts")
         return encode_text(
             encode_text(chosen, "critique", "critique_text_vector", text_encoder),
