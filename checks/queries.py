@@ -478,19 +478,20 @@ def histogram_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown_bins(S.histogram_flagged(table(spark, sf_dir, "events"), "value", 87.0), "below")
 
 
-def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _accepted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents of some length as accepted, labelled ones as evaluated; some texts are equal."""
     documents = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("question"), "n_chars")
     evaluated = documents.select("doc_id", "question").join(views.flags(spark, sf_dir), "doc_id")
-    accepted = R.score_filter(documents, "n_chars", 500.0)
-    return S.accepted_labels(accepted, evaluated)
+    return R.score_filter(documents, "n_chars", 500.0), evaluated
 
 
 def accepted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _accepted(spark, sf_dir).select("doc_id_x", "doc_id_y", "n_chars", "eval_manual", "eval_llm")
+    joined = S.accepted_labels(*_accepted(spark, sf_dir))
+    return joined.select("doc_id_x", "doc_id_y", "n_chars", "eval_manual", "eval_llm")
 
 
 def label_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.label_share(_accepted(spark, sf_dir))
+    return S.label_share(*_accepted(spark, sf_dir))
 
 
 def share_split(spark: SparkSession, sf_dir: str) -> DataFrame:

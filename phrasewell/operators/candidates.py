@@ -213,7 +213,12 @@ def cluster_cosine(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame
 
 
 def cluster_distance(
-    df: DataFrame, key: str, idx: str, vector: str, block_rows: int = 512
+    df: DataFrame,
+    key: str,
+    idx: str,
+    vector: str,
+    block_rows: int = 512,
+    broadcast_groups: int = 100_000,
 ) -> DataFrame:
     """Mean pairwise Euclidean distance of groups of any size.
 
@@ -224,6 +229,8 @@ def cluster_distance(
     """
     members = df.select(key, F.col(idx).alias("_i"), V.doubles(F.col(vector)).alias("_v"))
     spans = members.groupBy(key).agg(F.ceil(F.count("*") / block_rows).alias("_blocks"))
+    if fits(spans, broadcast_groups):
+        spans = F.broadcast(spans)
     placed = members.join(spans, key).withColumn(
         "_block", F.pmod(F.xxhash64("_i"), F.col("_blocks"))
     )
@@ -266,7 +273,11 @@ def cluster_distance(
 
 
 def cluster_median(
-    df: DataFrame, key: str, vector: str, buckets: int | None = None
+    df: DataFrame,
+    key: str,
+    vector: str,
+    buckets: int | None = None,
+    broadcast_groups: int = 2_000,
 ) -> DataFrame:
     """Element-wise median of groups of any size: key, dim, median.
 
@@ -291,8 +302,10 @@ def cluster_median(
     middle = ranges.where((F.col("upto") - F.col("c") <= high) & (F.col("upto") > low)).select(
         key, "dim", BUCKET, "n", (F.col("upto") - F.col("c")).alias("before")
     )
+    # With few groups only the values of middle ranges are shuffled.
+    few = fits(df.select(key).distinct(), broadcast_groups)
     near = (
-        placed.join(middle, [key, "dim", BUCKET])
+        placed.join(F.broadcast(middle) if few else middle, [key, "dim", BUCKET])
         .groupBy(key, "dim", BUCKET, "n", "before", "x")
         .agg(F.count("*").alias("c"))
     )

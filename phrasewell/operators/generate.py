@@ -7,6 +7,7 @@ pass through as Arrow data; Python sees the text only.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -25,21 +26,33 @@ Generator = Callable[[list[str], list[int]], list[str]]
 Encoder = Callable[[list[str]], list[Iterable[float]]]
 
 
-def _attach(
-    df: DataFrame, inputs: list[str], out: str, kind: T.DataType, factory: Callable[[], Callable]
-) -> DataFrame:
-    schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
-    arrow_kind = to_arrow_type(kind)
+@dataclass(frozen=True)
+class Call:
+    """One model call per row: input columns, new column, its type, and what makes the model."""
+
+    inputs: tuple[str, ...]
+    out: str
+    kind: T.DataType
+    factory: Callable[[], Callable]
+
+
+def _attach(df: DataFrame, *calls: Call) -> DataFrame:
+    """Add the column of each call, all in one pass over the Arrow batches."""
+    schema = T.StructType([*df.schema.fields, *[T.StructField(c.out, c.kind) for c in calls]])
+    # Plain tuples, so that tasks need nothing of this package.
+    plans = [(c.inputs, c.out, to_arrow_type(c.kind), c.factory) for c in calls]
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
 
-        call = factory()
+        models = [factory() for _, _, _, factory in plans]
         for batch in batches:
-            made = call(*[batch.column(name).to_pylist() for name in inputs])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(made, type=arrow_kind)], [*batch.schema.names, out]
-            )
+            columns, names = list(batch.columns), list(batch.schema.names)
+            for model, (inputs, out, kind, _) in zip(models, plans):
+                made = model(*[batch.column(name).to_pylist() for name in inputs])
+                columns.append(pa.array(made, type=kind))
+                names.append(out)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return df.mapInArrow(run, schema)
 
@@ -62,7 +75,7 @@ def batch_generate(
     asked = df if sample else df.withColumn("_sample", F.lit(0))
     if concurrency:
         asked = asked.repartition(concurrency)
-    made = _attach(asked, [prompt, sample or "_sample"], out, T.StringType(), generator)
+    made = _attach(asked, Call((prompt, sample or "_sample"), out, T.StringType(), generator))
     if raw_body:
         made = made.withColumn(out, response_text(F.col(out)))
     return made if sample else made.drop("_sample")
@@ -165,10 +178,17 @@ def encode_text(
     concurrency: int | None = None,
 ) -> DataFrame:
     """Add the vector of each text; a missing text is encoded as its placeholder."""
-    asked = df.withColumn("_text", text_or_missing(F.col(text)))
-    if concurrency:
-        asked = asked.repartition(concurrency)
-    return _attach(asked, ["_text"], out, T.ArrayType(T.FloatType()), encoder).drop("_text")
+    asked = df.repartition(concurrency) if concurrency else df
+    return encode_texts(asked, (text, out, encoder))
+
+
+def encode_texts(df: DataFrame, *wanted: tuple[str, str, Callable[[], Encoder]]) -> DataFrame:
+    """Add several vectors, each (text, new column, encoder), in one pass."""
+    texts = {text: f"_text_{i}" for i, text in enumerate(dict.fromkeys(text for text, _, _ in wanted))}
+    asked = df.withColumns({shown: text_or_missing(F.col(text)) for text, shown in texts.items()})
+    kind = T.ArrayType(T.FloatType())
+    made = _attach(asked, *[Call((texts[text],), out, kind, encoder) for text, out, encoder in wanted])
+    return made.drop(*texts.values())
 
 
 def encode_distinct(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from phrasewell.functions import ratios as R, vectors as V
-from phrasewell.operators.generate import Encoder, encode_text
+from phrasewell.operators.generate import Encoder, encode_texts
 from phrasewell.operators.ranges import running_totals, with_next
 from phrasewell.operators.stats import histogram, score_counts
 
@@ -31,7 +31,7 @@ def pair_vectors(
     df: DataFrame, key: str, query: str, question: str, encoder: Callable[[], Encoder]
 ) -> DataFrame:
     """Pairs as vectors; each row is encoded once, before its question is paired a second time."""
-    encoded = encode_text(encode_text(df.select(key, query, question), query, "_q", encoder), question, "_n", encoder)
+    encoded = encode_texts(df.select(key, query, question), (query, "_q", encoder), (question, "_n", encoder))
     return contrastive_pairs(encoded, key, "_q", "_n")
 
 

@@ -167,6 +167,15 @@ def histogram_flagged(df: DataFrame, score: str, threshold: float, bins: int = 2
     return histogram(df, score, bins, threshold=threshold)
 
 
+def _digest(key: str) -> Column:
+    """A short stand-in for a text key; a missing key has one of its own."""
+    return F.coalesce(F.sha2(F.col(key).cast("string"), 256), F.lit("missing")).alias("_key")
+
+
+def _first(df: DataFrame, order: Sequence[str], n: int | None) -> DataFrame:
+    return df if n is None else df.orderBy(*order).limit(n)
+
+
 def accepted_labels(
     accepted: DataFrame,
     evaluated: DataFrame,
@@ -182,31 +191,41 @@ def accepted_labels(
     much of the evaluated table then never has to sit on the unsplittable side of an outer join,
     and accepted rows that are checked to be few are broadcast.
     """
-    chosen = accepted.orderBy(*order).limit(n) if n is not None else accepted
     both = (set(accepted.columns) & set(evaluated.columns)) - {key}
-    left = chosen.select(key, *[F.col(c).alias(f"{c}_x" if c in both else c) for c in accepted.columns if c != key])
-    right = evaluated.select(
-        F.col(key).alias("_key"),
-        *[F.col(c).alias(f"{c}_y" if c in both else c) for c in evaluated.columns if c != key],
-    )
-    few = fits(left, broadcast_rows)
-    same = F.col(key).eqNullSafe(F.col("_key"))
-    matched = right.join(F.broadcast(left) if few else left, same)
-    keys = left.select(F.col(key).alias("_wanted")).distinct()
-    seen = (
-        right.select("_key")
-        .join(F.broadcast(keys) if few else keys, F.col("_key").eqNullSafe(F.col("_wanted")), "left_semi")
-        .distinct()
-    )
-    alone = left.join(seen, same, "left_anti")
-    columns = [*left.columns, *[c for c in right.columns if c != "_key"]]
+
+    def renamed(df: DataFrame, end: str) -> list[Column]:
+        return [F.col(c).alias(c + end if c in both else c) for c in df.columns if c != key]
+
+    left = _first(accepted, order, n).select(_digest(key), key, *renamed(accepted, "_x"))
+    right = evaluated.select(_digest(key), *renamed(evaluated, "_y"))
+    few = fits(left.select("_key"), broadcast_rows)
+    matched = right.join(F.broadcast(left) if few else left, "_key")
+    wanted = left.select("_key").distinct()
+    seen = right.select("_key").join(F.broadcast(wanted) if few else wanted, "_key", "left_semi").distinct()
+    alone = left.join(seen, "_key", "left_anti").drop("_key")
+    columns = [*left.columns[1:], *right.columns[1:]]
     return matched.select(*columns).unionByName(alone, allowMissingColumns=True)
 
 
-def label_share(joined: DataFrame, label: str = "eval_manual") -> DataFrame:
-    """One row: rows of label 1 and 0 with their percentages of both, to one digit."""
-    counted = joined.agg(
-        F.count_if(F.col(label) == 1).alias("true_count"), F.count_if(F.col(label) == 0).alias("false_count")
+def label_share(
+    accepted: DataFrame,
+    evaluated: DataFrame,
+    key: str = "question",
+    label: str = "eval_manual",
+    order: Sequence[str] = (),
+    n: int | None = None,
+) -> DataFrame:
+    """One row: rows of label 1 and 0 in ``accepted_labels``, with percentages of both to one digit.
+
+    Both sides are counted per key before they meet, so equal keys are never multiplied out.
+    """
+    left = _first(accepted, order, n).groupBy(_digest(key)).agg(F.count("*").alias("times"))
+    right = evaluated.groupBy(_digest(key)).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
+    )
+    counted = left.join(right, "_key").agg(
+        F.coalesce(F.sum(F.col("times") * F.col("pos")), F.lit(0)).alias("true_count"),
+        F.coalesce(F.sum(F.col("times") * F.col("neg")), F.lit(0)).alias("false_count"),
     )
     both = F.col("true_count") + F.col("false_count")
     return counted.select(

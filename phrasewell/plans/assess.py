@@ -14,7 +14,7 @@ from phrasewell.operators.generate import (
     Generator,
     answer_candidates,
     critique_select,
-    encode_text,
+    encode_texts,
 )
 from phrasewell.operators.prompts import TAGGED
 from phrasewell.sources.stages import content_key, resume_stage
@@ -68,11 +68,14 @@ def assess(
         made = answer_candidates(
             todo, k, generator, rounds=rounds, style=style, raw_body=raw_body
         )
-        encoded = encode_text(encode_text(made, "text", "text_vector", text_encoder), "text", "query_space", query_encoder)
+        encoded = encode_texts(
+            made, ("text", "text_vector", text_encoder), ("text", "query_space", query_encoder)
+        )
         gathered = gather_candidates(encoded, "query_id", "cand_idx", "text", "text_vector", "query_space")
-        sources = encode_text(
-            encode_text(todo, "_asked", "query_vector", query_encoder),
-            "original_question", "truth_vector", text_encoder,
+        sources = encode_texts(
+            todo,
+            ("_asked", "query_vector", query_encoder),
+            ("original_question", "truth_vector", text_encoder),
         )
         return sources.join(gathered, "query_id").drop("_asked")
 
@@ -83,9 +86,10 @@ def assess(
         chosen = critique_select(
             asked, critic, candidates="_texts", style=style, raw_body=raw_body
         ).drop("_texts")
-        return encode_text(
-            encode_text(chosen, "critique", "critique_text_vector", text_encoder),
-            "critique", "critique_query_space", query_encoder,
+        return encode_texts(
+            chosen,
+            ("critique", "critique_text_vector", text_encoder),
+            ("critique", "critique_query_space", query_encoder),
         )
 
     answers = resume_stage(queries, f"{stage}/answers", "query_id", answered)

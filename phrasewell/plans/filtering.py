@@ -62,11 +62,9 @@ def filter_answers(
     """
     counts = confusion(evaluated)
     passed = score_filter(evaluated, "eval_bert", limit)
-    accepted = accepted_labels(
+    sides = (
         passed.select(key, "question", "eval_bert"),
         evaluated.select("question", "eval_manual", "eval_llm"),
-        order=[key],
-        n=labelled_rows,
     )
     return FilterReport(
         final=project_final(passed, response),
@@ -80,7 +78,7 @@ def filter_answers(
         accepted_histogram=histogram_flagged(
             evaluated, "eval_bert", limit if isinstance(limit, float) else fixed.SCORE_LIMIT, fine_bins
         ),
-        accepted=accepted,
-        shares=label_share(accepted),
+        accepted=accepted_labels(*sides, order=[key], n=labelled_rows),
+        shares=label_share(*sides, order=[key], n=labelled_rows),
         split=share_split(counts),
     )

@@ -35,9 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="phrasewell-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    own = spark.sparkContext.getCheckpointDir()
+    if own is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="phrasewell-"))
+        own = spark.sparkContext.getCheckpointDir()
+    return own.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
