@@ -37,6 +37,8 @@ def with_bucket(df: DataFrame, key: str, buckets: int | None = None) -> DataFram
     ) else F.col(key)
     keyed = df.withColumn(_AS_DOUBLE, value.cast("double"))
     cuts = keyed.approxQuantile(_AS_DOUBLE, [i / n for i in range(1, n)], 1 / (4 * n))
+    if not cuts:
+        return keyed.withColumn(BUCKET, F.lit(0)).drop(_AS_DOUBLE)
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     placed = Bucketizer(
         splits=splits, inputCol=_AS_DOUBLE, outputCol=BUCKET, handleInvalid="keep"
