@@ -40,11 +40,11 @@ E = """e AS (
   FROM found GROUP BY row_id
 )"""
 
-T = """t AS (
-  SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS query,
-         arg_max(text, turn) FILTER (role = 'user') AS question,
-         coalesce(list(text ORDER BY turn) FILTER (role = 'assistant'), []) AS candidates
-  FROM conversations GROUP BY conv_id
+T = """u AS (
+  SELECT conv_id, arg_min(text, turn) AS query, arg_max(text, turn) AS question
+  FROM conversations WHERE role = 'user' GROUP BY conv_id
+), t AS (
+  SELECT conv_id, query, question, [question, query || '''s', ' the ' || query, '"' || question || ''''] AS candidates FROM u
 )"""
 
 VARIANT = """CASE s WHEN 0 THEN query WHEN 1 THEN query || ' please' WHEN 2 THEN replace(query, ' ', 'x ')

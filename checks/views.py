@@ -60,15 +60,20 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id, query (first user turn), question (last one), candidates (assistant turns in order)."""
-    said = table(spark, sf_dir, "conversations")
-    by_user = F.col("role") == "user"
-    answer = F.when(F.col("role") == "assistant", F.struct("turn", "text"))
-    return said.groupBy("conv_id").agg(
-        F.min_by(F.when(by_user, F.col("text")), F.when(by_user, F.col("turn"))).alias("query"),
-        F.max_by(F.when(by_user, F.col("text")), F.when(by_user, F.col("turn"))).alias("question"),
-        F.transform(F.array_sort(F.collect_list(answer)), lambda a: a["text"]).alias("candidates"),
+    """conv_id, query (first user turn), question (last one), and four candidates made of them.
+
+    Turns are folded to the two wanted ones before the shuffle, so a long conversation is no burden.
+    """
+    said = table(spark, sf_dir, "conversations").where("role = 'user'")
+    folded = said.groupBy("conv_id").agg(
+        F.min_by("text", "turn").alias("query"), F.max_by("text", "turn").alias("question")
+    )
+    query, question = F.col("query"), F.col("question")
+    made = F.array(
+        question, F.concat(query, F.lit("'s")), F.concat(F.lit(" the "), query),
+        F.concat(F.lit('"'), question, F.lit("'")),
     )
+    return folded.withColumn("candidates", made)
 
 
 def flags(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from phrasewell.functions import fixed_values as fixed, vectors as V
 from phrasewell.functions.text import tokens
 from phrasewell.operators.ranges import BUCKET, spread, with_bucket
-from phrasewell.session import fits
+from phrasewell.session import BROADCAST_BYTES, fits
 
 SCORE_DIGITS = 9
 
@@ -47,19 +47,19 @@ def mean_pool(
     position: str,
     dims: int,
     max_tokens: int = fixed.MAX_TOKENS,
-    broadcast_rows: int = 100_000,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Mean of the vectors of the first ``max_tokens`` tokens of each text, counted from 0.
 
     ``table`` holds ``token`` and ``vector``. Equal tokens of a text are counted before they meet
     their vector, and means are one sum per dimension, so that each task sends partial sums. A
-    table that is checked to be small is broadcast.
+    table that is measured to be small is broadcast.
     """
     counted = (
         token_rows.where(F.col(position) < max_tokens).groupBy(key, token).agg(F.count("*").alias("_c"))
     )
     vectors = table.select(token, V.doubles(F.col("vector")).alias("_v"))
-    joined = counted.join(F.broadcast(vectors) if fits(vectors, broadcast_rows) else vectors, token)
+    joined = counted.join(F.broadcast(vectors) if fits(vectors, broadcast_bytes) else vectors, token)
     sums = joined.groupBy(key).agg(
         F.sum("_c").alias("_n"),
         F.array(*[F.sum(F.get("_v", F.lit(d)) * F.col("_c")) for d in range(dims)]).alias("_sums"),
@@ -218,7 +218,7 @@ def cluster_distance(
     idx: str,
     vector: str,
     block_rows: int = 512,
-    broadcast_groups: int = 100_000,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Mean pairwise Euclidean distance of groups of any size.
 
@@ -229,7 +229,7 @@ def cluster_distance(
     """
     members = df.select(key, F.col(idx).alias("_i"), V.doubles(F.col(vector)).alias("_v"))
     spans = members.groupBy(key).agg(F.ceil(F.count("*") / block_rows).alias("_blocks"))
-    if fits(spans, broadcast_groups):
+    if fits(spans, broadcast_bytes):
         spans = F.broadcast(spans)
     placed = members.join(spans, key).withColumn(
         "_block", F.pmod(F.xxhash64("_i"), F.col("_blocks"))
@@ -277,7 +277,7 @@ def cluster_median(
     key: str,
     vector: str,
     buckets: int | None = None,
-    broadcast_groups: int = 2_000,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Element-wise median of groups of any size: key, dim, median.
 
@@ -303,7 +303,7 @@ def cluster_median(
         key, "dim", BUCKET, "n", (F.col("upto") - F.col("c")).alias("before")
     )
     # With few groups only the values of middle ranges are shuffled.
-    few = fits(df.select(key).distinct(), broadcast_groups)
+    few = fits(middle, broadcast_bytes)
     near = (
         placed.join(F.broadcast(middle) if few else middle, [key, "dim", BUCKET])
         .groupBy(key, "dim", BUCKET, "n", "before", "x")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from phrasewell.functions import fixed_values as fixed
 from phrasewell.functions.text import ANY_MENTION, mention_key, mentions
 from phrasewell.operators.ranges import spread
-from phrasewell.session import fits
+from phrasewell.session import BROADCAST_BYTES, fits
 
 
 def extract_mentions(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -74,17 +74,17 @@ def resolve_entities(
     text: str,
     labels: DataFrame,
     distinct: bool = False,
-    broadcast_rows: int = 100_000,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Per row: text with labels put in, descriptions, number of mentions left unresolved.
 
     Texts are cut into segments, joined with the labels and put together again in order, so an
     inserted label is never searched. ``key`` is unique, so no group outgrows one text. With labels
-    that are checked to be few, whole texts are spread by key and nothing else is shuffled;
+    that are measured to be few, whole texts are spread by key and nothing else is shuffled;
     otherwise the segments are shuffled by id and put together by key.
     """
     known = labels.select("id", "label", "description")
-    if fits(known, broadcast_rows):
+    if fits(known, broadcast_bytes):
         pieces = _with_labels(_segments(spread(df.select(key, text), key), key, text), F.broadcast(known))
     else:
         pieces = _with_labels(_segments(df, key, text), known)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from phrasewell.functions import ratios as R, vectors as V
 from phrasewell.operators.generate import Encoder, encode_texts
@@ -53,40 +53,32 @@ def binary_eval(df: DataFrame, score: str, label: str) -> DataFrame:
     tried as one. On a tie the higher limit wins. AP sums precision times gain of recall.
     """
     counts = score_counts(df, score, label)
-    whole = counts.agg(F.struct(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).alias("w")).scalar()
-    running = running_totals(counts, "score", {"tp": "pos", "fp": "neg"}, descending=True)
-    all_pos, all_neg = F.col("w.pos"), F.col("w.neg")
-    p = R.precision(F.col("tp"), F.col("fp"))
-    r = F.try_divide(F.col("tp").cast("double"), all_pos)
-    rated = running.withColumn("w", whole).select(
+    running = running_totals(
+        counts, "score", {"tp": "pos", "fp": "neg"}, descending=True, following="lower"
+    )
+    tp, fp, all_pos, all_neg = (F.col(c) for c in ("tp", "fp", "tp_total", "fp_total"))
+    p, r = R.precision(tp, fp), F.try_divide(tp.cast("double"), all_pos)
+    rated = running.select(
         "score",
+        ((F.col("score") + F.col("lower")) / 2).alias("limit"),
         p.alias("precision"),
         r.alias("recall"),
         F.coalesce(R.f1(p, r), F.lit(0.0)).alias("f1"),
-        R.accuracy(F.col("tp") + all_neg - F.col("fp"), all_pos + all_neg).alias("accuracy"),
+        R.accuracy(tp + all_neg - fp, all_pos + all_neg).alias("accuracy"),
         (p * F.try_divide(F.col("pos").cast("double"), all_pos)).alias("gain"),
-        (F.col("tp") + F.col("fp") < all_pos + all_neg).alias("tried"),
-    )
-    entry = F.struct("score", "accuracy", "f1", "precision", "recall")
-    top = rated.agg(
-        F.max_by(F.when(F.col("tried"), entry), F.when(F.col("tried"), F.struct("accuracy", "score"))).alias("a"),
-        F.max_by(F.when(F.col("tried"), entry), F.when(F.col("tried"), F.struct("f1", "score"))).alias("f"),
-        F.sum("gain").alias("average_precision"),
     )
-    # The next lower score of each of the two chosen ones closes its limit.
-    chosen = top.select(F.struct(F.col("a.score").alias("a"), F.col("f.score").alias("f")).alias("s")).scalar()
-    lower = counts.select("score", chosen.alias("s"))
-    below = lower.agg(
-        F.struct(
-            F.max(F.when(F.col("score") < F.col("s.a"), F.col("score"))).alias("a"),
-            F.max(F.when(F.col("score") < F.col("s.f"), F.col("score"))).alias("f"),
-        ).alias("s")
-    ).scalar()
-    return top.withColumn("below", below).select(
+    entry = F.struct("limit", "accuracy", "f1", "precision", "recall")
+
+    def top(measure: str) -> Column:
+        return F.max_by(entry, F.when(F.col("limit").isNotNull(), F.struct(measure, "score")))
+
+    return rated.agg(
+        top("accuracy").alias("a"), top("f1").alias("f"), F.sum("gain").alias("average_precision")
+    ).select(
         F.col("a.accuracy").alias("accuracy"),
-        ((F.col("a.score") + F.col("below.a")) / 2).alias("accuracy_threshold"),
+        F.col("a.limit").alias("accuracy_threshold"),
         F.col("f.f1").alias("f1"),
-        ((F.col("f.score") + F.col("below.f")) / 2).alias("f1_threshold"),
+        F.col("f.limit").alias("f1_threshold"),
         F.col("f.precision").alias("precision"),
         F.col("f.recall").alias("recall"),
         "average_precision",
@@ -100,9 +92,8 @@ def similarity_eval(df: DataFrame, score: str, label: str) -> DataFrame:
     distinct scores; the two ranks of the label follow from the number of rows of each.
     """
     counts = score_counts(df, score, label).withColumn("c", F.col("pos") + F.col("neg"))
-    whole = counts.agg(F.struct(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).alias("w")).scalar()
-    pos, neg = F.col("w.pos").cast("double"), F.col("w.neg").cast("double")
-    running = running_totals(counts, "score", {"upto": "c"}).withColumn("w", whole)
+    running = running_totals(counts, "score", {"upto": "c", "_pos": "pos", "_neg": "neg"})
+    pos, neg = F.col("_pos_total").cast("double"), F.col("_neg_total").cast("double")
     rank = F.col("upto") - (F.col("c") - 1) / 2 - (pos + neg + 1) / 2
     # Ranks of the label, from the middle: zeros lie pos/2 below it, ones neg/2 above it.
     sums = running.withColumn("rank", rank).agg(

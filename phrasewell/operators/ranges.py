@@ -55,35 +55,43 @@ def _place(placed: DataFrame, per_bucket: DataFrame, buckets: int | None) -> Dat
     return placed.repartitionById(parts, BUCKET).join(F.broadcast(per_bucket), BUCKET, "left")
 
 
-def _earlier_buckets(totals: DataFrame, columns: list[str], descending: bool) -> DataFrame:
-    """Per bucket, the sums over the buckets before it. The input has one row per bucket."""
-    order = F.col(BUCKET).desc() if descending else F.col(BUCKET)
-    before = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(
-        BUCKET, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in columns]
-    )
-
-
 def running_totals(
     df: DataFrame,
     key: str,
     sums: dict[str, str],
     descending: bool = False,
     buckets: int | None = None,
+    following: str | None = None,
 ) -> DataFrame:
     """Add inclusive running sums in the order of ``key``, which must be unique and not null.
 
-    ``sums`` maps new column names to the columns that are summed up.
+    ``sums`` maps new column names to the columns that are summed up; the sum over all rows is
+    added too, with ``_total`` at the end of the name. ``following`` names a column for the next
+    key in order, NULL in the last row.
     """
     placed = with_bucket(df, key, buckets)
-    totals = placed.groupBy(BUCKET).agg(*[F.sum(c).alias(f"_before_{new}") for new, c in sums.items()])
-    offsets = _earlier_buckets(totals, [f"_before_{new}" for new in sums], descending)
-    order = F.col(key).desc() if descending else F.col(key)
-    local = Window.partitionBy(BUCKET).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = _place(placed, offsets, buckets)
-    return joined.select(
+    head = F.max(key) if descending else F.min(key)
+    totals = placed.groupBy(BUCKET).agg(
+        *[F.sum(c).alias(f"_in_{new}") for new, c in sums.items()], head.alias("_head")
+    )
+    # One row per bucket from here on, so ordering them all in one task is no burden.
+    line = Window.partitionBy(F.lit(0)).orderBy(F.col(BUCKET).desc() if descending else F.col(BUCKET))
+    earlier = line.rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(F.lit(0))
+    offsets = totals.select(
+        BUCKET,
+        F.lead("_head").over(line).alias("_next_head"),
+        *[F.coalesce(F.sum(f"_in_{new}").over(earlier), F.lit(0)).alias(f"_before_{new}") for new in sums],
+        *[F.sum(f"_in_{new}").over(every).alias(f"{new}_total") for new in sums],
+    )
+    local = Window.partitionBy(BUCKET).orderBy(F.col(key).desc() if descending else F.col(key))
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    after = [F.coalesce(F.lead(key).over(local), F.col("_next_head")).alias(following)] if following else []
+    return _place(placed, offsets, buckets).select(
         *df.columns,
-        *[(F.col(f"_before_{new}") + F.sum(c).over(local)).alias(new) for new, c in sums.items()],
+        *[(F.col(f"_before_{new}") + F.sum(c).over(upto)).alias(new) for new, c in sums.items()],
+        *[f"{new}_total" for new in sums],
+        *after,
     )
 
 
@@ -91,14 +99,9 @@ def with_position(
     df: DataFrame, key: str, out: str = "row_id", buckets: int | None = None
 ) -> DataFrame:
     """Add the dense 0-based position of each row in the order of the unique ``key``."""
-    placed = with_bucket(df, key, buckets)
-    totals = placed.groupBy(BUCKET).agg(F.count("*").alias("_before"))
-    offsets = _earlier_buckets(totals, ["_before"], descending=False)
-    local = Window.partitionBy(BUCKET).orderBy(key)
-    joined = _place(placed, offsets, buckets)
-    return joined.select(
-        *df.columns, (F.col("_before") + F.row_number().over(local) - 1).cast("bigint").alias(out)
-    )
+    one = df.withColumn("_one", F.lit(1).cast("bigint"))
+    counted = running_totals(one, key, {"_upto": "_one"}, buckets=buckets)
+    return counted.select(*df.columns, (F.col("_upto") - 1).alias(out))
 
 
 def with_next(

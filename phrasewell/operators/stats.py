@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from phrasewell.functions import fixed_values as fixed, ratios as R
 from phrasewell.operators.ranges import running_totals
-from phrasewell.session import fits
+from phrasewell.session import BROADCAST_BYTES, fits
 
 
 def attach_labels(df: DataFrame, labels: DataFrame, key: str) -> DataFrame:
@@ -73,21 +73,18 @@ def score_stats(df: DataFrame, score: str) -> DataFrame:
     All are taken from the counts of distinct values; the median comes from running sums over
     value ranges, so no task has to hold all values.
     """
-    counts = value_counts(df, score)
-    simple = counts.agg(
-        F.min("score").alias("min"),
-        F.max("score").alias("max"),
-        F.try_divide(F.sum(F.col("score") * F.col("c")), F.sum("c")).alias("mean"),
-        F.max_by("score", F.struct(F.col("c"), -F.col("score"))).alias("mode"),
+    counts = running_totals(value_counts(df, score), "score", {"upto": "c"})
+    n, value = F.col("upto_total"), F.col("score")
+    middle = F.when(
+        (F.col("upto") > F.floor((n - 1) / 2)) & (F.col("upto") - F.col("c") <= F.floor(n / 2)), value
     )
-    n = counts.agg(F.sum("c").alias("n")).scalar()
-    running = running_totals(counts, "score", {"upto": "c"}).withColumn("n", n)
-    middle = running.where(
-        (F.col("upto") > F.floor((F.col("n") - 1) / 2))
-        & (F.col("upto") - F.col("c") <= F.floor(F.col("n") / 2))
+    return counts.agg(
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+        F.try_divide(F.sum(value * F.col("c")), F.sum("c")).alias("mean"),
+        ((F.min(middle) + F.max(middle)) / 2).alias("median"),
+        F.max_by(value, F.struct(F.col("c"), -value)).alias("mode"),
     )
-    median = middle.agg(((F.min("score") + F.max("score")) / 2).alias("median")).scalar()
-    return simple.select("min", "max", "mean", median.alias("median"), "mode")
 
 
 def histogram(
@@ -104,41 +101,26 @@ def histogram(
     ``groups``; with ``threshold`` also ``below``, whether the left edge lies under it. If all
     values are equal the range is widened by 0.5 on both sides.
     """
-    parts = groups if by else (None,)
-    value = F.col(score).cast("double")
-    present = df.where(value.isNotNull() & ~F.isnan(value))
-
-    def chosen(group: float | int | str | None, column: Column) -> Column:
-        return column if group is None else F.when(F.col(by) == group, column)
-
-    edges = present.agg(
-        F.array(
-            *[
-                F.struct(F.min(chosen(g, value)).alias("lo"), F.max(chosen(g, value)).alias("hi"))
-                for g in parts
-            ]
-        ).alias("edges")
-    ).scalar()
+    parts = list(groups) if by else [None]
+    # Missing scores become a missing bin, which no bin of the result matches.
+    value = F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))
     place = F.lit(0)
     for i, group in enumerate(parts):
-        if group is not None:
+        if by:
             place = F.when(F.col(by) == group, i).otherwise(place)
-    if by:
-        present = present.where(F.col(by).isin(list(groups)))
-
-    def bounded(rows: DataFrame) -> DataFrame:
-        """Add lo, hi and the bin width w of the part of each row."""
-        own = rows.withColumn("_edges", edges).withColumn("_own", F.get("_edges", F.col("_part")))
-        lo, hi = F.col("_own.lo"), F.col("_own.hi")
-        flat = lo == hi
-        widened = own.withColumns(
-            {"lo": F.when(flat, lo - 0.5).otherwise(lo), "hi": F.when(flat, hi + 0.5).otherwise(hi)}
-        )
-        return widened.withColumn("w", (F.col("hi") - F.col("lo")) / bins).drop("_edges", "_own")
-
-    placed = bounded(present.select(value.alias("x"), place.cast("int").alias("_part")))
+    present = (df.where(F.col(by).isin(parts)) if by else df).select(
+        value.alias("x"), place.cast("int").alias("_part")
+    )
+    low, high = F.min("x"), F.max("x")
+    half = F.when(low == high, 0.5).otherwise(0.0)
+    # One row per histogram, so the broadcast cannot grow with the data.
+    bounds = F.broadcast(
+        present.groupBy("_part")
+        .agg((low - half).alias("lo"), (high + half).alias("hi"))
+        .withColumn("w", (F.col("hi") - F.col("lo")) / bins)
+    )
     scale = bins / (F.col("hi") - F.col("lo"))
-    scaled = placed.withColumn(
+    scaled = present.join(bounds, "_part").withColumn(
         "b",
         F.least(F.floor((F.col("x") - F.col("lo")) * scale), F.lit(bins - 1).cast("bigint")),
     )
@@ -153,7 +135,7 @@ def histogram(
         F.floor(F.col("id") / bins).cast("int").alias("_part"), (F.col("id") % bins).alias("bin")
     )
     at, lo, w = F.col("bin"), F.col("lo"), F.col("w")
-    shown = bounded(spine).join(counted, ["_part", "bin"], "left").select(
+    shown = spine.join(bounds, "_part", "left").join(counted, ["_part", "bin"], "left").select(
         *([F.get(F.array(*[F.lit(g) for g in parts]), F.col("_part")).alias(by)] if by else []),
         "bin",
         (at * w + lo).alias("left"),
@@ -182,14 +164,14 @@ def accepted_labels(
     key: str = "question",
     order: Sequence[str] = (),
     n: int | None = None,
-    broadcast_rows: int = 100_000,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """The first ``n`` accepted rows with the evaluated rows of the same key.
 
     Missing keys match each other, equal keys multiply rows, other names present on both sides get
     ``_x`` and ``_y``. Rows that match and rows that do not are made apart: a question that fills
     much of the evaluated table then never has to sit on the unsplittable side of an outer join,
-    and accepted rows that are checked to be few are broadcast.
+    and accepted rows that are measured to be few are broadcast.
     """
     both = (set(accepted.columns) & set(evaluated.columns)) - {key}
 
@@ -198,7 +180,7 @@ def accepted_labels(
 
     left = _first(accepted, order, n).select(_digest(key), key, *renamed(accepted, "_x"))
     right = evaluated.select(_digest(key), *renamed(evaluated, "_y"))
-    few = fits(left.select("_key"), broadcast_rows)
+    few = fits(left, broadcast_bytes)
     matched = right.join(F.broadcast(left) if few else left, "_key")
     wanted = left.select("_key").distinct()
     seen = right.select("_key").join(F.broadcast(wanted) if few else wanted, "_key", "left_semi").distinct()
@@ -300,11 +282,10 @@ def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
 def threshold_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """For each distinct score as inclusive limit: tp, fp, fn, tn, precision, recall, F1."""
     counts = score_counts(df, score, label)
-    whole = counts.agg(F.struct(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).alias("w")).scalar()
     running = running_totals(counts, "score", {"tp": "pos", "fp": "neg"}, descending=True)
-    full = running.withColumn("w", whole).select(
+    full = running.select(
         F.col("score").alias("threshold"), "tp", "fp",
-        (F.col("w.pos") - F.col("tp")).alias("fn"), (F.col("w.neg") - F.col("fp")).alias("tn"),
+        (F.col("tp_total") - F.col("tp")).alias("fn"), (F.col("fp_total") - F.col("fp")).alias("tn"),
     )
     p, r = R.precision(F.col("tp"), F.col("fp")), R.recall(F.col("tp"), F.col("fn"))
     return full.select("*", p.alias("precision"), r.alias("recall"), R.f1(p, r).alias("f1"))

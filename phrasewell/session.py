@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def local_session(cores: int = 8, app: str = "phrasewell") -> SparkSession:
@@ -55,6 +55,22 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows, reading no more than it has to."""
-    return df.limit(max_rows + 1).count() <= max_rows
+BROADCAST_BYTES = 64_000_000
+
+
+def fits(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether the values of ``df`` take at most ``max_bytes``, measured by one distributed sum.
+
+    A side is broadcast only if it was measured this way; each caller has another way beyond it.
+    """
+
+    def size(field: T.StructField) -> Column:
+        column = F.col(field.name)
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+        if isinstance(field.dataType, (T.ArrayType, T.MapType)):
+            return F.coalesce(F.size(column), F.lit(0)) * 8 + 16
+        return F.lit(8)
+
+    row = sum((size(f) for f in df.schema.fields), F.lit(16))
+    return (df.agg(F.sum(row.cast("bigint"))).first()[0] or 0) <= max_bytes

@@ -71,8 +71,8 @@ def test_accepted_labels_with_missing_and_equal_keys(spark):
     accepted = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), ("z", 4)], "question string, id int")
     evaluated = spark.createDataFrame([("a", 10, 1), ("a", 11, 0), (None, 12, 1), ("b", 13, 1)], "question string, id int, eval_manual int")
     wanted = sorted([("a", 1, 10), ("a", 1, 11), ("a", 2, 10), ("a", 2, 11), ("z", 4, -1), ("", 3, 12)])
-    for limit in (0, 100):
-        joined = S.accepted_labels(accepted, evaluated, broadcast_rows=limit)
+    for limit in (0, 10**6):
+        joined = S.accepted_labels(accepted, evaluated, broadcast_bytes=limit)
         assert sorted((r.question or "", r.id_x, r.id_y or -1) for r in joined.collect()) == wanted
     share = S.label_share(accepted, evaluated).collect()[0]
     assert (share.true_count, share.false_count, share.true_percent, share.false_percent) == (3, 2, 60.0, 40.0)

@@ -59,7 +59,7 @@ def test_clusters_of_any_size(spark):
     cosine = {r.g: r.avg_cosine_similarity for r in C.cluster_cosine(df, "g", "v", 6).collect()}
     distance = {r.g: r.avg_pairwise_distance for r in C.cluster_distance(df, "g", "id", "v", block_rows=8).collect()}
     median = {(r.g, r.dim): r.median for r in C.cluster_median(df, "g", "v", buckets=5).collect()}
-    wide = {(r.g, r.dim): r.median for r in C.cluster_median(df, "g", "v", broadcast_groups=0).collect()}
+    wide = {(r.g, r.dim): r.median for r in C.cluster_median(df, "g", "v", broadcast_bytes=0).collect()}
     assert cosine[2] is None and distance[2] is None
     for g, points in members.items():
         for dim in range(6):
@@ -81,8 +81,8 @@ def test_cluster_distance_counts_every_pair_once(spark):
 def test_mean_pool_cuts_and_takes_both_ways(spark):
     rows = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (1, 2, 1), (1, 3, 0)], "k int, pos int, tok int")
     table = spark.createDataFrame([(0, [0.0, 2.0]), (1, [4.0, 6.0])], "tok int, vector array<double>")
-    for limit in (0, 10):
-        got = C.mean_pool(rows, table, "k", "tok", "pos", 2, max_tokens=2, broadcast_rows=limit).collect()
+    for limit in (0, 10**6):
+        got = C.mean_pool(rows, table, "k", "tok", "pos", 2, max_tokens=2, broadcast_bytes=limit).collect()
         assert got[0].vector == [2.0, 4.0]
 
 
