@@ -202,6 +202,17 @@ VECTOR_PAIRS = """a AS (
 STATS = """SELECT round(min({x}), 6) AS min, round(max({x}), 6) AS max, round(avg({x}), 6) AS mean, round(median({x}), 6) AS median,
   round((SELECT {x} FROM {t} GROUP BY {x} ORDER BY count(*) DESC, {x} LIMIT 1), 6) AS mode FROM {t}"""
 
+EVALUATED = f"""{T}, one_line AS (
+  SELECT conv_id, replace(query, chr(10), ' ') AS question, replace(question, chr(10), ' ') AS paraphrased FROM t
+), mix AS (
+  SELECT conv_id AS doc_id, paraphrased AS first, question AS second, replace(question, 'e ', 'e so ') AS response FROM one_line
+), {BLEU}, {hashed('mix', 'doc_id', 'first', 'hp', 64)}, {hashed('mix', 'doc_id', 'response', 'hr', 64)}, f AS (
+  SELECT mix.doc_id AS row_id, second AS question, response, length(response) % 7 <> 0 AS verdict_valid,
+         CASE WHEN length(response) % 7 = 0 THEN 0 WHEN abs(length(first) - length(response)) * 10 < length(first) THEN 1 ELSE 0 END AS eval_llm,
+         quality AS eval_manual, list_cosine_similarity(hp.v, hr.v) AS bert, score AS bleu
+  FROM mix JOIN hp USING (doc_id) JOIN hr USING (doc_id) JOIN bleu USING (doc_id) LEFT JOIN labels USING (doc_id)
+)"""
+
 SQL: dict[str, str] = {
     "scan_pairs": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "union_splits": "SELECT doc_id, lang, source, n_chars FROM documents",
@@ -398,17 +409,17 @@ SELECT 'conversation ' || g AS original_query, any_value(query) AS instantiated_
   max(text) FILTER (pc = 1) AS best_translation_llm_critique,
   round(any_value(dist), 5) AS avg_pairwise_distance, round(any_value(cosine), 5) AS avg_cosine_similarity
 FROM w JOIN pr USING (g) JOIN t ON t.conv_id = g GROUP BY g""",
-    "filtered_answers": f"""WITH {L}, {B}, {BLEU}, {COUNTS}, ev AS (
-  SELECT f.doc_id, text AS question, eval_manual, eval_llm, n_chars / (n_chars + 1000) AS bert, score AS bleu
-  FROM documents JOIN f USING (doc_id) JOIN bleu USING (doc_id)
-), fin AS (SELECT * FROM ev WHERE bert >= 0.5
+    "evaluate_answers": f"""WITH {EVALUATED} SELECT row_id, question, response, verdict_valid, eval_llm, eval_manual,
+  round(bert, 5) AS eval_bert, round(bleu, 5) AS eval_bleu FROM f""",
+    "filtered_answers": f"""WITH {EVALUATED}, {COUNTS}, ev AS (SELECT * FROM f
+), fin AS (SELECT * FROM ev WHERE bert >= 0.6
 ), j AS (SELECT ev.eval_manual FROM fin LEFT JOIN ev ON fin.question IS NOT DISTINCT FROM ev.question
 ), sh AS (SELECT count(*) FILTER (eval_manual = 1) AS t, count(*) FILTER (eval_manual = 0) AS f FROM j
 ), one AS (
   SELECT 'counts' AS report, unnest(['tp', 'fp', 'fn', 'tn', 'same', 'labelled', 'manual_true', 'manual_false', 'judge_true', 'total']) AS name,
          unnest([tp, fp, fn, tn, same, labelled, manual_true, manual_false, judge_true, total]::DOUBLE[]) AS value FROM k
   UNION ALL SELECT 'metrics', unnest(['accuracy', 'precision', 'recall', 'f1']),
-         unnest([same / labelled, tp / (tp + fp), tp / (tp + fn), 2 * tp / (2 * tp + fp + fn)]) FROM k
+         unnest([same / labelled, tp / nullif(tp + fp, 0), tp / nullif(tp + fn, 0), 2 * tp / nullif(2 * tp + fp + fn, 0)]) FROM k
   UNION ALL SELECT 'summary', unnest(['judged_correct', 'total', 'first_correct', 'first_mistakes', 'judge_mistakes', 'good', 'out_of']),
          unnest([judge_true, total, manual_true, manual_false, fp + fn, tp, labelled]::DOUBLE[]) FROM k
   UNION ALL SELECT 'bert', unnest(['min', 'max', 'mean', 'median', 'mode']),
@@ -416,7 +427,7 @@ FROM w JOIN pr USING (g) JOIN t ON t.conv_id = g GROUP BY g""",
   UNION ALL SELECT 'bleu', unnest(['min', 'max', 'mean', 'median', 'mode']),
          unnest([min(bleu), max(bleu), avg(bleu), median(bleu), (SELECT bleu FROM ev GROUP BY bleu ORDER BY count(*) DESC, bleu LIMIT 1)]) FROM ev
   UNION ALL SELECT 'shares', unnest(['true_count', 'false_count', 'true_percent', 'false_percent']),
-         unnest([t, f, round(100 * t / (t + f), 1), round(100 * f / (t + f), 1)]::DOUBLE[]) FROM sh
+         unnest([t, f, round(100 * t / nullif(t + f, 0), 1), round(100 * f / nullif(t + f, 0), 1)]::DOUBLE[]) FROM sh
   UNION ALL SELECT 'final', unnest(['rows', 'lowest']), unnest([count(*), min(bert)]::DOUBLE[]) FROM fin
 )
 SELECT report, name, round(value, 5) AS value FROM one""",

@@ -20,7 +20,7 @@ from phrasewell.operators import (
     stats as S,
 )
 from phrasewell.plans.assess import RESULT_COLUMNS, assess, results
-from phrasewell.plans.filtering import add_bleu, filter_answers
+from phrasewell.plans.filtering import evaluate_answers as evaluate, filter_answers
 from phrasewell.plans.preprocess import preprocess
 from phrasewell.session import new_path
 from phrasewell.sources import stages, tables as T
@@ -590,25 +590,27 @@ def assess_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(*[rounded(c, 5) if c in SCORES else F.col(c) for c in kept.columns])
 
 
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = views.flags(spark, sf_dir).withColumnRenamed("doc_id", "row_id")
+    return evaluate(
+        views.question_rows(spark, sf_dir), new_path(spark, "evaluate"), views.shot_generator(),
+        views.length_judge(), views.hashing_encoder(), labels, views.SHOTS, views.JUDGE_SHOTS,
+        concurrency=8,
+    )
+
+
+def evaluate_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir).select(
+        "row_id", "question", "response", "verdict_valid", "eval_llm", "eval_manual",
+        rounded("eval_bert", 5), rounded("eval_bleu", 5),
+    )
+
+
 def filtered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All one-row reports of the filter job as rows of report, name and value."""
-    texts = views.responses(spark, sf_dir).join(
-        table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id"
-    )
-    rows = texts.join(views.flags(spark, sf_dir), "doc_id").select(
-        "doc_id",
-        F.col("first").alias("question"),
-        F.col("second").alias("paraphrased_question"),
-        F.col("doc_id").cast("string").alias("sparql_wikidata"),
-        F.col("doc_id").cast("string").alias("wikidata_translated"),
-        F.col("response").alias("model_response"),
-        "eval_manual",
-        "eval_llm",
-        F.try_divide(F.col("n_chars"), F.col("n_chars") + 1000).alias("eval_bert"),
-    )
-    stage = new_path(spark, "evaluated")
-    evaluated = stages.load_or_build(spark, stage, lambda: add_bleu(rows, "doc_id", "model_response"))
-    report = filter_answers(evaluated, "model_response", limit=0.5, key="doc_id")
+    stage = new_path(spark, "filtered")
+    evaluated = stages.load_or_build(spark, stage, lambda: _evaluated(spark, sf_dir))
+    report = filter_answers(evaluated, "response", limit=0.6)
 
     def long(name: str, one: DataFrame) -> DataFrame:
         entries = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in one.columns])
@@ -649,6 +651,6 @@ REGISTERED: dict[str, Query] = {
         histogram_flagged, accepted_labels, label_share, share_split, linear_fit, threshold_step,
         threshold_curve, threshold_sweep,
         contrastive_pairs, score_pairs, pair_similarity, binary_eval, similarity_eval,
-        preprocess_queries, assess_candidates, filtered_answers,
+        preprocess_queries, assess_candidates, evaluate_answers, filtered_answers,
     )
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from phrasewell.functions import fixed_values as fixed
 from phrasewell.functions.vectors import doubles
@@ -76,6 +76,25 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.withColumn("candidates", made)
 
 
+SHOTS = "Shown before: "
+JUDGE_SHOTS = fixed.JUDGE_TASK + "\n"
+
+
+def question_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query and two wordings of a question per conversation, each in one line."""
+
+    def line(name: str) -> Column:
+        return F.replace(name, F.lit("\n"), F.lit(" "))
+
+    return triples(spark, sf_dir).select(
+        F.col("conv_id").alias("row_id"),
+        line("query").alias("question"),
+        line("question").alias("paraphrased_question"),
+        F.concat(F.lit("conversation "), "conv_id").alias("sparql_wikidata"),
+        line("query").alias("wikidata_translated"),
+    )
+
+
 def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select(
         "doc_id", F.col("quality").alias("eval_manual"), (1 - F.col("toxic")).alias("eval_llm")
@@ -139,6 +158,19 @@ def echo_generator() -> Callable:
     return factory
 
 
+def shot_generator(shots: str = SHOTS) -> Callable:
+    """Answers a few-shot prompt with its query, some words put in."""
+
+    def factory() -> Callable:
+        def answer(prompts: list[str], samples: list[int]) -> list[str]:
+            queries = [p.removeprefix(shots).removesuffix("assistant") for p in prompts]
+            return [q.replace("e ", "e so ") for q in queries]
+
+        return answer
+
+    return factory
+
+
 def shortest_critic() -> Callable:
     """Chooses the shortest candidate of a critique prompt, the first one on a tie."""
 

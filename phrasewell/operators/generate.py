@@ -28,29 +28,47 @@ Encoder = Callable[[list[str]], list[Iterable[float]]]
 
 @dataclass(frozen=True)
 class Call:
-    """One model call per row: input columns, new column, its type, and what makes the model."""
+    """One model call per row: input columns, new column, its type, and what makes the model.
+
+    With ``nested`` the inputs are arrays of equal lengths; the model is given their elements and
+    the new column is an array of ``kind``.
+    """
 
     inputs: tuple[str, ...]
     out: str
     kind: T.DataType
     factory: Callable[[], Callable]
+    nested: bool = False
+
+    @property
+    def column_type(self) -> T.DataType:
+        return T.ArrayType(self.kind) if self.nested else self.kind
 
 
 def _attach(df: DataFrame, *calls: Call) -> DataFrame:
     """Add the column of each call, all in one pass over the Arrow batches."""
-    schema = T.StructType([*df.schema.fields, *[T.StructField(c.out, c.kind) for c in calls]])
+    schema = T.StructType([*df.schema.fields, *[T.StructField(c.out, c.column_type) for c in calls]])
     # Plain tuples, so that tasks need nothing of this package.
-    plans = [(c.inputs, c.out, to_arrow_type(c.kind), c.factory) for c in calls]
+    plans = [(c.inputs, c.out, to_arrow_type(c.kind), c.factory, c.nested) for c in calls]
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        models = [factory() for _, _, _, factory in plans]
+        models = [factory() for _, _, _, factory, _ in plans]
         for batch in batches:
             columns, names = list(batch.columns), list(batch.schema.names)
-            for model, (inputs, out, kind, _) in zip(models, plans):
-                made = model(*[batch.column(name).to_pylist() for name in inputs])
-                columns.append(pa.array(made, type=kind))
+            for model, (inputs, out, kind, _, nested) in zip(models, plans):
+                given = [batch.column(name) for name in inputs]
+                if nested:
+                    lengths = pc.fill_null(pc.list_value_length(given[0]), 0).to_numpy(zero_copy_only=False)
+                    given = [lists.flatten() for lists in given]
+                made = pa.array(model(*[values.to_pylist() for values in given]), type=kind)
+                if nested:
+                    ends = np.concatenate([[0], np.cumsum(lengths)]).astype("int32")
+                    made = pa.ListArray.from_arrays(pa.array(ends), made)
+                columns.append(made)
                 names.append(out)
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -122,6 +140,36 @@ def refine_rounds(
     return df
 
 
+def answer_lists(
+    df: DataFrame,
+    k: int,
+    generator: Callable[[], Generator],
+    query: str = "query",
+    context: str = "descriptions",
+    rounds: int = 1,
+    style: str = TAGGED,
+    raw_body: bool = False,
+    out: str = "texts",
+) -> DataFrame:
+    """Like ``answer_candidates`` with the ``k`` answers in one array per query.
+
+    The candidates of a query never leave its row, so nothing has to be gathered by a shuffle.
+    """
+    asked, context_column = F.col(query), F.col(context)
+    numbers = F.sequence(F.lit(0), F.lit(k - 1)) if k > 0 else F.array().cast("array<int>")
+    first = F.array_repeat(translate_prompt(asked, context_column, style), k)
+    columns = df.columns
+    df = df.withColumns({"_samples": numbers, out: first})
+    for turn in range(rounds + 1):
+        prompts = F.transform(out, lambda last: refine_prompt(asked, context_column, last, style))
+        shown = df.withColumn("_prompts", prompts if turn else F.col(out)).drop(out)
+        df = _attach(shown, Call(("_prompts", "_samples"), out, T.StringType(), generator, nested=True))
+        if raw_body:
+            df = df.withColumn(out, F.transform(out, lambda body: response_text(body)))
+        df = df.drop("_prompts")
+    return df.select(*columns, out)
+
+
 def critique_select(
     df: DataFrame,
     generator: Callable[[], Generator],
@@ -183,12 +231,21 @@ def encode_text(
 
 
 def encode_texts(df: DataFrame, *wanted: tuple[str, str, Callable[[], Encoder]]) -> DataFrame:
-    """Add several vectors, each (text, new column, encoder), in one pass."""
+    """Add several vectors, each (text, new column, encoder), in one pass.
+
+    An array of texts gives an array of vectors.
+    """
     texts = {text: f"_text_{i}" for i, text in enumerate(dict.fromkeys(text for text, _, _ in wanted))}
-    asked = df.withColumns({shown: text_or_missing(F.col(text)) for text, shown in texts.items()})
+    lists = {text: isinstance(df.schema[text].dataType, T.ArrayType) for text in texts}
+    asked = df.withColumns(
+        {
+            shown: F.transform(text, lambda t: text_or_missing(t)) if lists[text] else text_or_missing(F.col(text))
+            for text, shown in texts.items()
+        }
+    )
     kind = T.ArrayType(T.FloatType())
-    made = _attach(asked, *[Call((texts[text],), out, kind, encoder) for text, out, encoder in wanted])
-    return made.drop(*texts.values())
+    calls = [Call((texts[text],), out, kind, encoder, lists[text]) for text, out, encoder in wanted]
+    return _attach(asked, *calls).drop(*texts.values())
 
 
 def encode_distinct(

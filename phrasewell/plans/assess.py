@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
 from phrasewell.functions.vectors import doubles
-from phrasewell.operators.candidates import assess_scores, gather_candidates
+from phrasewell.operators.candidates import assess_scores
 from phrasewell.operators.entities import query_text
 from phrasewell.operators.generate import (
     Encoder,
     Generator,
-    answer_candidates,
+    answer_lists,
     critique_select,
     encode_texts,
 )
 from phrasewell.operators.prompts import TAGGED
 from phrasewell.sources.stages import content_key, resume_stage
+from phrasewell.streaming.incremental import append_batches
 
 RESULT_COLUMNS = (
     "query_id", "original_query", "instantiated_query", "original_question",
@@ -43,14 +45,15 @@ def assess(
     run_id: str = "",
     concurrency: int | None = None,
     raw_body: bool = False,
+    only_source: bool = False,
 ) -> DataFrame:
     """Assessed rows: ``RESULT_COLUMNS`` and the vectors behind them, one row per query.
 
     The input has question, sparql_wikidata, sparql_wikidata_translated and descriptions. Answers
     and critiques are stored under ``stage`` before they are used, and a second run with the same
-    ``run_id`` asks for missing ones only. The candidates of a query meet in one shuffle of at most
-    ``k`` rows per key; everything after that happens inside the row. ``concurrency`` is the number
-    of tasks that call the models at a time.
+    ``run_id`` asks for missing ones only. The ``k`` candidates of a query stay in its row from the
+    first prompt to the last score, so no vector is ever shuffled. ``concurrency`` is the number of
+    tasks that call the models at a time; ``only_source`` is that of ``resume_stage``.
     """
     queries = rows.select(
         content_key(F.lit(run_id), F.col("sparql_wikidata"), F.col("question")).alias("query_id"),
@@ -62,38 +65,42 @@ def assess(
         query_text(mode, "sparql_wikidata", "sparql_wikidata_translated").alias("_asked"),
     ).dropDuplicates(["query_id"])
 
+    def spread(todo: DataFrame) -> DataFrame:
+        return todo.repartition(concurrency, "query_id") if concurrency else todo
+
     def answered(todo: DataFrame) -> DataFrame:
-        if concurrency:
-            todo = todo.repartition(concurrency, "query_id")
-        made = answer_candidates(
-            todo, k, generator, rounds=rounds, style=style, raw_body=raw_body
-        )
+        made = answer_lists(spread(todo), k, generator, rounds=rounds, style=style, raw_body=raw_body)
         encoded = encode_texts(
-            made, ("text", "text_vector", text_encoder), ("text", "query_space", query_encoder)
-        )
-        gathered = gather_candidates(encoded, "query_id", "cand_idx", "text", "text_vector", "query_space")
-        sources = encode_texts(
-            todo,
+            made,
+            ("texts", "_text_vectors", text_encoder),
+            ("texts", "_query_spaces", query_encoder),
             ("_asked", "query_vector", query_encoder),
             ("original_question", "truth_vector", text_encoder),
         )
-        return sources.join(gathered, "query_id").drop("_asked")
+        candidates = F.transform(
+            "texts",
+            lambda text, i: F.struct(
+                i.alias("cand_idx"),
+                text.alias("text"),
+                F.get("_text_vectors", i).alias("text_vector"),
+                F.get("_query_spaces", i).alias("query_space"),
+            ),
+        )
+        return encoded.withColumn("candidates", candidates).drop(
+            "texts", "_text_vectors", "_query_spaces", "_asked"
+        )
 
     def criticised(todo: DataFrame) -> DataFrame:
-        if concurrency:
-            todo = todo.repartition(concurrency, "query_id")
-        asked = todo.withColumn("_texts", F.transform("candidates", lambda c: c["text"]))
-        chosen = critique_select(
-            asked, critic, candidates="_texts", style=style, raw_body=raw_body
-        ).drop("_texts")
+        asked = spread(todo).withColumn("_texts", F.transform("candidates", lambda c: c["text"]))
+        chosen = critique_select(asked, critic, candidates="_texts", style=style, raw_body=raw_body)
         return encode_texts(
-            chosen,
+            chosen.drop("_texts"),
             ("critique", "critique_text_vector", text_encoder),
             ("critique", "critique_query_space", query_encoder),
         )
 
-    answers = resume_stage(queries, f"{stage}/answers", "query_id", answered)
-    critiques = resume_stage(answers, f"{stage}/critiques", "query_id", criticised)
+    answers = resume_stage(queries, f"{stage}/answers", "query_id", answered, only_source)
+    critiques = resume_stage(answers, f"{stage}/critiques", "query_id", criticised, only_source)
     as_doubles = critiques.withColumns(
         {
             **{c: doubles(F.col(c)) for c in ("query_vector", "truth_vector", "critique_text_vector", "critique_query_space")},
@@ -115,6 +122,23 @@ def results(assessed: DataFrame) -> DataFrame:
     return assessed.select(*RESULT_COLUMNS)
 
 
+def assess_stream(
+    stream: DataFrame, out: str, stage: str, checkpoint: str, *models: Callable, **options: Any
+) -> DataFrame:
+    """Assess rows as they arrive; the result table grows batch by batch.
+
+    ``models`` and ``options`` are those of ``assess``. A batch that is handed over again after a
+    failure finds its answers and its results stored and adds nothing.
+    """
+
+    def handle(batch: DataFrame, _: int) -> None:
+        flat = results(assess(batch, stage, *models, only_source=True, **options))
+        resume_stage(flat, out, "query_id", lambda todo: todo)
+
+    append_batches(stream, handle, checkpoint)
+    return stream.sparkSession.read.parquet(out)
+
+
 def run_table(assessed: DataFrame, run_id: str, **parameters: object) -> DataFrame:
     """One row with the parameters of a run, kept next to its results."""
     one = assessed.sparkSession.range(1)

@@ -1,16 +1,22 @@
-"""Filter job: score the answers, report on them, keep the good ones."""
+"""Filter job: answer the queries, score the answers, report on them, keep the good ones."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from phrasewell.functions import fixed_values as fixed
+from phrasewell.functions.vectors import cosine, doubles
+from phrasewell.operators.generate import Encoder, Generator, batch_generate, encode_texts, judge_verdict
 from phrasewell.operators.overlap import bleu_score
+from phrasewell.operators.prompts import answer_prompt, judge_prompt
 from phrasewell.operators.rows import project_final, score_filter
 from phrasewell.operators.stats import (
     accepted_labels,
+    attach_labels,
     classifier_metrics,
     confusion,
     histogram,
@@ -19,7 +25,10 @@ from phrasewell.operators.stats import (
     label_share,
     score_stats,
     share_split,
+    threshold_step,
 )
+from phrasewell.sources.stages import resume_stage
+from phrasewell.sources.tables import threshold_table, write_threshold
 
 
 @dataclass(frozen=True)
@@ -46,6 +55,68 @@ def add_bleu(rows: DataFrame, key: str, response: str) -> DataFrame:
     return rows.join(scored.select(key, "eval_bleu"), key)
 
 
+def add_similarity(
+    rows: DataFrame, response: str, encoder: Callable[[], Encoder], out: str = "eval_bert"
+) -> DataFrame:
+    """Rows with the cosine of paraphrased question and response."""
+    encoded = encode_texts(
+        rows, ("paraphrased_question", "_wanted", encoder), (response, "_given", encoder)
+    )
+    score = cosine(doubles(F.col("_wanted")), doubles(F.col("_given")))
+    return encoded.withColumn(out, score).drop("_wanted", "_given")
+
+
+def evaluate_answers(
+    rows: DataFrame,
+    stage: str,
+    generator: Callable[[], Generator],
+    judge: Callable[[], Generator],
+    encoder: Callable[[], Encoder],
+    labels: DataFrame,
+    shots: str,
+    judge_shots: str,
+    key: str = "row_id",
+    response: str = "response",
+    concurrency: int | None = None,
+    raw_body: bool = False,
+) -> DataFrame:
+    """Rows with a response, eval_llm, verdict_valid, eval_bert, eval_bleu and eval_manual.
+
+    The input has question, paraphrased_question, sparql_wikidata and wikidata_translated; ``labels``
+    has the key and eval_manual for some rows. ``shots`` and ``judge_shots`` are the prompts made
+    of worked examples. Answers, and verdicts with similarities, are stored under ``stage``.
+    """
+
+    def spread(todo: DataFrame) -> DataFrame:
+        return todo.repartition(concurrency, key) if concurrency else todo
+
+    def answered(todo: DataFrame) -> DataFrame:
+        asked = spread(todo).withColumn("_prompt", answer_prompt(F.lit(shots), F.col("wikidata_translated")))
+        return batch_generate(asked, "_prompt", response, generator, raw_body=raw_body).drop("_prompt")
+
+    def judged(todo: DataFrame) -> DataFrame:
+        asked = spread(todo).withColumn(
+            "_prompt", judge_prompt(F.lit(judge_shots), F.col("paraphrased_question"), F.col(response))
+        )
+        verdicts = judge_verdict(asked, "_prompt", judge, raw_body=raw_body).drop("_prompt")
+        return add_similarity(verdicts, response, encoder)
+
+    answers = resume_stage(rows, f"{stage}/answers", key, answered)
+    scored = resume_stage(answers, f"{stage}/evaluated", key, judged)
+    return attach_labels(add_bleu(scored, key, response), labels.select(key, "eval_manual"), key)
+
+
+def stored_threshold(spark: SparkSession, path: str, scores: DataFrame, score: str) -> DataFrame:
+    """The limit stored at ``path``; if there is none it is stepped towards the mean and stored."""
+    try:
+        return threshold_table(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    write_threshold(threshold_step(scores, score), path)
+    return threshold_table(spark, path)
+
+
 def filter_answers(
     evaluated: DataFrame,
     response: str,

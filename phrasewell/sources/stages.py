@@ -25,18 +25,24 @@ def read_stage(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def resume_stage(
-    source: DataFrame, path: str, key: str, compute: Callable[[DataFrame], DataFrame]
+    source: DataFrame,
+    path: str,
+    key: str,
+    compute: Callable[[DataFrame], DataFrame],
+    only_source: bool = False,
 ) -> DataFrame:
     """The stage table after the rows of ``source`` that it lacks were computed and appended.
 
     ``key`` is unique in ``source`` and kept by ``compute``. The rows are written before anything
     reads them, so a task that is run again never asks a generator for an already stored answer.
+    A stage belongs to one input that may grow; ``only_source`` leaves out stored rows of others.
     """
     spark = source.sparkSession
     done = read_stage(spark, path)
     todo = source if done is None else source.join(done.select(key), key, "left_anti")
     compute(todo).write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(source.select(key), key, "left_semi")
+    stored = spark.read.parquet(path)
+    return stored.join(source.select(key), key, "left_semi") if only_source else stored
 
 
 def load_or_build(

@@ -14,19 +14,19 @@ QUERY_SCHEMA = T.StructType(
 def scan_pairs(
     spark: SparkSession,
     path: str | list[str],
-    schema: T.StructType | str = QUERY_SCHEMA,
+    schema: T.StructType | str | None = QUERY_SCHEMA,
     multi_line: bool = True,
     position: str | None = None,
 ) -> DataFrame:
-    """Headered, quoted CSV with a given schema.
+    """Headered, quoted CSV with a given schema; without one the types are read off the data.
 
     ``multi_line`` allows line breaks inside quotes, at the price that a file is not split; turn it
     off for large files without them. ``position`` adds the place of each row in the files, which
     grows in file order but is not dense.
     """
+    reader = spark.read.option("inferSchema", True) if schema is None else spark.read.schema(schema)
     table = (
-        spark.read.schema(schema)
-        .option("header", True)
+        reader.option("header", True)
         .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
@@ -83,8 +83,10 @@ def write_nested(documents: DataFrame, path: str) -> None:
 
 
 def threshold_table(spark: SparkSession, path: str) -> DataFrame:
-    """A stored limit: a text file with one number, as a table of one row."""
-    return spark.read.text(path, wholetext=True).select(F.trim("value").cast("double").alias("threshold"))
+    """A stored limit: text with one number, as a table of one row."""
+    return spark.read.text(path).where(F.trim("value") != "").select(
+        F.trim("value").cast("double").alias("threshold")
+    )
 
 
 def write_threshold(df: DataFrame, path: str) -> None:

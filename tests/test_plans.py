@@ -2,10 +2,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import views
-from phrasewell.plans.assess import RESULT_COLUMNS, assess, results, run_table
-from phrasewell.plans.filtering import add_bleu, filter_answers
+from phrasewell.plans.assess import RESULT_COLUMNS, assess, assess_stream, results, run_table
+from phrasewell.plans.filtering import add_bleu, filter_answers, stored_threshold
 from phrasewell.plans.preprocess import preprocess
 from phrasewell.sources import tables
+from phrasewell.streaming.incremental import file_stream
 
 
 def rows(spark):
@@ -43,6 +44,40 @@ def test_query_mode_changes_the_query_side_only(spark, path):
     assert all(raw[q].bert_nl_nl_gt_score_dist == named[q].bert_nl_nl_gt_score_dist for q in raw)
 
 
+def test_candidates_stay_in_their_row(spark, path):
+    from phrasewell.operators import generate as G
+
+    df = rows(spark).withColumnRenamed("sparql_wikidata_translated", "query")
+    lists = G.answer_lists(df, 3, views.echo_generator(), rounds=2)
+    long = G.answer_candidates(df, 3, views.echo_generator(), rounds=2)
+    assert sorted((r.query, i, t) for r in lists.collect() for i, t in enumerate(r.texts)) == sorted(
+        (r.query, r.cand_idx, r.text) for r in long.collect()
+    )
+    plan = run(spark, path, k=3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert [r.texts for r in G.answer_lists(df, 0, views.echo_generator()).collect()] == [[]] * 5
+
+
+def test_a_stream_of_rows_is_assessed_once(spark, path):
+    source = path + "/in"
+    models = (views.echo_generator(), views.shortest_critic(), views.hashing_encoder(), views.hashing_encoder(32))
+    batch = {r.query_id: r for r in results(run(spark, path + "/batch", k=2)).collect()}
+    for part in rows(spark).randomSplit([0.5, 0.5], 1):
+        part.write.mode("append").parquet(source)
+        stream = file_stream(spark, source, rows(spark).schema)
+        got = assess_stream(stream, path + "/out", path + "/stage", path + "/checkpoint", *models, k=2)
+    again = assess_stream(stream, path + "/out", path + "/stage", path + "/other", *models, k=2)
+    assert {r.query_id: r for r in got.collect()} == batch == {r.query_id: r for r in again.collect()}
+    assert again.count() == 5
+
+
+def test_threshold_is_stored_once(spark, path):
+    high = spark.createDataFrame([(0.9,)], "s double")
+    assert stored_threshold(spark, path, high, "s").collect()[0].threshold == 0.6000000000000004
+    low = spark.createDataFrame([(0.0,)], "s double")
+    assert stored_threshold(spark, path, low, "s").collect()[0].threshold == 0.6000000000000004
+
+
 def test_documents_round_trip(spark, path):
     assessed = run(spark, path + "/stage", k=2)
     tables.write_nested(tables.nested_documents(assessed), path + "/documents")
