@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from phrasewell.functions import ratios as R, vectors as V
 from phrasewell.operators.generate import Encoder, encode_texts
 from phrasewell.operators.ranges import running_totals, with_next
-from phrasewell.operators.stats import histogram, score_counts
+from phrasewell.operators.stats import histogram, present_scores, score_counts
 
 
 def contrastive_pairs(df: DataFrame, key: str, query: str, question: str) -> DataFrame:
@@ -52,9 +52,10 @@ def binary_eval(df: DataFrame, score: str, label: str) -> DataFrame:
     A limit lies halfway between two neighbouring distinct scores; the lowest score itself is not
     tried as one. On a tie the higher limit wins. AP sums precision times gain of recall.
     """
-    counts = score_counts(df, score, label)
+    present = present_scores(df, score)
     running = running_totals(
-        counts, "score", {"tp": "pos", "fp": "neg"}, descending=True, following="lower"
+        score_counts(present, label), "score", {"tp": "pos", "fp": "neg"},
+        descending=True, following="lower", basis=present,
     )
     tp, fp, all_pos, all_neg = (F.col(c) for c in ("tp", "fp", "tp_total", "fp_total"))
     p, r = R.precision(tp, fp), F.try_divide(tp.cast("double"), all_pos)
@@ -91,8 +92,9 @@ def similarity_eval(df: DataFrame, score: str, label: str) -> DataFrame:
     Ranks are averages over equal values, measured from the middle rank. They come from counts of
     distinct scores; the two ranks of the label follow from the number of rows of each.
     """
-    counts = score_counts(df, score, label).withColumn("c", F.col("pos") + F.col("neg"))
-    running = running_totals(counts, "score", {"upto": "c", "_pos": "pos", "_neg": "neg"})
+    present = present_scores(df, score)
+    counts = score_counts(present, label).withColumn("c", F.col("pos") + F.col("neg"))
+    running = running_totals(counts, "score", {"upto": "c", "_pos": "pos", "_neg": "neg"}, basis=present)
     pos, neg = F.col("_pos_total").cast("double"), F.col("_neg_total").cast("double")
     rank = F.col("upto") - (F.col("c") - 1) / 2 - (pos + neg + 1) / 2
     # Ranks of the label, from the middle: zeros lie pos/2 below it, ones neg/2 above it.
@@ -103,5 +105,5 @@ def similarity_eval(df: DataFrame, score: str, label: str) -> DataFrame:
         F.sum(F.col("c")).alias("n"),
     )
     spearman = F.try_divide(F.col("rl"), F.sqrt("rr") * F.sqrt("ll"))
-    pearson = df.agg(F.corr(F.col(score).cast("double"), F.col(label).cast("double")).alias("p")).scalar()
+    pearson = present.agg(F.corr("score", F.col(label).cast("double")).alias("p")).scalar()
     return sums.select(pearson.alias("pearson"), spearman.alias("spearman"), "n")

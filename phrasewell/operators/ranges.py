@@ -28,21 +28,31 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(bucket_count(df), key)
 
 
-def with_bucket(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
-    """Add ``_bucket``, which never falls when ``key`` grows. ``key`` is numeric, date or time."""
+def with_bucket(
+    df: DataFrame, key: str, buckets: int | None = None, basis: DataFrame | None = None
+) -> DataFrame:
+    """Add ``_bucket``, which never falls when ``key`` grows. ``key`` is numeric, date or time.
+
+    The cut points are taken from ``basis``, by default ``df`` itself. For counts of distinct values
+    the raw rows are a good basis: they need no shuffle, and a bucket of few rows has few values.
+    """
     n = buckets or bucket_count(df)
-    kind = df.schema[key].dataType
-    value = F.unix_micros(F.col(key).cast("timestamp")) if isinstance(
-        kind, (T.DateType, T.TimestampType, T.TimestampNTZType)
-    ) else F.col(key)
-    keyed = df.withColumn(_AS_DOUBLE, value.cast("double"))
-    cuts = keyed.approxQuantile(_AS_DOUBLE, [i / n for i in range(1, n)], 1 / (4 * n))
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        value = F.col(key)
+        if isinstance(df.schema[key].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            value = F.unix_micros(value.cast("timestamp"))
+        return rows.withColumn(_AS_DOUBLE, value.cast("double"))
+
+    cuts = keyed(df if basis is None else basis).approxQuantile(
+        _AS_DOUBLE, [i / n for i in range(1, n)], 1 / (4 * n)
+    )
     if not cuts:
-        return keyed.withColumn(BUCKET, F.lit(0)).drop(_AS_DOUBLE)
+        return df.withColumn(BUCKET, F.lit(0))
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     placed = Bucketizer(
         splits=splits, inputCol=_AS_DOUBLE, outputCol=BUCKET, handleInvalid="keep"
-    ).transform(keyed)
+    ).transform(keyed(df))
     return placed.withColumn(BUCKET, F.col(BUCKET).cast("int")).drop(_AS_DOUBLE)
 
 
@@ -62,14 +72,15 @@ def running_totals(
     descending: bool = False,
     buckets: int | None = None,
     following: str | None = None,
+    basis: DataFrame | None = None,
 ) -> DataFrame:
     """Add inclusive running sums in the order of ``key``, which must be unique and not null.
 
     ``sums`` maps new column names to the columns that are summed up; the sum over all rows is
     added too, with ``_total`` at the end of the name. ``following`` names a column for the next
-    key in order, NULL in the last row.
+    key in order, NULL in the last row; ``basis`` is that of ``with_bucket``.
     """
-    placed = with_bucket(df, key, buckets)
+    placed = with_bucket(df, key, buckets, basis)
     head = F.max(key) if descending else F.min(key)
     totals = placed.groupBy(BUCKET).agg(
         *[F.sum(c).alias(f"_in_{new}") for new, c in sums.items()], head.alias("_head")

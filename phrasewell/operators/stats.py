@@ -60,11 +60,11 @@ def judge_summary(counts: DataFrame, n: int | None = None) -> DataFrame:
     )
 
 
-def value_counts(df: DataFrame, score: str) -> DataFrame:
-    """Each value of a score with its number of rows; missing scores drop."""
-    value = F.col(score).cast("double")
-    present = df.select(value.alias("score")).where(F.col("score").isNotNull() & ~F.isnan("score"))
-    return present.groupBy("score").agg(F.count("*").alias("c"))
+def present_scores(df: DataFrame, score: str) -> DataFrame:
+    """The score as DOUBLE in ``score``, without missing ones; other columns stay."""
+    others = [c for c in df.columns if c != "score"]
+    named = df.select(*others, F.col(score).cast("double").alias("score"))
+    return named.where(F.col("score").isNotNull() & ~F.isnan("score"))
 
 
 def score_stats(df: DataFrame, score: str) -> DataFrame:
@@ -73,7 +73,9 @@ def score_stats(df: DataFrame, score: str) -> DataFrame:
     All are taken from the counts of distinct values; the median comes from running sums over
     value ranges, so no task has to hold all values.
     """
-    counts = running_totals(value_counts(df, score), "score", {"upto": "c"})
+    present = present_scores(df, score).select("score")
+    counted = present.groupBy("score").agg(F.count("*").alias("c"))
+    counts = running_totals(counted, "score", {"upto": "c"}, basis=present)
     n, value = F.col("upto_total"), F.col("score")
     middle = F.when(
         (F.col("upto") > F.floor((n - 1) / 2)) & (F.col("upto") - F.col("c") <= F.floor(n / 2)), value
@@ -270,19 +272,19 @@ def threshold_step(
     return df.agg(F.avg(score).alias("mean_score")).select("mean_score", moved.alias("threshold"))
 
 
-def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
+def score_counts(present: DataFrame, label: str) -> DataFrame:
     """Per distinct score the rows with label 1 and with label 0."""
-    value = F.col(score).cast("double")
-    present = df.where(value.isNotNull() & ~F.isnan(value) & F.col(label).isNotNull())
-    return present.groupBy(value.alias("score")).agg(
+    return present.where(F.col(label).isNotNull()).groupBy("score").agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
 
 
 def threshold_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """For each distinct score as inclusive limit: tp, fp, fn, tn, precision, recall, F1."""
-    counts = score_counts(df, score, label)
-    running = running_totals(counts, "score", {"tp": "pos", "fp": "neg"}, descending=True)
+    present = present_scores(df, score)
+    running = running_totals(
+        score_counts(present, label), "score", {"tp": "pos", "fp": "neg"}, descending=True, basis=present
+    )
     full = running.select(
         F.col("score").alias("threshold"), "tp", "fp",
         (F.col("tp_total") - F.col("tp")).alias("fn"), (F.col("fp_total") - F.col("fp")).alias("tn"),

@@ -19,6 +19,7 @@ from phrasewell.operators.generate import (
 )
 from phrasewell.operators.prompts import TAGGED
 from phrasewell.sources.stages import content_key, resume_stage
+from phrasewell.sources.tables import write_results
 from phrasewell.streaming.incremental import append_batches
 
 RESULT_COLUMNS = (
@@ -45,7 +46,6 @@ def assess(
     run_id: str = "",
     concurrency: int | None = None,
     raw_body: bool = False,
-    only_source: bool = False,
 ) -> DataFrame:
     """Assessed rows: ``RESULT_COLUMNS`` and the vectors behind them, one row per query.
 
@@ -53,7 +53,7 @@ def assess(
     and critiques are stored under ``stage`` before they are used, and a second run with the same
     ``run_id`` asks for missing ones only. The ``k`` candidates of a query stay in its row from the
     first prompt to the last score, so no vector is ever shuffled. ``concurrency`` is the number of
-    tasks that call the models at a time; ``only_source`` is that of ``resume_stage``.
+    tasks that call the models at a time.
     """
     queries = rows.select(
         content_key(F.lit(run_id), F.col("sparql_wikidata"), F.col("question")).alias("query_id"),
@@ -99,8 +99,8 @@ def assess(
             ("critique", "critique_query_space", query_encoder),
         )
 
-    answers = resume_stage(queries, f"{stage}/answers", "query_id", answered, only_source)
-    critiques = resume_stage(answers, f"{stage}/critiques", "query_id", criticised, only_source)
+    answers = resume_stage(queries, f"{stage}/answers", "query_id", answered)
+    critiques = resume_stage(answers, f"{stage}/critiques", "query_id", criticised)
     as_doubles = critiques.withColumns(
         {
             **{c: doubles(F.col(c)) for c in ("query_vector", "truth_vector", "critique_text_vector", "critique_query_space")},
@@ -127,16 +127,17 @@ def assess_stream(
 ) -> DataFrame:
     """Assess rows as they arrive; the result table grows batch by batch.
 
-    ``models`` and ``options`` are those of ``assess``. A batch that is handed over again after a
-    failure finds its answers and its results stored and adds nothing.
+    ``models`` and ``options`` are those of ``assess``. Each batch has folders of its own for its
+    answers and its results: one that is handed over again after a failure goes on with its stored
+    answers and replaces its results, and no batch reads what earlier ones wrote.
     """
 
-    def handle(batch: DataFrame, _: int) -> None:
-        flat = results(assess(batch, stage, *models, only_source=True, **options))
-        resume_stage(flat, out, "query_id", lambda todo: todo)
+    def handle(batch: DataFrame, number: int) -> None:
+        flat = results(assess(batch, f"{stage}/batch={number}", *models, **options))
+        write_results(flat, f"{out}/batch={number}")
 
     append_batches(stream, handle, checkpoint)
-    return stream.sparkSession.read.parquet(out)
+    return stream.sparkSession.read.parquet(out).drop("batch")
 
 
 def run_table(assessed: DataFrame, run_id: str, **parameters: object) -> DataFrame:

@@ -56,8 +56,8 @@ def append_batches(
 ) -> None:
     """Like ``append_results`` for work that is more than row by row: ``handle`` gets each batch.
 
-    A batch may be handed over again after a failure, so ``handle`` has to write by a key, as
-    ``resume_stage`` does.
+    A batch may be handed over again after a failure, so ``handle`` has to replace what is stored
+    under the number of the batch, or to write by a key as ``resume_stage`` does.
     """
     (
         stream.writeStream.foreachBatch(handle)
