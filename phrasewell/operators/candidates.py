@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phrasewell.functions import fixed_values as fixed, vectors as V
 from phrasewell.functions.text import tokens
+from phrasewell.operators.lookup import lookup
 from phrasewell.operators.ranges import BUCKET, spread, with_bucket
 from phrasewell.session import BROADCAST_BYTES, fits
 
@@ -53,13 +54,13 @@ def mean_pool(
 
     ``table`` holds ``token`` and ``vector``. Equal tokens of a text are counted before they meet
     their vector, and means are one sum per dimension, so that each task sends partial sums. A
-    table that is measured to be small is broadcast.
+    table that is measured to be small is broadcast; otherwise popular tokens are salted.
     """
     counted = (
         token_rows.where(F.col(position) < max_tokens).groupBy(key, token).agg(F.count("*").alias("_c"))
     )
     vectors = table.select(token, V.doubles(F.col("vector")).alias("_v"))
-    joined = counted.join(F.broadcast(vectors) if fits(vectors, broadcast_bytes) else vectors, token)
+    joined = lookup(counted, vectors, token, "inner", broadcast_bytes)
     sums = joined.groupBy(key).agg(
         F.sum("_c").alias("_n"),
         F.array(*[F.sum(F.get("_v", F.lit(d)) * F.col("_c")) for d in range(dims)]).alias("_sums"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from phrasewell.functions import fixed_values as fixed
 from phrasewell.functions.text import ANY_MENTION, mention_key, mentions
+from phrasewell.operators.lookup import lookup, salted_join
 from phrasewell.operators.ranges import spread
 from phrasewell.session import BROADCAST_BYTES, fits
 
@@ -25,18 +26,12 @@ def mention_freq(mentioned: DataFrame, top: int | None = None) -> DataFrame:
     return counted.orderBy(F.col("n").desc(), "part").limit(top) if top else counted
 
 
-def label_lookup(mentioned: DataFrame, labels: DataFrame) -> DataFrame:
-    """Mentions with label and description; NULL where the table has none.
-
-    A popular identifier makes the left side skewed, never the right one, which holds each id once.
-    The adaptive join splits such a partition, and a small label table is broadcast by its size.
-    """
+def label_lookup(
+    mentioned: DataFrame, labels: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Mentions with label and description; NULL where the table has none."""
     keyed = mentioned.withColumn("id", mention_key(F.col("part")))
-    return _with_labels(keyed, labels)
-
-
-def _with_labels(keyed: DataFrame, labels: DataFrame) -> DataFrame:
-    return keyed.join(labels.select("id", "label", "description"), "id", "left")
+    return lookup(keyed, labels.select("id", "label", "description"), "id", "left", broadcast_bytes)
 
 
 def _segments(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -81,13 +76,14 @@ def resolve_entities(
     Texts are cut into segments, joined with the labels and put together again in order, so an
     inserted label is never searched. ``key`` is unique, so no group outgrows one text. With labels
     that are measured to be few, whole texts are spread by key and nothing else is shuffled;
-    otherwise the segments are shuffled by id and put together by key.
+    otherwise the segments are shuffled by id, popular ids salted, and put together by key.
     """
     known = labels.select("id", "label", "description")
     if fits(known, broadcast_bytes):
-        pieces = _with_labels(_segments(spread(df.select(key, text), key), key, text), F.broadcast(known))
+        whole = spread(df.select(key, text), key)
+        pieces = _segments(whole, key, text).join(F.broadcast(known), "id", "left")
     else:
-        pieces = _with_labels(_segments(df, key, text), known)
+        pieces = salted_join(_segments(df, key, text), known, "id")
     shown = F.coalesce(F.concat(F.lit("["), F.col("label"), F.lit("]")), F.col("part"))
     told = F.when(
         F.col("part").isNotNull() & F.col("description").isNotNull(),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from phrasewell.functions.text import response_text, text_or_missing
+from phrasewell.operators.lookup import salted_join
 from phrasewell.operators.prompts import (
     TAGGED,
     candidate_fanout,
@@ -253,10 +254,9 @@ def encode_distinct(
 ) -> DataFrame:
     """Like ``encode_text`` for tables with many equal texts: each distinct text is encoded once.
 
-    The encoded side holds a text once, so a text that fills a third of the table skews only the
-    other side, which the adaptive join splits.
+    A text that fills much of the table is salted in the join that brings the vectors back.
     """
     keyed = df.withColumn("_key", F.sha2(text_or_missing(F.col(text)), 256))
     once = keyed.select("_key", text).dropDuplicates(["_key"])
     vectors = encode_text(once, text, out, encoder, concurrency).select("_key", out)
-    return keyed.join(vectors, "_key", "left").drop("_key")
+    return salted_join(keyed, vectors, "_key").drop("_key")

@@ -7,13 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from phrasewell.functions import fixed_values as fixed, ratios as R
+from phrasewell.operators.lookup import lookup, salted_join
 from phrasewell.operators.ranges import running_totals
 from phrasewell.session import BROADCAST_BYTES, fits
 
 
-def attach_labels(df: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+def attach_labels(
+    df: DataFrame, labels: DataFrame, key: str, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """Hand-made 0/1 labels put next to the rows; NULL where a row has none."""
-    return df.join(labels, key, "left")
+    return lookup(df, labels, key, "left", broadcast_bytes)
 
 
 def confusion(df: DataFrame, manual: str = "eval_manual", judge: str = "eval_llm") -> DataFrame:
@@ -174,6 +177,7 @@ def accepted_labels(
     ``_x`` and ``_y``. Rows that match and rows that do not are made apart: a question that fills
     much of the evaluated table then never has to sit on the unsplittable side of an outer join,
     and accepted rows that are measured to be few are broadcast.
+    Otherwise popular questions are salted.
     """
     both = (set(accepted.columns) & set(evaluated.columns)) - {key}
 
@@ -182,11 +186,13 @@ def accepted_labels(
 
     left = _first(accepted, order, n).select(_digest(key), key, *renamed(accepted, "_x"))
     right = evaluated.select(_digest(key), *renamed(evaluated, "_y"))
-    few = fits(left, broadcast_bytes)
-    matched = right.join(F.broadcast(left) if few else left, "_key")
-    wanted = left.select("_key").distinct()
-    seen = right.select("_key").join(F.broadcast(wanted) if few else wanted, "_key", "left_semi").distinct()
-    alone = left.join(seen, "_key", "left_anti").drop("_key")
+    wanted, there = left.select("_key").distinct(), right.select("_key").distinct()
+    seen = wanted.join(there, "_key", "left_semi")
+    if fits(left, broadcast_bytes):
+        matched = right.join(F.broadcast(left), "_key")
+    else:
+        matched = salted_join(right, left, "_key", "inner")
+    alone = salted_join(left, seen, "_key", "left_anti").drop("_key")
     columns = [*left.columns[1:], *right.columns[1:]]
     return matched.select(*columns).unionByName(alone, allowMissingColumns=True)
 
