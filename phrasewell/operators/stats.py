@@ -98,7 +98,7 @@ def histogram(
     bins: int,
     by: str | None = None,
     groups: Sequence[float | int | str] = (),
-    threshold: float | None = None,
+    threshold: float | Column | None = None,
 ) -> DataFrame:
     """Equal-width bins over [min, max], the last one closed; empty bins appear.
 
@@ -150,7 +150,7 @@ def histogram(
     return shown if threshold is None else shown.withColumn("below", F.col("left") < threshold)
 
 
-def histogram_flagged(df: DataFrame, score: str, threshold: float, bins: int = 200) -> DataFrame:
+def histogram_flagged(df: DataFrame, score: str, threshold: float | Column, bins: int = 200) -> DataFrame:
     return histogram(df, score, bins, threshold=threshold)
 
 

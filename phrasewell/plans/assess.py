@@ -46,6 +46,7 @@ def assess(
     run_id: str = "",
     concurrency: int | None = None,
     raw_body: bool = False,
+    slices: int = 1,
 ) -> DataFrame:
     """Assessed rows: ``RESULT_COLUMNS`` and the vectors behind them, one row per query.
 
@@ -53,7 +54,7 @@ def assess(
     and critiques are stored under ``stage`` before they are used, and a second run with the same
     ``run_id`` asks for missing ones only. The ``k`` candidates of a query stay in its row from the
     first prompt to the last score, so no vector is ever shuffled. ``concurrency`` is the number of
-    tasks that call the models at a time.
+    tasks that call the models at a time; ``slices`` is that of ``resume_stage``.
     """
     queries = rows.select(
         content_key(F.lit(run_id), F.col("sparql_wikidata"), F.col("question")).alias("query_id"),
@@ -99,8 +100,8 @@ def assess(
             ("critique", "critique_query_space", query_encoder),
         )
 
-    answers = resume_stage(queries, f"{stage}/answers", "query_id", answered)
-    critiques = resume_stage(answers, f"{stage}/critiques", "query_id", criticised)
+    answers = resume_stage(queries, f"{stage}/answers", "query_id", answered, slices=slices)
+    critiques = resume_stage(answers, f"{stage}/critiques", "query_id", criticised, slices=slices)
     as_doubles = critiques.withColumns(
         {
             **{c: doubles(F.col(c)) for c in ("query_vector", "truth_vector", "critique_text_vector", "critique_query_space")},

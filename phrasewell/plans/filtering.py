@@ -79,6 +79,7 @@ def evaluate_answers(
     response: str = "response",
     concurrency: int | None = None,
     raw_body: bool = False,
+    slices: int = 1,
 ) -> DataFrame:
     """Rows with a response, eval_llm, verdict_valid, eval_bert, eval_bleu and eval_manual.
 
@@ -101,8 +102,8 @@ def evaluate_answers(
         verdicts = judge_verdict(asked, "_prompt", judge, raw_body=raw_body).drop("_prompt")
         return add_similarity(verdicts, response, encoder)
 
-    answers = resume_stage(rows, f"{stage}/answers", key, answered)
-    scored = resume_stage(answers, f"{stage}/evaluated", key, judged)
+    answers = resume_stage(rows, f"{stage}/answers", key, answered, slices=slices)
+    scored = resume_stage(answers, f"{stage}/evaluated", key, judged, slices=slices)
     return attach_labels(add_bleu(scored, key, response), labels.select(key, "eval_manual"), key)
 
 
@@ -146,9 +147,7 @@ def filter_answers(
         bleu_stats=score_stats(evaluated, "eval_bleu"),
         bert_histogram=histogram(evaluated, "eval_bert", bins),
         bleu_histogram=histogram(evaluated, "eval_bleu", bins),
-        accepted_histogram=histogram_flagged(
-            evaluated, "eval_bert", limit if isinstance(limit, float) else fixed.SCORE_LIMIT, fine_bins
-        ),
+        accepted_histogram=histogram_flagged(evaluated, "eval_bert", limit, fine_bins),
         accepted=accepted_labels(*sides, order=[key], n=labelled_rows),
         shares=label_share(*sides, order=[key], n=labelled_rows),
         split=share_split(counts),

@@ -30,17 +30,22 @@ def resume_stage(
     key: str,
     compute: Callable[[DataFrame], DataFrame],
     only_source: bool = False,
+    slices: int = 1,
 ) -> DataFrame:
     """The stage table after the rows of ``source`` that it lacks were computed and appended.
 
     ``key`` is unique in ``source`` and kept by ``compute``. The rows are written before anything
     reads them, so a task that is run again never asks a generator for an already stored answer.
     A stage belongs to one input that may grow; ``only_source`` leaves out stored rows of others.
+    With ``slices`` the rows are computed and stored in that many parts by the hash of the key, so
+    that a run that breaks loses the part it was at, at the price of reading the source per part.
     """
     spark = source.sparkSession
     done = read_stage(spark, path)
     todo = source if done is None else source.join(done.select(key), key, "left_anti")
-    compute(todo).write.mode("append").parquet(path)
+    for i in range(slices):
+        part = todo if slices == 1 else todo.where(F.pmod(F.xxhash64(key), F.lit(slices)) == i)
+        compute(part).write.mode("append").parquet(path)
     stored = spark.read.parquet(path)
     return stored.join(source.select(key), key, "left_semi") if only_source else stored
 

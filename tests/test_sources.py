@@ -37,6 +37,23 @@ def test_a_resumed_stage_computes_missing_rows_only(spark, path):
     assert sorted((r.id, r.twice) for r in once.collect()) == [(i, 2 * i) for i in range(6)]
 
 
+def test_a_broken_run_keeps_its_finished_slices(spark, path):
+    calls = []
+
+    def compute(todo):
+        calls.append(todo.count())
+        if len(calls) == 3:
+            raise RuntimeError("broken")
+        return todo.withColumn("x", F.col("id"))
+
+    with pytest.raises(RuntimeError):
+        stages.resume_stage(spark.range(200), path, "id", compute, slices=4)
+    kept = spark.read.parquet(path).count()
+    assert kept == calls[0] + calls[1] > 0
+    assert stages.resume_stage(spark.range(200), path, "id", compute, slices=4).count() == 200
+    assert sum(calls[3:]) == 200 - kept
+
+
 def test_content_keys_tell_missing_from_empty(spark):
     df = spark.createDataFrame([("a", "b"), ("a", None), ("a", ""), ("ab", "")], "x string, y string")
     keyed = df.select(stages.content_key(F.col("x"), F.col("y")).alias("k"))
