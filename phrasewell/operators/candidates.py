@@ -286,7 +286,9 @@ def cluster_median(
     Only the range that holds the middle is then looked at, as counts of distinct values, so no
     task needs a whole group and one range holds no more than its share of all values.
     """
-    values = df.select(key, F.posexplode(V.doubles(F.col(vector))).alias("dim", "x"))
+    values = df.select(key, F.posexplode(V.doubles(F.col(vector))).alias("dim", "x")).where(
+        F.col("x").isNotNull()
+    )
     placed = with_bucket(values, "x", buckets)
     counts = placed.groupBy(key, "dim", BUCKET).agg(F.count("*").alias("c"))
     # A group has one row per range here, so this window and its sort stay small.

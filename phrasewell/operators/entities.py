@@ -44,7 +44,7 @@ def _segments(df: DataFrame, key: str, text: str) -> DataFrame:
         F.split(F.col(text), ANY_MENTION).alias("literal"),
         F.regexp_extract_all(F.col(text), F.lit(ANY_MENTION), F.lit(0)).alias("part"),
     )
-    return df.select(key, F.posexplode(cut).alias("seg", "piece")).select(
+    return df.select(key, F.posexplode_outer(cut).alias("seg", "piece")).select(
         key,
         "seg",
         "piece.literal",
@@ -73,7 +73,7 @@ def resolve_entities(
 ) -> DataFrame:
     """Per row: text with labels put in, descriptions, number of mentions left unresolved.
 
-    Texts are cut into segments, joined with the labels and put together again in order, so an
+    ``labels`` holds each id once; a missing text stays missing. Texts are cut into segments, joined with the labels and put together again in order, so an
     inserted label is never searched. ``key`` is unique, so no group outgrows one text. With labels
     that are measured to be few, whole texts are spread by key and nothing else is shuffled;
     otherwise the segments are shuffled by id, popular ids salted, and put together by key.
@@ -101,11 +101,13 @@ def resolve_entities(
         ).alias("_pieces"),
         F.array_sort(F.collect_list(told)).alias("_told"),
         F.count_if(F.col("part").isNotNull() & F.col("label").isNull()).alias("unresolved"),
+        F.bool_or(F.col("literal").isNotNull()).alias("_present"),
     )
     lines = F.transform("_told", lambda t: t["line"])
+    joined = F.array_join(F.transform("_pieces", lambda p: p["piece"]), "")
     return gathered.select(
         key,
-        F.array_join(F.transform("_pieces", lambda p: p["piece"]), "").alias("translated"),
+        F.when(F.col("_present"), joined).alias("translated"),
         (F.array_distinct(lines) if distinct else lines).alias("descriptions"),
         "unresolved",
     )

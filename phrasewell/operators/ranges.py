@@ -53,7 +53,8 @@ def with_bucket(
     placed = Bucketizer(
         splits=splits, inputCol=_AS_DOUBLE, outputCol=BUCKET, handleInvalid="keep"
     ).transform(keyed(df))
-    return placed.withColumn(BUCKET, F.col(BUCKET).cast("int")).drop(_AS_DOUBLE)
+    # A missing key sorts first, as it does in the window of its bucket.
+    return placed.withColumn(BUCKET, F.coalesce(F.col(BUCKET).cast("int"), F.lit(0))).drop(_AS_DOUBLE)
 
 
 def _place(placed: DataFrame, per_bucket: DataFrame, buckets: int | None) -> DataFrame:
@@ -74,7 +75,7 @@ def running_totals(
     following: str | None = None,
     basis: DataFrame | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums in the order of ``key``, which must be unique and not null.
+    """Add inclusive running sums in the order of ``key``, which must be unique.
 
     ``sums`` maps new column names to the columns that are summed up; the sum over all rows is
     added too, with ``_total`` at the end of the name. ``following`` names a column for the next

@@ -18,6 +18,13 @@ def test_row_index_of_text_and_composite_keys(spark):
     assert got == {k: i for i, k in enumerate(sorted(got))}
 
 
+def test_a_missing_key_comes_first(spark):
+    df = spark.createDataFrame([(4,), (None,), (9,), (-3,)], "k bigint")
+    assert {r.k: r.row_id for r in rows.row_index(df, "k", buckets=3).collect()} == {None: 0, -3: 1, 4: 2, 9: 3}
+    down = ranges.running_totals(df.withColumn("c", F.lit(1)), "k", {"t": "c"}, descending=True, buckets=3)
+    assert {r.k: r.t for r in down.collect()} == {9: 1, 4: 2, -3: 3, None: 4}
+
+
 def test_row_index_of_few_rows(spark):
     assert rows.row_index(spark.range(5, 6), "id").collect()[0].row_id == 0
     assert rows.row_index(spark.range(0), "id").count() == 0
