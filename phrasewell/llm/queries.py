@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phrasewell.llm import simhash
+from phrasewell.llm import near_vectors, simhash
 from phrasewell.llm.common import table
 
 
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+    component = F.col("component")
+    return found.select("vec_id", "n_links", component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     shown = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
@@ -15,5 +21,6 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_near_vectors": op4_near_vectors,
     "op7_simhash": op7_simhash,
 }
