@@ -12,7 +12,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phrasewell.llm.common import free_name, stored, word_blocks
 from phrasewell.llm.components import components
@@ -82,20 +82,20 @@ def masks(width: int, within: int) -> list[int]:
 def linked(fingerprints: DataFrame, radius: int = 2, width: int = 64) -> DataFrame:
     """Edges (a, b) that link the distinct values of the column ``fingerprint`` within ``radius`` bits.
 
-    Members of an even ball of radius ``radius`` / 2 lie within the radius of each other, so an edge
-    from each to the smallest one keeps all links; a ball holds few values, however large the input.
+    All that meet at a value lie within the radius of each other, so an edge from each to the next
+    smaller one keeps all links, and what meets is read in order without being held.
     """
     half = radius // 2
     if radius % 2:
         raise ValueError("the radius must be even: both sides emit half of it")
-    ball = F.array(*[F.col("fingerprint").bitwiseXOR(F.lit(m)) for m in masks(width, half)])
-    met = (
+    ball = F.transform(F.lit(masks(width, half)), lambda m: F.col("fingerprint").bitwiseXOR(m))
+    met = Window.partitionBy("value").orderBy("fingerprint")
+    pairs = (
         fingerprints.select("fingerprint", F.explode(ball).alias("value"))
-        .groupBy("value")
-        .agg(F.collect_list("fingerprint").alias("met"))
-        .where(F.size("met") > 1)
+        .select(F.col("fingerprint").alias("a"), F.lag("fingerprint").over(met).alias("b"))
+        .where("b is not null")
+        .distinct()
     )
-    pairs = met.select(F.explode("met").alias("a"), F.array_min("met").alias("b")).where("a != b").distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
