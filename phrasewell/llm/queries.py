@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phrasewell.llm import near_vectors, simhash
+from phrasewell.llm import near_vectors, secrets, simhash
 from phrasewell.llm.common import table
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    count = lambda kind: F.size(secrets.of_kind(F.col("spans"), kind)).cast("bigint").alias(f"n_{kind}")
+    base = secrets.shown(secrets.of_kind(F.col("spans"), "assign", "access", "hex"))
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(base, 256).alias("base_sha256"), secrets.shown(F.col("spans")).alias("spans"),
+    )
+
+
 def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
     component = F.col("component")
@@ -21,6 +31,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_secrets": op3_secrets,
     "op4_near_vectors": op4_near_vectors,
     "op7_simhash": op7_simhash,
 }
