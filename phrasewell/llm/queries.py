@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phrasewell.llm import near_vectors, secrets, simhash
+from phrasewell.llm import near_vectors, quality, secrets, simhash
 from phrasewell.llm.common import table
 
 
@@ -30,8 +30,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", shown.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.assess(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability"
+    )
+
+
 QUERIES = {
     "op3_secrets": op3_secrets,
     "op4_near_vectors": op4_near_vectors,
     "op7_simhash": op7_simhash,
+    "op9_quality": op9_quality,
 }
