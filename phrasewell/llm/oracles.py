@@ -1,3 +1,15 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_warc": """
+WITH read AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+hashed AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS h FROM read),
+top AS (SELECT h, max(page_id) AS last FROM hashed GROUP BY h),
+bits AS (SELECT h, last, list_aggregate(list_transform(range(1, 41), lambda i: right('000' || bin(instr('0123456789abcdef', h[i]) - 1), 4)), 'string_agg', '') AS b FROM top),
+spelled AS (SELECT h, last, list_aggregate(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST(1 + list_sum(list_transform(range(0, 5), lambda k: CAST(b[5 * i + 1 + k] AS INTEGER) * (16 >> CAST(k AS INTEGER)))) AS INTEGER)]), 'string_agg', '') AS payload_digest FROM bits)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM hashed JOIN spelled USING (h)
+""",
+}

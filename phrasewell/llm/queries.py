@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phrasewell.llm import near_vectors, quality, secrets, simhash
-from phrasewell.llm.common import table
+from phrasewell.llm import near_vectors, packing, quality, secrets, simhash, warc
+from phrasewell.llm.common import stored, table
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,11 @@ def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer, with_ids=False).drop("ids")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     shown = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
@@ -37,9 +43,16 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = stored(warc.archives(table(spark, sf_dir, "pages")), "archives")
+    return warc.records(files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op3_secrets": op3_secrets,
     "op4_near_vectors": op4_near_vectors,
+    "op5_packing": op5_packing,
     "op7_simhash": op7_simhash,
     "op9_quality": op9_quality,
+    "op10_warc": op10_warc,
 }
