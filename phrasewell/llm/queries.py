@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phrasewell.llm import near_vectors, packing, quality, secrets, simhash, warc
+from phrasewell.llm import language, near_vectors, packing, quality, secrets, simhash, warc
 from phrasewell.llm.common import stored, table
 
 
@@ -36,6 +36,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", shown.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.assess(table(spark, sf_dir, "documents"))
     return found.select(
@@ -53,6 +57,7 @@ QUERIES = {
     "op4_near_vectors": op4_near_vectors,
     "op5_packing": op5_packing,
     "op7_simhash": op7_simhash,
+    "op8_language": op8_language,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
 }
