@@ -5,10 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phrasewell.llm import language, near_vectors, packing, quality, secrets, simhash, warc
+from phrasewell.llm import language, near_vectors, packing, quality, secrets, sentencepieces, simhash, token_counts, warc
 from phrasewell.llm.common import stored, table
 
 
+def pieces_model() -> bytes:
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        return file.read()
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), pieces_model())
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
     count = lambda kind: F.size(secrets.of_kind(F.col("spans"), kind)).cast("bigint").alias(f"n_{kind}")
@@ -30,6 +39,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer, with_ids=False).drop("ids")
 
 
+def op6_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = pieces_model()
+    ids = F.col("ids")
+    coded = sentencepieces.encode(docs.withColumn("_own", F.struct("doc_id", F.xxhash64("text").alias("hash"))), model, key="_own")
+    back = F.xxhash64(sentencepieces.decoded(ids, model, spark))
+    return coded.select(
+        "_own.doc_id", F.size(ids).cast("bigint").alias("n_ids"), sentencepieces.checksum(ids).alias("ids_crc32"),
+        (back == F.col("_own.hash")).alias("round_trip"),
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     shown = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
@@ -53,9 +74,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op3_secrets": op3_secrets,
     "op4_near_vectors": op4_near_vectors,
     "op5_packing": op5_packing,
+    "op6_sentencepieces": op6_sentencepieces,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
     "op9_quality": op9_quality,
