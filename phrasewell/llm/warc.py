@@ -57,8 +57,10 @@ def fit_dictionary(pages: DataFrame, html: str, size: int = 65_536, samples: int
     The pages are those with the smallest hashes. Where there is too little to train on, it is empty
     and the archives have no dictionary frame. Only how well archives compress depends on it.
     """
-    picked = pages.where(F.length(html) > 64).orderBy(F.xxhash64(html)).limit(samples)
-    texts = [r[0].encode() for r in picked.select(F.substring(html, 1, sample_bytes)).collect()]
+    hashed = pages.where(F.length(html) > 64).select(F.xxhash64(html).alias("hash"), F.substring(html, 1, sample_bytes).alias("head"))
+    least = [r["hash"] for r in hashed.select("hash").distinct().orderBy("hash").limit(samples).collect()]
+    picked = hashed.where(F.col("hash").isin(least)).dropDuplicates(["hash"]).orderBy("hash")
+    texts = [r["head"].encode() for r in picked.collect()]
     if len(texts) < 16:
         return b""
     try:
