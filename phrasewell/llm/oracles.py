@@ -1,6 +1,38 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from phrasewell.llm.licenses import TEMPLATES
+
+_TEMPLATES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES)
+
+
+def _bigrams(words: str) -> str:
+    """Distinct pairs of neighbours of a list of words."""
+    return f"list_distinct(list_transform(range(1, len({words})), lambda k: {words}[k] || ' ' || {words}[k + 1]))"
+
+
 SQL: dict[str, str] = {
+    "op2_licenses": rf"""
+WITH templates(license, body) AS (VALUES {_TEMPLATES}),
+t AS (SELECT license, {_bigrams("w")} AS b FROM (SELECT license, string_split(trim(regexp_replace(lower(body), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM templates)),
+normal AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS n FROM documents),
+lines AS (SELECT doc_id, 'line' AS unit, unnest(string_split(n, chr(10))) AS u, generate_subscripts(string_split(n, chr(10)), 1) - 1 AS number FROM normal),
+parts AS (SELECT doc_id, n, list_filter(list_transform(string_split_regex(n, '\n(?: ?\n)+'), lambda x: regexp_replace(x, '^[ \n]+|[ \n]+$', '', 'g')), lambda x: x <> '') AS p FROM normal),
+paragraphs AS (SELECT doc_id, 'paragraph' AS unit, unnest(p) AS u, generate_subscripts(p, 1) - 1 AS number FROM parts),
+units AS (
+    SELECT doc_id, unit, number, u FROM lines
+    UNION ALL SELECT doc_id, unit, number, u FROM paragraphs WHERE contains(u, chr(10))
+    UNION ALL SELECT doc_id, 'text', 0, n FROM parts WHERE len(p) > 1
+),
+worded AS (SELECT doc_id, unit, number, string_split(trim(regexp_replace(u, '[ \n]+', ' ', 'g')), ' ') AS w FROM units),
+paired AS (SELECT doc_id, unit, number, {_bigrams("w")} AS b FROM worded WHERE len(w) >= 2),
+compared AS (
+    SELECT doc_id, unit, number, license, 2.0 * len(list_intersect(paired.b, t.b)) / (len(paired.b) + len(t.b)) AS dice
+    FROM paired JOIN t ON len(t.b) BETWEEN 0.6 * len(paired.b) AND 1.6 * len(paired.b)
+)
+SELECT doc_id, unit, CAST(number AS INTEGER) AS number, license, round(CAST(dice AS DOUBLE), 9) AS dice
+FROM compared WHERE dice >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, unit, number ORDER BY dice DESC, license) = 1
+""",
     "op10_warc": """
 WITH read AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 hashed AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS h FROM read),

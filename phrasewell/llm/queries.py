@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phrasewell.llm import language, near_vectors, packing, quality, secrets, sentencepieces, simhash, token_counts, warc
+from phrasewell.llm import language, licenses, near_vectors, packing, quality, secrets, sentencepieces, simhash, token_counts, warc
 from phrasewell.llm.common import stored, table
 
 
@@ -18,6 +18,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), pieces_model())
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 9))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
     count = lambda kind: F.size(secrets.of_kind(F.col("spans"), kind)).cast("bigint").alias(f"n_{kind}")
@@ -75,6 +79,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_licenses": op2_licenses,
     "op3_secrets": op3_secrets,
     "op4_near_vectors": op4_near_vectors,
     "op5_packing": op5_packing,
