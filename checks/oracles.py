@@ -43,8 +43,12 @@ E = """e AS (
 T = """u AS (
   SELECT conv_id, arg_min(text, turn) AS query, arg_max(text, turn) AS question
   FROM conversations WHERE role = 'user' GROUP BY conv_id
+), a AS (
+  SELECT conv_id, list(text ORDER BY turn) AS said FROM (
+    SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'
+    QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 4) GROUP BY conv_id
 ), t AS (
-  SELECT conv_id, query, question, [question, query || '''s', ' the ' || query, '"' || question || ''''] AS candidates FROM u
+  SELECT conv_id, query, question, coalesce(said, []) AS candidates FROM u LEFT JOIN a USING (conv_id)
 )"""
 
 VARIANT = """CASE s WHEN 0 THEN query WHEN 1 THEN query || ' please' WHEN 2 THEN replace(query, ' ', 'x ')

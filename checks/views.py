@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from phrasewell.functions import fixed_values as fixed
 from phrasewell.functions.vectors import doubles
@@ -60,20 +60,21 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id, query (first user turn), question (last one), and four candidates made of them.
+    """conv_id, query (first user turn), question (last one), and as candidates what the assistant said.
 
-    Turns are folded to the two wanted ones before the shuffle, so a long conversation is no burden.
+    There are none up to ``CANDIDATES`` of them, in the order of turns. User turns are folded to the
+    two wanted ones before the shuffle, and of the assistant's only the first ones are ranked, so a
+    long conversation is no burden.
     """
-    said = table(spark, sf_dir, "conversations").where("role = 'user'")
-    folded = said.groupBy("conv_id").agg(
+    said = table(spark, sf_dir, "conversations")
+    folded = said.where("role = 'user'").groupBy("conv_id").agg(
         F.min_by("text", "turn").alias("query"), F.max_by("text", "turn").alias("question")
     )
-    query, question = F.col("query"), F.col("question")
-    made = F.array(
-        question, F.concat(query, F.lit("'s")), F.concat(F.lit(" the "), query),
-        F.concat(F.lit('"'), question, F.lit("'")),
-    )
-    return folded.withColumn("candidates", made)
+    place = Window.partitionBy("conv_id").orderBy("turn")
+    first = said.where("role = 'assistant'").withColumn("n", F.row_number().over(place)).where(F.col("n") <= CANDIDATES)
+    given = first.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("given"))
+    texts = F.coalesce(F.transform("given", lambda g: g["text"]), F.array().cast("array<string>"))
+    return folded.join(given, "conv_id", "left").withColumn("candidates", texts).drop("given")
 
 
 SHOTS = "Shown before: "

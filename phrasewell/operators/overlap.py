@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import sys
+from collections import Counter
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from phrasewell.functions.text import ngrams as ngram_array, text_or_missing, tokens
-from phrasewell.operators.ranges import spread
 
 MAX_N = 4
 
@@ -22,34 +24,51 @@ def ngrams(df: DataFrame, key: str, text: str, max_n: int = MAX_N) -> DataFrame:
     return sized.select(key, "n", F.posexplode(grams).alias("pos", "gram"))
 
 
-def gram_counts(df: DataFrame, key: str, *texts: str, max_n: int = MAX_N) -> DataFrame:
-    """Per text row and gram, how often the gram occurs in each of ``texts``: c0, c1, ...
+def _matches(response: list[str], references: list[list[str]], n: int) -> tuple[int, int]:
+    """Grams of length ``n`` of the response that a reference has too, each as often at most, and all of them."""
+    own = Counter(zip(*[response[i:] for i in range(n)]))
+    best: dict[tuple, int] = {}
+    for words in references:
+        for gram, k in Counter(g for g in zip(*[words[i:] for i in range(n)]) if g in own).items():
+            best[gram] = max(k, best.get(gram, 0))
+    return sum(min(own[g], k) for g, k in best.items()), max(0, len(response) - n + 1)
 
-    Rows are spread by their unique key once; counting the grams needs no further shuffle. Each
-    longer gram is made from the one before it and the next token.
+
+def _score(matched: list[tuple[int, int]], length: int, closest: int) -> float:
+    if matched[0][0] == 0:
+        return 0.0
+    logs = [math.log(m / max(1, total)) if m else math.log(sys.float_info.min) for m, total in matched]
+    penalty = 1.0 if length > closest else math.exp(1 - closest / length)
+    return penalty * math.exp(sum(logs) / len(logs))
+
+
+def bleu(first: Column, second: Column, response: Column, max_n: int = MAX_N) -> Column:
+    """The overlap of a response with two references as a struct, worked out inside the row.
+
+    Counting is a matter of one row, so nothing is shuffled or joined back; a text is taken apart
+    when it is its turn, and a task holds the grams of one row.
     """
-    sides = F.array(
-        *[F.struct(F.lit(i).alias("side"), F.col(c).alias("text")) for i, c in enumerate(texts)]
-    )
-    split = (
-        spread(df.select(key, *texts), key)
-        .select(key, F.explode(sides).alias("s"))
-        .select(key, "s.side", tokens(F.col("s.text")).alias("g1"))
-        .where(F.col("g1").isNotNull())
-    )
-    for n in range(2, max_n + 1):
-        left = F.size("g1") - (n - 1)
-        longer = F.zip_with(
-            F.slice(f"g{n - 1}", F.lit(1), left),
-            F.slice("g1", F.lit(n), left),
-            lambda gram, token: F.concat(gram, F.lit(" "), token),
-        )
-        split = split.withColumn(f"g{n}", F.when(left > 0, longer).otherwise(F.array().cast("array<string>")))
-    every = F.concat(*[F.col(f"g{n}") for n in range(1, max_n + 1)])
-    grams = split.select(key, "side", F.explode(every).alias("gram"))
-    return grams.groupBy(key, "gram").agg(
-        *[F.count_if(F.col("side") == i).alias(f"c{i}") for i in range(len(texts))]
-    )
+    counts = [f"{name}_{n}" for name in ("match", "total") for n in range(1, max_n + 1)]
+    fields = [*counts, "response_length", "reference_length"]
+
+    @F.arrow_udf(f"struct<{','.join(f'{f}:bigint' for f in fields)},eval_bleu:double>")
+    def of(responses: pa.Array, firsts: pa.Array, seconds: pa.Array) -> pa.Array:
+        rows = []
+        for r, a, b in zip(responses, firsts, seconds):
+            references = [x.as_py().split(" ") for x in (a, b)]
+            # The reference nearest in length; on a tie the shorter one.
+            if not r.is_valid:
+                rows.append((*[0] * len(counts), 0, min(map(len, references)), None))
+                continue
+            words = r.as_py().split(" ")
+            matched = [_matches(words, references, n) for n in range(1, max_n + 1)]
+            closest = min((abs(len(x) - len(words)), len(x)) for x in references)[1]
+            rows.append((*[m for m, _ in matched], *[t for _, t in matched], len(words), closest, _score(matched, len(words), closest)))
+        columns = list(zip(*rows)) if rows else [()] * (len(fields) + 1)
+        kinds = [pa.int64()] * len(fields) + [pa.float64()]
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [*fields, "eval_bleu"])
+
+    return of(response, text_or_missing(first), text_or_missing(second))
 
 
 def bleu_score(
@@ -61,50 +80,4 @@ def bleu_score(
     0. A longer gram without a match counts as the smallest positive number, so such a score is
     tiny but not 0. A missing response gives NULL.
     """
-    texts = df.select(
-        key,
-        F.col(response).alias("_response"),
-        text_or_missing(F.col(first)).alias("_first"),
-        text_or_missing(F.col(second)).alias("_second"),
-    )
-    # Tokens hold no space, so the spaces of a gram tell its length.
-    spaces = F.length("gram") - F.length(F.replace("gram", F.lit(" "), F.lit("")))
-    counted = gram_counts(texts, key, "_response", "_first", "_second", max_n=max_n).withColumn(
-        "n", spaces + 1
-    )
-    clipped = F.least("c0", F.greatest("c1", "c2"))
-    orders = range(1, max_n + 1)
-    wide = counted.groupBy(key).agg(
-        *[F.sum(F.when(F.col("n") == 1, F.col(f"c{i}")).otherwise(0)).alias(f"len{i}") for i in range(3)],
-        *[F.sum(F.when(F.col("n") == n, clipped).otherwise(0)).alias(f"m{n}") for n in orders],
-        *[F.sum(F.when(F.col("n") == n, F.col("c0")).otherwise(0)).alias(f"t{n}") for n in orders],
-    )
-    hyp, one, two = F.col("len0"), F.col("len1"), F.col("len2")
-    # The reference nearest in length; on a tie the shorter one.
-    gap_one, gap_two = F.abs(one - hyp), F.abs(two - hyp)
-    closest = (
-        F.when(gap_one < gap_two, one).when(gap_two < gap_one, two).otherwise(F.least(one, two))
-    )
-    penalty = F.when(hyp > closest, F.lit(1.0)).otherwise(F.exp(1 - F.try_divide(closest, hyp)))
-    logs = [
-        F.log(
-            F.when(F.col(f"m{n}") > 0, F.col(f"m{n}") / F.greatest(F.lit(1), F.col(f"t{n}")))
-            .otherwise(F.lit(sys.float_info.min))
-        )
-        / max_n
-        for n in range(1, max_n + 1)
-    ]
-    mean_log = logs[0]
-    for term in logs[1:]:
-        mean_log = mean_log + term
-    score = F.when(hyp == 0, None).when(F.col("m1") == 0, F.lit(0.0)).otherwise(
-        penalty * F.exp(mean_log)
-    )
-    return wide.select(
-        key,
-        *[F.col(f"m{n}").alias(f"match_{n}") for n in range(1, max_n + 1)],
-        *[F.col(f"t{n}").alias(f"total_{n}") for n in range(1, max_n + 1)],
-        hyp.alias("response_length"),
-        closest.alias("reference_length"),
-        score.alias("eval_bleu"),
-    )
+    return df.select(key, bleu(F.col(first), F.col(second), F.col(response), max_n).alias("_b")).select(key, "_b.*")

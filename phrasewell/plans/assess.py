@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from phrasewell.functions import fixed_values as fixed
 from phrasewell.functions.vectors import doubles
 from phrasewell.operators.candidates import assess_scores
 from phrasewell.operators.entities import query_text
@@ -18,10 +19,13 @@ from phrasewell.operators.generate import (
     encode_texts,
 )
 from phrasewell.operators.prompts import TAGGED
-from phrasewell.sources.stages import content_key, resume_stage
+from phrasewell.operators.rows import score_filter
+from phrasewell.sources.stages import content_key, read_stage, resume_stage
 from phrasewell.sources.tables import write_results
+from phrasewell.session import new_path
 from phrasewell.streaming.incremental import append_batches
 
+# The columns of a result record.
 RESULT_COLUMNS = (
     "query_id", "original_query", "instantiated_query", "original_question",
     "bert_q_nl_score_Q", "bert_nl_nl_gt_score_Q",
@@ -47,17 +51,23 @@ def assess(
     concurrency: int | None = None,
     raw_body: bool = False,
     slices: int = 1,
+    models: str = "",
 ) -> DataFrame:
-    """Assessed rows: ``RESULT_COLUMNS`` and the vectors behind them, one row per query.
+    """Assessed rows: ``RESULT_COLUMNS`` and the vectors behind them, one row per input row.
 
     The input has question, sparql_wikidata, sparql_wikidata_translated and descriptions. Answers
-    and critiques are stored under ``stage`` before they are used, and a second run with the same
-    ``run_id`` asks for missing ones only. The ``k`` candidates of a query stay in its row from the
+    and critiques are stored under ``stage`` before they are used, by what they depend on: the run,
+    the parameters, ``models`` (the name the caller gives to them) and all of the input. A second run
+    asks for missing ones only, equal rows are asked for once, and rows of other inputs or other
+    parameters that lie under ``stage`` are not returned. The ``k`` candidates of a query stay in its row from the
     first prompt to the last score, so no vector is ever shuffled. ``concurrency`` is the number of
     tasks that call the models at a time; ``slices`` is that of ``resume_stage``.
     """
-    queries = rows.select(
-        content_key(F.lit(run_id), F.col("sparql_wikidata"), F.col("question")).alias("query_id"),
+    told = [F.lit(str(x)) for x in (run_id, models, k, rounds, mode, style, raw_body)]
+    content = [F.col(c) for c in ("sparql_wikidata", "question", "sparql_wikidata_translated")]
+    keyed = rows.withColumn("query_id", content_key(*told, *content, F.to_json("descriptions")))
+    queries = keyed.select(
+        "query_id",
         F.col("sparql_wikidata").alias("original_query"),
         F.col("sparql_wikidata_translated").alias("instantiated_query"),
         F.col("question").alias("original_question"),
@@ -115,7 +125,28 @@ def assess(
             ),
         }
     )
-    return assess_scores(as_doubles)
+    return keyed.select("query_id").join(assess_scores(as_doubles), "query_id")
+
+
+# Names of the strategies, and the columns of their winners and scores.
+STRATEGIES = {
+    "distance": ("best_translation_dist", "bert_q_nl_score_dist"),
+    "q_nl_score": ("best_translation_Q", "bert_q_nl_score_Q"),
+    "llm_critique": ("best_translation_llm_critique", "bert_q_nl_score_critique"),
+}
+
+
+def accepted(assessed: DataFrame, strategy: str = "distance", limit: float | Column = fixed.SCORE_LIMIT) -> DataFrame:
+    """Rows whose final text is close enough to its query, with ``final_translation`` and ``final_score``.
+
+    ``strategy`` says which winner is final; its score is the cosine with the query, and the limit,
+    such as one that ``stored_threshold`` gives, is inclusive. Rows without a score are dropped.
+    """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"no strategy {strategy!r}; there are {', '.join(STRATEGIES)}")
+    text, score = STRATEGIES[strategy]
+    final = assessed.withColumns({"final_translation": F.col(text), "final_score": F.col(score)})
+    return score_filter(final, "final_score", limit)
 
 
 def results(assessed: DataFrame) -> DataFrame:
@@ -138,7 +169,11 @@ def assess_stream(
         write_results(flat, f"{out}/batch={number}")
 
     append_batches(stream, handle, checkpoint)
-    return stream.sparkSession.read.parquet(out).drop("batch")
+    spark = stream.sparkSession
+    if read_stage(spark, out) is None:  # nothing has arrived yet
+        empty = spark.createDataFrame([], stream.schema)
+        return results(assess(empty, new_path(spark, "nothing"), *models, **options))
+    return spark.read.parquet(out).drop("batch")
 
 
 def run_table(assessed: DataFrame, run_id: str, **parameters: object) -> DataFrame:

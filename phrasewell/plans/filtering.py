@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from phrasewell.functions import fixed_values as fixed
 from phrasewell.functions.vectors import cosine, doubles
 from phrasewell.operators.generate import Encoder, Generator, batch_generate, encode_texts, judge_verdict
-from phrasewell.operators.overlap import bleu_score
+from phrasewell.operators.overlap import bleu
 from phrasewell.operators.prompts import answer_prompt, judge_prompt
 from phrasewell.operators.rows import project_final, score_filter
 from phrasewell.operators.stats import (
@@ -27,7 +27,7 @@ from phrasewell.operators.stats import (
     share_split,
     threshold_step,
 )
-from phrasewell.sources.stages import resume_stage
+from phrasewell.sources.stages import content_key, resume_stage
 from phrasewell.sources.tables import threshold_table, write_threshold
 
 
@@ -49,10 +49,10 @@ class FilterReport:
     split: DataFrame
 
 
-def add_bleu(rows: DataFrame, key: str, response: str) -> DataFrame:
+def add_bleu(rows: DataFrame, response: str) -> DataFrame:
     """Rows with ``eval_bleu`` against both wordings of the question."""
-    scored = bleu_score(rows, key, "paraphrased_question", "question", response)
-    return rows.join(scored.select(key, "eval_bleu"), key)
+    scored = bleu(F.col("paraphrased_question"), F.col("question"), F.col(response))
+    return rows.withColumn("eval_bleu", scored["eval_bleu"])
 
 
 def add_similarity(
@@ -80,16 +80,24 @@ def evaluate_answers(
     concurrency: int | None = None,
     raw_body: bool = False,
     slices: int = 1,
+    models: str = "",
 ) -> DataFrame:
     """Rows with a response, eval_llm, verdict_valid, eval_bert, eval_bleu and eval_manual.
 
     The input has question, paraphrased_question, sparql_wikidata and wikidata_translated; ``labels``
     has the key and eval_manual for some rows. ``shots`` and ``judge_shots`` are the prompts made
-    of worked examples. Answers, and verdicts with similarities, are stored under ``stage``.
+    of worked examples. Answers, and verdicts with similarities, are stored under ``stage`` by what
+    they depend on: the texts, the prompts and ``models``, the name the caller gives to the models.
+    So a row that changes under its key is answered anew, and equal rows are answered once. Every
+    row of the input gives one row.
     """
+    told = [F.lit(x) for x in (models, shots, judge_shots, str(raw_body))]
+    made = "_answer_key"
+    rows = rows.withColumn(made, content_key(*told, F.col("wikidata_translated"), F.col("paraphrased_question")))
+    asked_for = rows.select(made, "wikidata_translated", "paraphrased_question").dropDuplicates([made])
 
     def spread(todo: DataFrame) -> DataFrame:
-        return todo.repartition(concurrency, key) if concurrency else todo
+        return todo.repartition(concurrency, made) if concurrency else todo
 
     def answered(todo: DataFrame) -> DataFrame:
         asked = spread(todo).withColumn("_prompt", answer_prompt(F.lit(shots), F.col("wikidata_translated")))
@@ -102,9 +110,11 @@ def evaluate_answers(
         verdicts = judge_verdict(asked, "_prompt", judge, raw_body=raw_body).drop("_prompt")
         return add_similarity(verdicts, response, encoder)
 
-    answers = resume_stage(rows, f"{stage}/answers", key, answered, slices=slices)
-    scored = resume_stage(answers, f"{stage}/evaluated", key, judged, slices=slices)
-    return attach_labels(add_bleu(scored, key, response), labels.select(key, "eval_manual"), key)
+    answers = resume_stage(asked_for, f"{stage}/answers", made, answered, slices=slices)
+    scored = resume_stage(answers, f"{stage}/evaluated", made, judged, slices=slices)
+    results = scored.drop("wikidata_translated", "paraphrased_question")
+    every = rows.join(results, made).drop(made)
+    return attach_labels(add_bleu(every, response), labels.select(key, "eval_manual"), key)
 
 
 def stored_threshold(spark: SparkSession, path: str, scores: DataFrame, score: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from phrasewell.session import new_path
+
 
 def content_key(*parts: Column) -> Column:
     """A key that depends on the content alone, so that a repeated run finds its rows again."""
@@ -29,25 +31,31 @@ def resume_stage(
     path: str,
     key: str,
     compute: Callable[[DataFrame], DataFrame],
-    only_source: bool = False,
     slices: int = 1,
 ) -> DataFrame:
-    """The stage table after the rows of ``source`` that it lacks were computed and appended.
+    """The stored rows of ``source``, after those that were missing have been computed and appended.
 
-    ``key`` is unique in ``source`` and kept by ``compute``. The rows are written before anything
+    ``key`` is unique in ``source`` and kept by ``compute``; it must tell apart all that the result
+    depends on, as ``content_key`` of the inputs and parameters does. Rows that other inputs have
+    stored under ``path`` stay there and are not returned. The rows are written before anything
     reads them, so a task that is run again never asks a generator for an already stored answer.
-    A stage belongs to one input that may grow; ``only_source`` leaves out stored rows of others.
     With ``slices`` the rows are computed and stored in that many parts by the hash of the key, so
-    that a run that breaks loses the part it was at, at the price of reading the source per part.
+    that a run that breaks loses the part it was at; what is missing is then stored by part first,
+    so the source is read once.
     """
     spark = source.sparkSession
     done = read_stage(spark, path)
     todo = source if done is None else source.join(done.select(key), key, "left_anti")
-    for i in range(slices):
-        part = todo if slices == 1 else todo.where(F.pmod(F.xxhash64(key), F.lit(slices)) == i)
-        compute(part).write.mode("append").parquet(path)
-    stored = spark.read.parquet(path)
-    return stored.join(source.select(key), key, "left_semi") if only_source else stored
+    if slices == 1:
+        compute(todo).write.mode("append").parquet(path)
+    else:
+        aside = new_path(spark, "todo")
+        part = F.pmod(F.xxhash64(key), F.lit(slices)).alias("_slice")
+        todo.select("*", part).write.partitionBy("_slice").parquet(aside)
+        for i in range(slices):
+            missing = spark.read.schema(todo.schema.add("_slice", "bigint")).parquet(aside).where(F.col("_slice") == i)
+            compute(missing.drop("_slice")).write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(source.select(key), key, "left_semi")
 
 
 def load_or_build(

@@ -20,9 +20,10 @@ def scan_pairs(
 ) -> DataFrame:
     """Headered, quoted CSV with a given schema; without one the types are read off the data.
 
-    ``multi_line`` allows line breaks inside quotes, at the price that a file is not split; turn it
-    off for large files without them. ``position`` adds the place of each row in the files, which
-    grows in file order but is not dense.
+    ``multi_line`` allows line breaks inside quotes, as such tables have them, at the price that a
+    file is read by one task; turn it off for large files without them. ``position`` adds the place
+    of each row: file, start of the block in the file, and row. Places compare in the order of file
+    paths and of the rows in a file, whatever files a task reads and in whatever order.
     """
     reader = spark.read.option("inferSchema", True) if schema is None else spark.read.schema(schema)
     table = (
@@ -32,11 +33,21 @@ def scan_pairs(
         .option("escape", '"')
         .csv(path)
     )
-    return table.withColumn(position, F.monotonically_increasing_id()) if position else table
+    if position is None:
+        return table
+    # Within a block a task reads rows in order, so ids that grow within a task order them.
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return table.select("*", place.alias(position))
 
 
-def union_splits(*splits: DataFrame) -> DataFrame:
-    """All splits as one table; which split a row came from is dropped on purpose."""
+def union_splits(*splits: DataFrame, number: str | None = None) -> DataFrame:
+    """All splits as one table. ``number`` adds the place of the split, counted from 0; else it is dropped."""
+    if number is not None:
+        splits = tuple(s.withColumn(number, F.lit(i)) for i, s in enumerate(splits))
     return reduce(DataFrame.unionByName, splits)
 
 

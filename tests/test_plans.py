@@ -101,7 +101,7 @@ def test_filter_reports(spark):
     evaluated = spark.createDataFrame(
         data, "row_id int, question string, paraphrased_question string, answer string, eval_bert double, eval_manual int, eval_llm int"
     ).withColumns({"sparql_wikidata": F.lit("s"), "wikidata_translated": F.lit("t")})
-    report = filter_answers(add_bleu(evaluated, "row_id", "answer"), "answer", limit=0.5, labelled_rows=3)
+    report = filter_answers(add_bleu(evaluated, "answer"), "answer", limit=0.5, labelled_rows=3)
     assert sorted(r.question for r in report.final.collect()) == ["q5", "q6", "q7", "q8", "q9"]
     assert report.final.columns == [
         "question", "paraphrased_question", "sparql_wikidata", "wikidata_translated", "answer", "eval_bert",
