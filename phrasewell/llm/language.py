@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from phrasewell.llm.common import BLOCK_BYTES, stored
+from phrasewell.llm.common import BLOCK_BYTES, short_batches, stored
 
 UNKNOWN = "und"
 LONGEST = 3
@@ -68,12 +68,16 @@ def _columns(codes: np.ndarray) -> np.ndarray:
 def sample(docs: DataFrame, label: str, text: str, per_language: int, key: str) -> DataFrame:
     """At most ``per_language`` labelled texts of each language, those whose keys have the smallest hashes.
 
-    Only keys and labels are ranked; texts are read for the chosen keys alone, one per key and label.
+    Only keys and labels are ranked, and of a language with many texts only hashes that are small
+    enough for a few times as many; texts are read for the chosen keys alone, one per key and label.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("key"), F.lit(1 << 30)), "key")
     known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     rows = known.select(F.col(key).alias("key"), F.col(label).alias("lang"), F.col(text).alias("text"))
-    ranked = rows.select("key", "lang").distinct().withColumn("n", F.row_number().over(order))
+    sizes = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("size")))  # a row per language
+    drawn = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) * F.col("size") <= F.lit(4 * per_language << 30)
+    few = rows.select("key", "lang").join(sizes, "lang").where(drawn).select("key", "lang").distinct()
+    ranked = few.withColumn("n", F.row_number().over(order))
     chosen = ranked.where(F.col("n") <= per_language).select("key", "lang")
     return rows.join(F.broadcast(chosen), ["key", "lang"], "left_semi").dropDuplicates(["key", "lang"])
 
@@ -151,6 +155,7 @@ def predicted(text: Column, model: Model, spark, batch: int = 128) -> Column:
     score is that of the language with the largest regression value, of two the first by name: 0.5 on
     the boundary, 1 for what the training texts are like. The whole text counts, whatever its length.
     """
+    short_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     ready: dict[str, np.ndarray] = {}
 
