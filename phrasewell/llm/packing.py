@@ -34,17 +34,15 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """Token ids of whole texts by a file of the ``tokenizers`` library, as little-endian bytes.
+    """Token ids of whole texts by the text of a file of the ``tokenizers`` library, as little-endian bytes.
 
     Strings of special tokens in a text are ordinary text. A plain byte-level vocabulary whose ids
     follow the order of its merges is handed to ``tiktoken``, which gives the same ids about three
     times as fast; any other file is left to ``tokenizers``.
     """
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            told = json.load(file)
-        ranks = self._ranks(told)
+    def __init__(self, file: str):
+        ranks = self._ranks(json.loads(file))
         if ranks:
             import tiktoken
 
@@ -53,7 +51,7 @@ class Encoder:
         else:
             from tokenizers import Tokenizer
 
-            tokenizer = Tokenizer.from_file(path)
+            tokenizer = Tokenizer.from_str(file)
             tokenizer.encode_special_tokens = True
             self._encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -103,16 +101,18 @@ def cut_documents(docs: DataFrame, key: str, text: str, tokenizer: str, size: in
     """
     kind = pa.struct([("doc_tokens", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
     end = np.array([end_id], "<u4").tobytes()
-    encoders: dict[str, Encoder] = {}
+    with open(tokenizer, encoding="utf-8") as file:  # read here; executors may lack the file
+        shared = docs.sparkSession.sparkContext.broadcast(file.read())
+    ready: list[Encoder] = []
 
     @F.arrow_udf(f"array<struct<{PIECE}>>")
     def pieces(texts: pa.Array) -> pa.Array:
-        if tokenizer not in encoders:
-            encoders[tokenizer] = Encoder(tokenizer)
+        if not ready:
+            ready.append(Encoder(shared.value))
         out = []
         for x in texts:
             text = x.as_py()
-            ids = (encoders[tokenizer].ids(text) if text else b"") + end
+            ids = (ready[0].ids(text) if text else b"") + end
             parts = []
             for at, n in cuts(len(ids) // 4, size):
                 part = ids[4 * at : 4 * (at + n)]

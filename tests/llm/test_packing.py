@@ -64,11 +64,11 @@ def test_odd_rows(spark, odd_docs, no_docs):
 
 
 def test_ids_are_those_of_the_library(tokenizer):
-    ours = packing.Encoder(PATH)
+    ours = packing.Encoder(open(PATH, encoding="utf-8").read())
     texts = ["", " ", "a  b", "\n x\n", "it's 's x", "漢字 é  é́", "<|endoftext|> a<|endoftext|>", "a\x1c b\x85c​ d", "1 22  333 ½Ⅳ", "don't  stop 'll", "\U0001f600" * 3]
     for t in texts:
         assert np.frombuffer(ours.ids(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
-    assert packing.Encoder(public_tokenizers.path("word_bpe_49k.json")).ids("a b")
+    assert packing.Encoder(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()).ids("a b")
 
 
 def test_cuts():
