@@ -16,16 +16,29 @@ _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; cuts the lineage and survives lost executors."""
+    short_batches(df.sparkSession)
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch. Batches are held whole by Spark and by Python, and texts may be long.
+BATCH_ROWS = 500
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Let the session hand over at most ``BATCH_ROWS`` rows at a time to Python, or fewer if it is set so."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores before it as long as ``df`` has such a column."""
     taken = {c.lower() for c in df.columns}

@@ -12,7 +12,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from phrasewell.llm.common import free_name, stored
+from phrasewell.llm.common import stored
 
 # White space between words, symbols, and common short words of the languages at hand.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -192,8 +192,6 @@ def assess(docs: DataFrame, key: str = "doc_id", text: str = "text", least: floa
 
 
 def keep_good(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The documents that ``assess`` keeps, with all their columns, from a stored copy with row numbers."""
-    row = free_name(docs, "row")
-    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
-    good = assess(numbered, row, text, least).where("kept").select(row)
-    return numbered.join(good, row, "left_semi").select(*docs.columns)
+    """The documents that ``assess`` keeps, with all their columns, which it stores along with their counts."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    return assess(rows, "row", "text", least).where("kept").select("row.*")

@@ -13,6 +13,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from phrasewell.llm.common import short_batches
+
 # The kinds of the base scan in their order, their patterns, and the least characters.
 BASE = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I), 2, 6),
@@ -205,23 +207,19 @@ def spans(text: Column, least_cost: float = 9.0) -> Column:
 def redacted(text: Column, found: Column) -> Column:
     """The text with each span replaced by its kind in brackets; overlapping spans are one gap.
 
-    Built from the pieces between the spans, so nothing else of the text changes. Null stays null.
+    Joined from the pieces between the spans, which only rows with a span do. Null stays null.
     """
 
-    @F.arrow_udf("string")
-    def of(texts: pa.Array, all_spans: pa.Array) -> pa.Array:
-        out = []
-        for x, s in zip(texts, all_spans):
-            text, parts, at = x.as_py(), [], 0
-            for span in (s.as_py() or []) if text is not None else []:
-                if span["start"] >= at:
-                    parts += [text[at : span["start"]], f"[{span['kind']}]"]
-                at = max(at, span["end"])
-            out.append(text if not parts else "".join([*parts, text[at:]]))
-        return pa.array(out, pa.string())
-
-    return F.when(F.size(found) > 0, of(text, found)).otherwise(text)
+    def past(done: Column, s: Column) -> Column:
+        # What lies between the end of the span before and this one; nothing if they overlap.
+        between = F.substr(text, done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0)))
+        marked = F.concat(done["out"], between, F.lit("["), s["kind"], F.lit("]"))
+        out = F.when(s["start"] >= done["at"], marked).otherwise(done["out"])
+        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), out.alias("out"))
 
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    whole = F.aggregate(found, start, past, lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text))))
+    return F.when(F.size(found) > 0, whole).otherwise(text)
 
 
 def scan(docs: DataFrame, text: str = "text", out: str = "spans", least_cost: float = 9.0) -> DataFrame:
@@ -230,6 +228,7 @@ def scan(docs: DataFrame, text: str = "text", out: str = "spans", least_cost: fl
     Row by row, without a shuffle; every row and column is kept, whatever is null, empty or repeated,
     and a column that is already called ``out`` is replaced.
     """
+    short_batches(docs.sparkSession)
     return docs.withColumn(out, spans(F.col(text), least_cost))
 
 

@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from phrasewell.llm.common import stored
+from phrasewell.llm.common import short_batches, stored
 from phrasewell.llm.unigram import Vocabulary, best_path
 
 #: Characters of a chunk. A longer document is encoded in chunks of this length.
@@ -253,6 +253,7 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text
     and of equal ones the path with the longest last piece wins, wherever it crosses a chunk.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     ready: list[Encoder] = []
 

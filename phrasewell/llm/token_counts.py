@@ -10,6 +10,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from phrasewell.llm.common import short_batches
 from phrasewell.llm.unigram import Vocabulary
 
 #: Words that a Python worker remembers before it begins anew.
@@ -79,4 +80,5 @@ def count_tokens(docs: DataFrame, model: bytes, key: str = "doc_id", text: str =
     Whole texts count, without begin or end marks. Null and empty texts have no tokens and score 0;
     null and repeated keys and repeated rows keep a row each; other columns are not read.
     """
+    short_batches(docs.sparkSession)
     return docs.select(F.col(key), counted(F.col(text), model, docs.sparkSession).alias("c")).select(key, "c.*")
