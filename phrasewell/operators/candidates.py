@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from typing import Any
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phrasewell.functions import fixed_values as fixed, vectors as V
@@ -53,19 +55,21 @@ def mean_pool(
     """Mean of the vectors of the first ``max_tokens`` tokens of each text, counted from 0.
 
     ``table`` holds ``token`` and ``vector``. Equal tokens of a text are counted before they meet
-    their vector, and means are one sum per dimension, so that each task sends partial sums. A
-    table that is measured to be small is broadcast; otherwise popular tokens are salted.
+    their vector, and each task sends one sum of vectors per text. A text without a known token gets
+    NULL. A table that is measured to be small is broadcast; otherwise popular tokens are salted.
     """
     counted = (
         token_rows.where(F.col(position) < max_tokens).groupBy(key, token).agg(F.count("*").alias("_c"))
     )
     vectors = table.select(token, V.doubles(F.col("vector")).alias("_v"))
-    joined = lookup(counted, vectors, token, "inner", broadcast_bytes)
+    joined = lookup(counted, vectors, token, "left", broadcast_bytes)
+    known = F.col("_v").isNotNull()
+    weighted = array_to_vector(F.coalesce("_v", F.array_repeat(F.lit(0.0), dims)))
     sums = joined.groupBy(key).agg(
-        F.sum("_c").alias("_n"),
-        F.array(*[F.sum(F.get("_v", F.lit(d)) * F.col("_c")) for d in range(dims)]).alias("_sums"),
+        F.sum(F.when(known, F.col("_c"))).alias("_n"),
+        vector_to_array(Summarizer.sum(weighted, F.when(known, F.col("_c")).otherwise(1).cast("double"))).alias("_sums"),
     )
-    return sums.select(key, F.transform("_sums", lambda x: x / F.col("_n")).alias("vector"))
+    return sums.select(key, F.when(F.col("_n") > 0, F.transform("_sums", lambda x: x / F.col("_n"))).alias("vector"))
 
 
 def gather_candidates(df: DataFrame, key: str, idx: str, *columns: str) -> DataFrame:
@@ -193,19 +197,18 @@ def assess_scores(df: DataFrame) -> DataFrame:
 
 
 def cluster_cosine(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
-    """Mean pairwise cosine of groups of any size, by one sum per dimension.
+    """Mean pairwise cosine of groups of any size, by one sum of vectors.
 
     With unit vectors u the sum over all pairs is (|sum u|^2 - n) / 2, so each task sends one
     partial sum per group and no pair is ever made. A zero vector counts as cosine 0.
     """
     lengths = df.select(key, V.doubles(F.col(vector)).alias("_v")).withColumn("_n", V.norm(F.col("_v")))
-    unit = lengths.select(
-        key, "_n", *[F.coalesce(F.try_divide(F.get("_v", F.lit(d)), "_n"), F.lit(0.0)).alias(f"_{d}") for d in range(dims)]
-    )
-    sums = unit.groupBy(key).agg(
+    none = F.array_repeat(F.lit(0.0), dims)
+    unit = F.when(F.col("_n") > 0, F.transform("_v", lambda x: x / F.col("_n"))).otherwise(none)
+    sums = lengths.select(key, "_n", array_to_vector(F.coalesce(unit, none)).alias("_u")).groupBy(key).agg(
         F.count("*").alias("n"),
         F.count_if(F.col("_n") > 0).alias("ones"),
-        F.array(*[F.sum(f"_{d}") for d in range(dims)]).alias("sums"),
+        vector_to_array(Summarizer.sum(F.col("_u"))).alias("sums"),
     )
     n = F.col("n")
     return sums.select(

@@ -8,31 +8,59 @@ from phrasewell.operators.ranges import bucket_count
 from phrasewell.session import BROADCAST_BYTES, fits
 
 
+#: Salts per share of a partition. Salted keys are hashed to partitions, and smaller pieces even out.
+PIECES = 8
+
+
 def popular_keys(rows: DataFrame, key: str, parts: int) -> DataFrame:
-    """Keys that hold more than one part in ``parts`` of the rows, and the number of such parts.
+    """Keys that hold more than one part in ``parts`` of the rows, and how many salts they get.
 
-    There are fewer than ``parts`` of them, however large the table is.
+    There are fewer than ``parts`` of them, however large the table is. NULL can be one.
     """
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
     whole = counts.agg(F.sum("_n").alias("whole")).scalar()
     return (
         counts.withColumn("_share", F.col("_n") * parts / whole)
         .where("_share > 1")
-        .select(key, F.ceil("_share").alias("_salts"))
+        .select(F.col(key).alias("_popular"), F.ceil(F.col("_share") * PIECES).alias("_salts"))
     )
 
 
+def numbered_copies(rows: DataFrame, out: str) -> DataFrame:
+    """Equal rows told apart by a number from 0 on.
+
+    Equal rows are counted before the shuffle and written out again after it, so a row's number does
+    not depend on the order in which a task has read it. Maps cannot be compared; rows that hold one
+    all have number 0.
+    """
+    if "map<" in rows.schema.simpleString():
+        return rows.withColumn(out, F.lit(0).cast("bigint"))
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("_copies"))
+    return counted.select(*rows.columns, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1)).alias(out))
+
+
 def salted_join(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join on ``key`` with popular keys salted, each over as many partitions as its share asks for.
 
-    The salt of a row is a function of the row, so a repeated task sends it to the same place.
+    The salt of a row is a function of the row and of its number among equal ones, so a repeated task
+    sends it to the same place and equal rows are spread too. NULL keys, which match nothing, are
+    spread like others.
     """
     # Bounded by the number of partitions, so the broadcast cannot grow with the data.
     popular = F.broadcast(popular_keys(rows, key, bucket_count(rows)))
-    salt = F.pmod(F.xxhash64(*rows.columns), F.coalesce("_salts", F.lit(1))).alias("_salt")
-    left = rows.join(popular, key, "left").select(*rows.columns, salt)
+
+    def salts(df: DataFrame) -> DataFrame:
+        return df.join(popular, F.col(key).eqNullSafe(F.col("_popular")), "left").drop("_popular")
+
+    # Rows of rare keys need no number; only equal rows of popular ones crowd.
+    known = salts(rows).select(*rows.columns, "_salts")
+    crowded = numbered_copies(known.where("_salts is not null"), "_copy")
+    spread = F.pmod(F.xxhash64(*rows.columns, "_copy"), F.col("_salts")).alias("_salt")
+    left = known.where("_salts is null").select(*rows.columns, F.lit(0).cast("bigint").alias("_salt")).unionByName(
+        crowded.select(*rows.columns, spread)
+    )
     copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1)) - 1)
-    right = table.join(popular, key, "left").select(*table.columns, F.explode(copies).alias("_salt"))
+    right = salts(table).select(*table.columns, F.explode(copies).alias("_salt"))
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 

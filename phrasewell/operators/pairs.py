@@ -3,21 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from phrasewell.functions import ratios as R, vectors as V
 from phrasewell.operators.generate import Encoder, encode_texts
 from phrasewell.operators.ranges import running_totals, with_next
+from phrasewell.operators.rows import head_n
 from phrasewell.operators.stats import histogram, present_scores, score_counts
+from phrasewell.session import new_path
 
 
-def contrastive_pairs(df: DataFrame, key: str, query: str, question: str) -> DataFrame:
+def contrastive_pairs(
+    df: DataFrame, key: str, query: str, question: str, split: str | None = None, buckets: int | None = None
+) -> DataFrame:
     """Two rows per input row: its own question with label 1, that of the next row with label 0.
 
-    The last row is paired with the first one. ``key`` is unique and gives the order.
+    The last row is paired with the first one, with ``split`` that of its own split; there are few
+    splits. ``key`` is unique and gives the order.
     """
-    ringed = with_next(df.select(key, query, question), key, {"_next": question})
+    if split is not None:
+        values = sorted(r[0] for r in df.select(split).where(F.col(split).isNotNull()).distinct().collect())
+        parts = [contrastive_pairs(df.where(F.col(split) == v), key, query, question, None, buckets).withColumn(split, F.lit(v)) for v in values]
+        return reduce(DataFrame.unionByName, parts)
+    ringed = with_next(df.select(key, query, question), key, {"_next": question}, buckets)
     own, shifted = [
         F.struct(F.col(c).alias("sentence_1"), F.lit(label).alias("label"))
         for c, label in ((question, 1.0), ("_next", 0.0))
@@ -28,11 +39,48 @@ def contrastive_pairs(df: DataFrame, key: str, query: str, question: str) -> Dat
 
 
 def pair_vectors(
-    df: DataFrame, key: str, query: str, question: str, encoder: Callable[[], Encoder]
+    df: DataFrame, key: str, query: str, question: str, encoder: Callable[[], Encoder], split: str | None = None
 ) -> DataFrame:
-    """Pairs as vectors; each row is encoded once, before its question is paired a second time."""
-    encoded = encode_texts(df.select(key, query, question), (query, "_q", encoder), (question, "_n", encoder))
-    return contrastive_pairs(encoded, key, "_q", "_n")
+    """Pairs as vectors. Rows are encoded once and stored in the shared folder; pairs are made of these."""
+    others = [split] if split else []
+    encoded = encode_texts(df.select(key, query, question, *others), (query, "_q", encoder), (question, "_n", encoder))
+    path = new_path(df.sparkSession, "encoded")
+    encoded.select(key, *others, "_q", "_n").write.parquet(path)
+    return contrastive_pairs(df.sparkSession.read.parquet(path), key, "_q", "_n", split)
+
+
+@dataclass(frozen=True)
+class PairReport:
+    """How a similarity tells true pairs from false ones."""
+
+    pairs: DataFrame
+    histograms: DataFrame
+    binary: DataFrame
+    similarity: DataFrame
+
+
+def evaluate_pairs(
+    rows: DataFrame,
+    key: str,
+    query: str,
+    question: str,
+    encoder: Callable[[], Encoder],
+    n: int | None = None,
+    split: str | None = None,
+    bins: int = 30,
+) -> PairReport:
+    """The whole evaluation: the first ``n`` rows, paired and encoded, their similarities, and what they tell.
+
+    The scored pairs are stored once, and every report is read off them.
+    """
+    some = rows if n is None else head_n(rows, n, key)
+    path = new_path(rows.sparkSession, "pairs")
+    scored = score_pairs(pair_vectors(some, key, query, question, encoder, split))
+    scored.drop("sentence_0", "sentence_1").write.parquet(path)
+    pairs = rows.sparkSession.read.parquet(path)
+    return PairReport(
+        pairs, pair_similarity(pairs, bins), binary_eval(pairs, "similarity", "label"), similarity_eval(pairs, "similarity", "label")
+    )
 
 
 def score_pairs(pairs: DataFrame) -> DataFrame:

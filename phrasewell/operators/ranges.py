@@ -124,15 +124,15 @@ def with_next(
     ``columns`` maps new names to the columns taken from the next row.
     """
     placed = with_bucket(df, key, buckets).withColumn("_own", F.struct(*columns.values()))
-    heads = placed.groupBy(BUCKET).agg(F.min_by("_own", key).alias("_head"))
+    # The heads are found by their keys alone; only theirs of the other columns are taken up.
+    heads = placed.groupBy(BUCKET).agg(F.min(key).alias("_head"))
     ring = Window.partitionBy(F.lit(0)).orderBy(BUCKET)
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    following = heads.select(
-        BUCKET,
-        F.when(F.lead(BUCKET).over(ring).isNotNull(), F.lead("_head").over(ring))
-        .otherwise(F.first("_head").over(whole))
-        .alias("_following"),
+    ahead = heads.select(
+        BUCKET, F.coalesce(F.lead("_head").over(ring), F.first("_head", ignorenulls=True).over(whole)).alias("_ahead")
     )
+    first_rows = placed.join(F.broadcast(heads.select("_head")), placed[key] == F.col("_head"), "left_semi")
+    following = ahead.join(first_rows.select(F.col(key).alias("_ahead"), F.col("_own").alias("_following")), "_ahead").drop("_ahead")
     local = Window.partitionBy(BUCKET).orderBy(key)
     chosen = F.coalesce(F.lead("_own").over(local), F.col("_following"))
     joined = _place(placed, following, buckets).withColumn("_next", chosen)

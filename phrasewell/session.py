@@ -64,13 +64,21 @@ def fits(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     A side is broadcast only if it was measured this way; each caller has another way beyond it.
     """
 
-    def size(field: T.StructField) -> Column:
-        column = F.col(field.name)
-        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-            return F.coalesce(F.octet_length(column), F.lit(0)) + 16
-        if isinstance(field.dataType, (T.ArrayType, T.MapType)):
-            return F.coalesce(F.size(column), F.lit(0)) * 8 + 16
+    def size(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+        if isinstance(kind, T.ArrayType):
+            if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+                each = F.aggregate(value, F.lit(16).cast("bigint"), lambda n, x: n + size(x, kind.elementType))
+                return F.coalesce(each, F.lit(16))
+            return F.coalesce(F.size(value), F.lit(0)) * 8 + 16
+        if isinstance(kind, T.MapType):
+            return size(F.map_keys(value), T.ArrayType(kind.keyType)) + size(F.map_values(value), T.ArrayType(kind.valueType))
+        if isinstance(kind, T.StructType):
+            return sum((size(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+        if isinstance(kind, T.VariantType):
+            raise TypeError("the size of a variant cannot be measured")
         return F.lit(8)
 
-    row = sum((size(f) for f in df.schema.fields), F.lit(16))
+    row = sum((size(F.col(f.name), f.dataType) for f in df.schema.fields), F.lit(16))
     return (df.agg(F.sum(row.cast("bigint"))).first()[0] or 0) <= max_bytes

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from phrasewell.session import new_path
 
@@ -50,10 +50,11 @@ def resume_stage(
         compute(todo).write.mode("append").parquet(path)
     else:
         aside = new_path(spark, "todo")
+        kinds = T.StructType([*todo.schema.fields, T.StructField("_slice", T.LongType())])
         part = F.pmod(F.xxhash64(key), F.lit(slices)).alias("_slice")
         todo.select("*", part).write.partitionBy("_slice").parquet(aside)
         for i in range(slices):
-            missing = spark.read.schema(todo.schema.add("_slice", "bigint")).parquet(aside).where(F.col("_slice") == i)
+            missing = spark.read.schema(kinds).parquet(aside).where(F.col("_slice") == i)
             compute(missing.drop("_slice")).write.mode("append").parquet(path)
     return spark.read.parquet(path).join(source.select(key), key, "left_semi")
 

@@ -2,8 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import views
-from phrasewell.plans.assess import RESULT_COLUMNS, assess, assess_stream, results, run_table
-from phrasewell.plans.filtering import add_bleu, filter_answers, stored_threshold
+from phrasewell.plans.assess import RESULT_COLUMNS, STRATEGIES, accepted, assess, assess_stream, results, run_table
+from phrasewell.plans.filtering import add_bleu, evaluate_answers, filter_answers, stored_threshold
 from phrasewell.plans.preprocess import preprocess
 from phrasewell.sources import tables
 from phrasewell.streaming.incremental import file_stream
@@ -54,10 +54,56 @@ def test_candidates_stay_in_their_row(spark, path):
         (r.query, r.cand_idx, r.text) for r in long.collect()
     )
     plan = run(spark, path, k=3)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
+    assert "Generate" not in plan
     assert [r.texts for r in G.answer_lists(df, 0, views.echo_generator()).collect()] == [[]] * 5
 
 
+def test_every_input_row_gets_its_result(spark, path):
+    """Equal rows, another translation of the same query, another input on the same stage, other parameters."""
+    one = rows(spark)
+    other = one.where("question = 'what is 1'").withColumn("sparql_wikidata_translated", F.lit("ASK [else]"))
+    mixed = one.unionByName(one).unionByName(other)
+    models = (views.echo_generator(), views.shortest_critic(), views.hashing_encoder(), views.hashing_encoder(32))
+    got = results(assess(mixed, path, *models, k=2)).collect()
+    assert len(got) == 11 and len({r.query_id for r in got}) == 6
+    assert sorted(r.instantiated_query for r in got if r.original_question == "what is 1") == ["ASK [else]", "ASK [thing 1]", "ASK [thing 1]"]
+    assert results(assess(other, path, *models, k=2)).count() == 1
+    assert {F.size: len(r.candidates) for r in assess(other, path, *models, k=4).collect()} == {F.size: 4}
+
+
+def test_the_final_text_is_that_of_the_strategy(spark, path):
+    assessed = run(spark, path, k=3, mode="instantiated")
+    for strategy, (text, score) in STRATEGIES.items():
+        kept = accepted(assessed, strategy, 0.5).collect()
+        assert all(r.final_translation == r[text] and r.final_score == r[score] >= 0.5 for r in kept)
+        assert len(kept) == assessed.where(F.col(score) >= 0.5).count()
+    with pytest.raises(ValueError):
+        accepted(assessed, "best")
+
+
+def test_answers_follow_their_texts(spark, path):
+    """A new text under an old key is answered anew, and equal texts give a row each."""
+    kinds = "row_id int, question string, paraphrased_question string, sparql_wikidata string, wikidata_translated string"
+    labels = spark.createDataFrame([(0, 1)], "row_id int, eval_manual int")
+    line = lambda i, q: (i, q, q, "s", q)
+    ask = lambda data: evaluate_answers(
+        spark.createDataFrame(data, kinds), path, views.shot_generator(), views.length_judge(), views.hashing_encoder(), labels, views.SHOTS, views.JUDGE_SHOTS
+    )
+    first = ask([line(0, "the one"), line(1, "the one"), line(2, "the two")]).collect()
+    assert sorted((r.row_id, r.response, r.eval_manual) for r in first) == [(0, "the so one", 1), (1, "the so one", None), (2, "the so two", None)]
+    assert [(r.row_id, r.response) for r in ask([line(0, "the new")]).collect()] == [(0, "the so new")]
+
+
+def test_a_stream_without_files_is_empty(spark, path):
+    import pathlib
+
+    pathlib.Path(path.removeprefix("file:") + "/in").mkdir(parents=True)
+    models = (views.echo_generator(), views.shortest_critic(), views.hashing_encoder(), views.hashing_encoder(32))
+    stream = file_stream(spark, path + "/in", rows(spark).schema)
+    got = assess_stream(stream, path + "/out", path + "/stage", path + "/checkpoint", *models, k=2)
+    assert got.collect() == [] and got.columns == list(RESULT_COLUMNS)
+
+
 def test_a_stream_of_rows_is_assessed_once(spark, path):
     source = path + "/in"
     models = (views.echo_generator(), views.shortest_critic(), views.hashing_encoder(), views.hashing_encoder(32))

@@ -84,6 +84,9 @@ def test_mean_pool_cuts_and_takes_both_ways(spark):
     for limit in (0, 10**6):
         got = C.mean_pool(rows, table, "k", "tok", "pos", 2, max_tokens=2, broadcast_bytes=limit).collect()
         assert got[0].vector == [2.0, 4.0]
+        more = rows.union(spark.createDataFrame([(2, 0, 9)], rows.schema))
+        pooled = {r.k: r.vector for r in C.mean_pool(more, table, "k", "tok", "pos", 2, max_tokens=2, broadcast_bytes=limit).collect()}
+        assert pooled == {1: [2.0, 4.0], 2: None}
 
 
 def test_hashed_embedding_has_unit_length_and_is_stable(spark):
