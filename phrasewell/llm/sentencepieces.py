@@ -13,6 +13,7 @@ end of the best path, and it is traced back independently of the others.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ CHUNK = 65_536
 #: Chunks, or blocks of them, that are combined by one task.
 BLOCK = 64
 
-MEMO = 150_000
+MEMO = 250_000
 _LOW = float("-inf")
 
 
@@ -42,26 +43,30 @@ class Encoder:
             raise ValueError("a vocabulary without bytes cannot be decoded again")
         self.memo: dict[str, tuple[bytes, float]] = {}
 
-    def traced(self, text: str, back: list[int], piece: list[int], at: int, until: int = 0) -> tuple[bytes, int]:
-        """Ids of the path that ends at ``at``, traced back to a position of ``until`` or less, and that position."""
-        ids: list[int] = []
-        while at > until:
-            ids += reversed(self.vocabulary.ids_of(piece[at], text[back[at] : at]))
-            at = back[at]
-        return np.array(ids[::-1], "<i4").tobytes(), at
-
     def word(self, word: str) -> tuple[bytes, float]:
         """Ids and score of a part that other parts do not depend on."""
         found = self.memo.get(word)
         if found is None:
             best, back, piece = best_path(self.vocabulary, word)
-            found = self.traced(word, back, piece, len(word))[0], best[-1]
+            found = array("i", self._ids(word, back, piece, len(word))).tobytes(), best[-1]
             if len(self.memo) > MEMO:
                 self.memo.clear()
             if len(word) < 64:
                 self.memo[word] = found
         return found
 
+    def _ids(self, text: str, back: list[int], piece: list[int], at: int) -> list[int]:
+        """Ids of the path that ends at ``at``, from where it begins."""
+        ids: list[int] = []
+        while back[at] >= 0:
+            if piece[at] >= 0:
+                ids.append(piece[at])
+            else:
+                ids += reversed(self.vocabulary.ids_of(-1, text[back[at] : at]))
+            at = back[at]
+        ids.reverse()
+        return ids
+
     def encode(self, text: str) -> np.ndarray:
         v = self.vocabulary
         return np.frombuffer(b"".join([self.word(w)[0] for w in v.words(v.normalized(text))]), "<i4")
@@ -125,12 +130,8 @@ class Encoder:
         return out
 
     def chunk_ids(self, window: str, size: int, entry: np.ndarray, leave: int) -> np.ndarray:
-        best, back, piece = self._path(window, size, entry)
-        at, ids = size + leave, []
-        while back[at] >= 0:
-            ids += reversed(self.vocabulary.ids_of(piece[at], window[back[at] : at]))
-            at = back[at]
-        return np.array(ids[::-1], np.int32)
+        _, back, piece = self._path(window, size, entry)
+        return np.array(self._ids(window, back, piece, size + leave), np.int32)
 
 
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -198,7 +199,9 @@ def _giant(texts: DataFrame, model: bytes, chunk: int) -> DataFrame:
                     kinds = zip(row, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()))
                     yield pa.RecordBatch.from_pydict(row, pa.schema(list(kinds)))
 
-    cut = stored(texts.mapInArrow(windows, "doc bigint, at bigint, size int, chunks bigint, window string"), "chunks")
+    # Chunks are spread, whichever document they are of.
+    made = texts.mapInArrow(windows, "doc bigint, at bigint, size int, chunks bigint, window string")
+    cut = stored(made.repartition("doc", "at"), "chunks")
     count = cut.agg(F.max("chunks")).first()[0] or 0
 
     @F.arrow_udf("binary")

@@ -127,18 +127,22 @@ class Vocabulary:
         return text[1:] if self._prefix and text.startswith(" ") else text
 
 
-def best_path(vocabulary: Vocabulary, text: str, start: list[float] | None = None) -> tuple[list[float], list[int], list[int]]:
+def best_path(vocabulary: Vocabulary, text: str) -> tuple[list[float], list[int], list[int]]:
     """Score, last start and last piece of the best path to each position, in double precision.
 
     Of equal scores the earliest start wins, that is the longest last piece; so does the library.
-    ``start`` gives scores at the first positions, at which paths may begin.
     """
     low = float("-inf")
     n = len(text)
     best, back, piece = [low] * (n + 1), [-1] * (n + 1), [-1] * (n + 1)
     best[0] = 0.0
-    if start is not None:
-        best[: len(start)] = start[: n + 1]
+    if vocabulary.single.issuperset(text):  # no unknown characters: the automaton names all edges
+        for last, (length, score, p) in vocabulary.automaton.iter(text):
+            begin = last + 1 - length
+            candidate = best[begin] + score
+            if candidate > best[last + 1]:
+                best[last + 1], back[last + 1], piece[last + 1] = candidate, begin, p
+        return best, back, piece
     for end, begin, score, p in vocabulary.edges(text):
         candidate = best[begin] + score
         if candidate > best[end]:
