@@ -64,9 +64,7 @@ COUNTS = """k AS (
          count(*) FILTER (eval_llm = 1) AS judge_true, count(*) AS total
   FROM f)"""
 
-S2 = """s AS (
-  SELECT doc_id, n_chars::DOUBLE AS score, quality AS label FROM documents JOIN labels USING (doc_id)
-), n AS (
+RUNNING = """n AS (
   SELECT score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM s GROUP BY score
 ), r AS (
   SELECT score, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n,
@@ -74,6 +72,24 @@ S2 = """s AS (
   FROM n WINDOW w AS (ORDER BY score DESC)
 )"""
 
+S2 = f"""s AS (
+  SELECT doc_id, n_chars::DOUBLE AS score, quality AS label FROM documents JOIN labels USING (doc_id)
+), {RUNNING}"""
+
+RATED = """rated AS (
+  SELECT *, (score + lower) / 2 AS lim, (tp + n - fp) / (p + n) AS acc, tp / (tp + fp) AS prec, tp / p AS rec,
+         coalesce(2 * (tp / (tp + fp)) * (tp / p) / nullif(tp / (tp + fp) + tp / p, 0), 0) AS f1, tp / (tp + fp) * pos / p AS gain FROM r
+), tried AS (SELECT * FROM rated WHERE lower IS NOT NULL
+), top_acc AS (SELECT * FROM tried ORDER BY acc DESC, score DESC LIMIT 1
+), top_f1 AS (SELECT * FROM tried ORDER BY f1 DESC, score DESC LIMIT 1
+), best AS (
+  SELECT a.acc AS accuracy, a.lim AS accuracy_threshold, b.f1 AS f1, b.lim AS f1_threshold, b.prec AS precision, b.rec AS recall,
+         (SELECT sum(gain) FROM rated) AS average_precision FROM top_acc a, top_f1 b)"""
+
+RANKED = """ranked AS (
+  SELECT score, label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS rx,
+         rank() OVER (ORDER BY label) + (count(*) OVER (PARTITION BY label) - 1) / 2 AS ry FROM s)"""
+
 CURVE = """u AS (
   SELECT score AS threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, (p - tp)::BIGINT AS fn, (n - fp)::BIGINT AS tn,
          tp / nullif(tp + fp, 0) AS prec, tp / nullif(p, 0) AS rec FROM r
@@ -375,18 +391,26 @@ UNION ALL SELECT doc_id, q, nxt, 0.0::DOUBLE FROM b""",
 SELECT 1.0::DOUBLE AS label, * FROM (WITH {bins('similarity', 'sim', 30, 'label = 1')} SELECT bin, round(lft, 6) AS left, round(rgt, 6) AS right, n FROM h)
 UNION ALL
 SELECT 0.0::DOUBLE AS label, * FROM (WITH {bins('similarity', 'sim', 30, 'label = 0')} SELECT bin, round(lft, 6) AS left, round(rgt, 6) AS right, n FROM h)""",
-    "binary_eval": f"""WITH {S2}, rated AS (
-  SELECT *, (score + lower) / 2 AS lim, (tp + n - fp) / (p + n) AS acc, tp / (tp + fp) AS prec, tp / p AS rec,
-         coalesce(2 * (tp / (tp + fp)) * (tp / p) / nullif(tp / (tp + fp) + tp / p, 0), 0) AS f1, tp / (tp + fp) * pos / p AS gain FROM r
-), tried AS (SELECT * FROM rated WHERE lower IS NOT NULL
-), a AS (SELECT * FROM tried ORDER BY acc DESC, score DESC LIMIT 1
-), b AS (SELECT * FROM tried ORDER BY f1 DESC, score DESC LIMIT 1)
-SELECT round(a.acc, 6) AS accuracy, round(a.lim, 6) AS accuracy_threshold, round(b.f1, 6) AS f1, round(b.lim, 6) AS f1_threshold,
-  round(b.prec, 6) AS precision, round(b.rec, 6) AS recall, round((SELECT sum(gain) FROM rated), 6) AS average_precision FROM a, b""",
-    "similarity_eval": f"""WITH {S2}, ranked AS (
-  SELECT score, label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS rx,
-         rank() OVER (ORDER BY label) + (count(*) OVER (PARTITION BY label) - 1) / 2 AS ry FROM s)
+    "binary_eval": f"""WITH {S2}, {RATED} SELECT round(COLUMNS(*), 6) FROM best""",
+    "similarity_eval": f"""WITH {S2}, {RANKED}
 SELECT round(corr(score, label), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, count(*) AS n FROM ranked""",
+    "evaluate_pairs": f"""WITH {T}, {hashed('t', 'conv_id', 'query', 'tq', 64)}, {hashed('t', 'conv_id', 'question', 'tn', 64)}, ring AS (
+  SELECT conv_id, coalesce(lead(conv_id) OVER (PARTITION BY conv_id % 2 ORDER BY conv_id), min(conv_id) OVER (PARTITION BY conv_id % 2)) AS following FROM t
+), s AS (
+  SELECT round(list_cosine_similarity(tq.v, tn.v), 9) AS score, 1.0 AS label FROM tq JOIN tn USING (conv_id)
+  UNION ALL SELECT round(list_cosine_similarity(tq.v, tn.v), 9), 0.0 FROM tq JOIN ring USING (conv_id) JOIN tn ON tn.conv_id = following
+), {RUNNING}, {RATED}, {RANKED}, bars AS (
+  SELECT 'true ' AS side, bin, n FROM (WITH {bins('score', 's', 30, 'label = 1')} SELECT bin, n FROM h)
+  UNION ALL SELECT 'false ', bin, n FROM (WITH {bins('score', 's', 30, 'label = 0')} SELECT bin, n FROM h)
+)
+SELECT 'histogram' AS report, side || bin AS name, n::DOUBLE AS value FROM bars
+UNION ALL SELECT 'binary', unnest(['accuracy', 'accuracy_threshold', 'f1', 'f1_threshold', 'precision', 'recall', 'average_precision']),
+  unnest([round(accuracy, 5), round(accuracy_threshold, 5), round(f1, 5), round(f1_threshold, 5), round(precision, 5), round(recall, 5), round(average_precision, 5)]) FROM best
+UNION ALL SELECT 'similarity', unnest(['pearson', 'spearman', 'n']), unnest([round(corr(score, label), 5), round(corr(rx, ry), 5), count(*)::DOUBLE]) FROM ranked""",
+    "ingest_order": """SELECT row_number() OVER (ORDER BY lang <> 'en', doc_id) - 1 AS row_id, doc_id,
+  row_number() OVER (ORDER BY lang <> 'en', doc_id) > count(*) OVER () - 200 AS in_prompt FROM documents""",
+    "accepted_candidates": """SELECT original_query, best_translation_dist AS final_translation, bert_q_nl_score_dist AS final_score
+FROM (ASSESSED) WHERE bert_q_nl_score_dist >= 0.6""",
     "preprocess_queries": f"""WITH {E}, told AS (
   SELECT row_id, coalesce(string_agg(shown || ' is ' || description, '; ' ORDER BY pos) FILTER (description IS NOT NULL), '') AS descriptions
   FROM found GROUP BY row_id)
@@ -436,3 +460,4 @@ FROM w JOIN pr USING (g) JOIN t ON t.conv_id = g GROUP BY g""",
 )
 SELECT report, name, round(value, 5) AS value FROM one""",
 }
+SQL["accepted_candidates"] = SQL["accepted_candidates"].replace("ASSESSED", SQL["assess_candidates"])

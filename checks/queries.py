@@ -19,7 +19,7 @@ from phrasewell.operators import (
     rows as R,
     stats as S,
 )
-from phrasewell.plans.assess import RESULT_COLUMNS, assess, results
+from phrasewell.plans.assess import RESULT_COLUMNS, accepted, assess, results
 from phrasewell.plans.filtering import evaluate_answers as evaluate, filter_answers
 from phrasewell.plans.preprocess import preprocess
 from phrasewell.session import new_path
@@ -56,6 +56,22 @@ def union_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "lang", "source", "n_chars")
 
 
+def ingest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of two splits, each of three files of unlike size, numbered in the order they have in the files."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    last = documents.agg(F.max("doc_id")).scalar()
+    part = F.when(F.col("doc_id") < last * 0.02, 0).when(F.col("doc_id") < last * 0.3, 1).otherwise(2)
+    splits = []
+    for name, where in (("train", F.col("lang") == "en"), ("test", F.col("lang") != "en")):
+        path = new_path(spark, name)
+        T.write_results(documents.where(where).repartitionById(3, part).sortWithinPartitions("doc_id"), path, form="csv")
+        splits.append(T.scan_pairs(spark, path, documents.schema, position="position"))
+    read = T.union_splits(*splits, number="split").select("split", "position", "doc_id")
+    numbered = R.row_index(read, "split", "position")
+    rows = numbered.agg(F.count("*")).scalar()
+    return numbered.select("row_id", "doc_id", (F.col("row_id") >= rows - 200).alias("in_prompt"))
+
+
 def write_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     path = new_path(spark, "orders")
@@ -559,6 +575,21 @@ def similarity_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select(rounded("pearson"), rounded("spearman"), "n")
 
 
+def evaluate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reports on pairs as rows of report, name and value; rows with even and odd ids are two splits."""
+    rows = views.triples(spark, sf_dir).select("conv_id", "query", "question", (F.col("conv_id") % 2).alias("split"))
+    report = P.evaluate_pairs(rows, "conv_id", "query", "question", views.hashing_encoder(), split="split")
+
+    def long(name: str, one: DataFrame) -> DataFrame:
+        return one.select(F.lit(name).alias("report"), F.explode(F.array(*[
+            F.struct(F.lit(c).alias("name"), F.round(F.col(c).cast("double"), 5).alias("value")) for c in one.columns
+        ])).alias("e")).select("report", "e.*")
+
+    side = F.when(F.col("label") == 1, "true ").otherwise("false ")
+    bars = report.histograms.select(F.lit("histogram").alias("report"), F.concat(side, "bin").alias("name"), F.col("n").cast("double").alias("value"))
+    return bars.unionByName(long("binary", report.binary)).unionByName(long("similarity", report.similarity))
+
+
 # Whole jobs
 
 
@@ -574,19 +605,27 @@ def preprocess_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def assess_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.triples(spark, sf_dir).select(
         "question",
         F.concat(F.lit("conversation "), "conv_id").alias("sparql_wikidata"),
         F.col("query").alias("sparql_wikidata_translated"),
         F.col("candidates").alias("descriptions"),
     )
-    assessed = assess(
+    return assess(
         rows, new_path(spark, "assess"), views.echo_generator(), views.shortest_critic(),
         views.hashing_encoder(), views.hashing_encoder(32), k=4, rounds=1, mode="instantiated",
         concurrency=8,
     )
-    kept = results(assessed).drop("query_id")
+
+
+def accepted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = accepted(_assessed(spark, sf_dir), "distance", 0.6)
+    return kept.select("original_query", "final_translation", rounded("final_score", 5))
+
+
+def assess_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = results(_assessed(spark, sf_dir)).drop("query_id")
     return kept.select(*[rounded(c, 5) if c in SCORES else F.col(c) for c in kept.columns])
 
 
@@ -636,7 +675,7 @@ def filtered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTERED: dict[str, Query] = {
     f.__name__: f
     for f in (
-        scan_pairs, union_splits, write_results, write_nested, stage_resume, incremental_results,
+        scan_pairs, ingest_order, union_splits, write_results, write_nested, stage_resume, incremental_results,
         row_index, row_index_composite, head_n, tail_n, slice_split, slice_rows, drop_failed,
         score_filter, project_final, coalesce_text,
         extract_mentions, mention_keys, label_lookup, mention_freq, substitute_labels, descriptions,
@@ -650,7 +689,7 @@ REGISTERED: dict[str, Query] = {
         attach_labels, confusion, classifier_metrics, judge_summary, score_stats, histogram,
         histogram_flagged, accepted_labels, label_share, share_split, linear_fit, threshold_step,
         threshold_curve, threshold_sweep,
-        contrastive_pairs, score_pairs, pair_similarity, binary_eval, similarity_eval,
-        preprocess_queries, assess_candidates, evaluate_answers, filtered_answers,
+        contrastive_pairs, score_pairs, pair_similarity, binary_eval, similarity_eval, evaluate_pairs,
+        preprocess_queries, assess_candidates, accepted_candidates, evaluate_answers, filtered_answers,
     )
 }

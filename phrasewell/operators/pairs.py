@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from phrasewell.functions import ratios as R, vectors as V
+from phrasewell.operators.candidates import SCORE_DIGITS
 from phrasewell.operators.generate import Encoder, encode_texts
 from phrasewell.operators.ranges import running_totals, with_next
 from phrasewell.operators.rows import head_n
@@ -76,6 +77,8 @@ def evaluate_pairs(
     some = rows if n is None else head_n(rows, n, key)
     path = new_path(rows.sparkSession, "pairs")
     scored = score_pairs(pair_vectors(some, key, query, question, encoder, split))
+    # Rounded, so that pairs that are equally alike have equal scores.
+    scored = scored.withColumn("similarity", F.round("similarity", SCORE_DIGITS))
     scored.drop("sentence_0", "sentence_1").write.parquet(path)
     pairs = rows.sparkSession.read.parquet(path)
     return PairReport(
