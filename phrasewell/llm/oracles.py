@@ -32,6 +32,14 @@ compared AS (
 SELECT doc_id, unit, CAST(number AS INTEGER) AS number, license, round(CAST(dice AS DOUBLE), 9) AS dice
 FROM compared WHERE dice >= 0.8
 QUALIFY row_number() OVER (PARTITION BY doc_id, unit, number ORDER BY dice DESC, license) = 1
+""",
+    "op4_near_vectors": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+n AS (SELECT x, count(*) AS n_links FROM e GROUP BY x)
+SELECT x AS vec_id, coalesce(any_value(n_links), 0) AS n_links, min(y) AS component_id, x = min(y) AS kept
+FROM r LEFT JOIN n USING (x) GROUP BY x
 """,
     "op10_warc": """
 WITH read AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),

@@ -36,6 +36,14 @@ def test_query_agrees_with_all_pairs(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in ours)
 
 
+def test_query_agrees_with_sql(spark):
+    from checks.compare import difference
+    from phrasewell.llm.oracles import SQL
+    from phrasewell.llm.queries import QUERIES
+
+    assert difference(spark, SF, QUERIES["op4_near_vectors"], SQL["op4_near_vectors"]) is None
+
+
 def test_odd_vectors_and_a_hot_group_in_blocks(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=48)
