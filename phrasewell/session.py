@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[[^-]|$)", spark.sparkContext.master):  # local-cluster is a cluster
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
