@@ -46,13 +46,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = pieces_model()
-    ids = F.col("ids")
-    coded = sentencepieces.encode(docs.withColumn("_own", F.struct("doc_id", F.xxhash64("text").alias("hash"))), model, key="_own")
-    back = F.xxhash64(sentencepieces.decoded(ids, model, spark))
-    return coded.select(
-        "_own.doc_id", F.size(ids).cast("bigint").alias("n_ids"), sentencepieces.checksum(ids).alias("ids_crc32"),
-        (back == F.col("_own.hash")).alias("round_trip"),
-    )
+    own = F.struct("doc_id", F.xxhash64("text").alias("hash"))
+    coded = sentencepieces.encode(docs.withColumn("_own", own), model, key="_own")
+    told = coded.select("_own", sentencepieces.summary(F.col("ids"), model, spark).alias("s"))
+    same = F.xxhash64("s.text") == F.col("_own.hash")
+    return told.select("_own.doc_id", "s.n_ids", "s.ids_crc32", same.alias("round_trip"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

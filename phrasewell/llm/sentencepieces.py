@@ -289,12 +289,24 @@ def decoded(ids: Column, model: bytes, spark) -> Column:
     return of(ids)
 
 
-def checksum(ids: Column) -> Column:
-    """CRC-32 of ids as little-endian unsigned 32-bit numbers; null for null ids."""
+def summary(ids: Column, model: bytes, spark) -> Column:
+    """What can be told of ids, as a struct: their number, their CRC-32 as little-endian 32-bit numbers, their text.
 
-    @F.arrow_udf("bigint")
+    One function, so that ids that are made by another one are made once. Nulls for null ids.
+    """
+    shared = spark.sparkContext.broadcast(model)
+    ready: list[Vocabulary] = []
+
+    @F.arrow_udf("struct<n_ids:bigint,ids_crc32:bigint,text:string>")
     def of(all_ids: pa.Array) -> pa.Array:
-        return pa.array([None if not x.is_valid else zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) for x in all_ids], pa.int64())
+        if not ready:
+            ready.append(Vocabulary(shared.value))
+        rows = []
+        for x in all_ids:
+            own = x.values.to_numpy(zero_copy_only=False) if x.is_valid else None
+            rows.append((None, None, None) if own is None else (len(own), zlib.crc32(own.astype("<u4").tobytes()), ready[0].decoded(own)))
+        columns = zip(*rows) if rows else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()))], ["n_ids", "ids_crc32", "text"])
 
     return of(ids)
 
