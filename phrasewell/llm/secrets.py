@@ -29,6 +29,9 @@ CONTEXT = re.compile(
     re.A | re.I,
 )
 
+# A value ends before a separator and a further name with its equals sign.
+NEXT_NAME = re.compile(r"(?:&(?:amp;)?|;)[A-Za-z_][\w.-]*=", re.A)
+
 # Words that guessers try first, commonest first; ranks give their cost.
 WORDS = (
     "password", "pass", "admin", "user", "login", "welcome", "secret", "master", "root", "test", "love", "dragon", "monkey",
@@ -167,15 +170,27 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, kind) for s, _, e, kind in sorted(found)]
 
 
+def covered(start: int, end: int, taken: list[tuple[int, int, str]]) -> bool:
+    """Whether spans in order of their starts leave no character from ``start`` to ``end`` out."""
+    for s, e, _ in taken:
+        if s <= start < e:
+            start = e
+    return start >= end
+
+
 def guess_spans(text: str, least_cost: float, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Values in credential contexts of at least ``least_cost`` that no base span covers."""
-    found = []
-    for m in CONTEXT.finditer(text):
-        start, end = m.span(1)
-        value = m[1].rstrip(".,;:!?)\"'`")
+    """Values in credential contexts of at least ``least_cost`` that reach beyond the base spans."""
+    found, at = [], 0
+    while m := CONTEXT.search(text, at):
+        start, at = m.span(1)
+        # The next of several parameters is judged on its own.
+        following = NEXT_NAME.search(text, start, at)
+        if following:
+            at = following.start()
+        value = text[start:at].rstrip(".,;:!?)\"'`")
         end = start + len(value)
         # Letters alone are a word of some language, not a credential.
-        if len(value) < 8 or value.isalpha() or any(s < end and start < e for s, e, _ in taken):
+        if len(value) < 8 or value.isalpha() or covered(start, end, taken):
             continue
         if guess_cost(value)[0] >= least_cost:
             found.append((start, end, "guess"))
@@ -187,7 +202,8 @@ def spans(text: Column, least_cost: float = 9.0) -> Column:
 
     Positions count code points, ends are exclusive. Kinds are assign, access and hex, which have
     fixed patterns, and guess: a value after a credential's name whose least guess cost is at least
-    ``10 ** least_cost`` guesses and which overlaps no other span. A null or empty text has none.
+    ``10 ** least_cost`` guesses and which the other spans do not cover; it may overlap them, as the
+    fixed pattern ends at the first symbol. A null or empty text has none.
     """
 
     @F.arrow_udf("array<struct<start:int,end:int,kind:string>>")
@@ -197,7 +213,7 @@ def spans(text: Column, least_cost: float = 9.0) -> Column:
         for x in texts:
             text = x.as_py() or ""
             base = base_spans(text)
-            every = sorted(base + guess_spans(text, least_cost, base), key=lambda s: s[0]) if text else []
+            every = sorted(base + guess_spans(text, least_cost, base), key=lambda s: (s[0], s[2] == "guess")) if text else []
             out.append([{"start": s, "end": e, "kind": k} for s, e, k in every])
         return pa.array(out, kind)
 

@@ -78,3 +78,16 @@ def test_added_spans_and_redaction(spark, no_docs):
     assert got[2] == ("", None) and got[3] == ("", "pwd: password1")
     assert got[4][0] == "guess:300018:300030" and got[4][1].endswith("=> [guess]")
     assert secrets.scan(no_docs).collect() == []
+
+
+def test_values_that_reach_beyond_the_base(spark):
+    texts = {
+        1: ("password: Tr0ub4dor&3xyz!q9@Lm#", "assign:0:19,guess:10:31", "[assign]"),
+        2: ("?pwd=Zx9!kQ27vv&token=abcdef123", "guess:5:15,assign:16:31", "?pwd=[guess]&[assign]"),
+        3: ("secret=vT9#kQ2!xL7p;pwd=8fK!2pQz7Lm4&amp;x=1", "guess:7:19,guess:24:36", "secret=[guess];pwd=[guess]&amp;x=1"),
+        4: ("password=abcdef12 and token=abcdefgh12", "assign:0:17,assign:22:38", "[assign] and [assign]"),
+        5: ("pwd=abc&token=vT9#kQ2!xL7p", "guess:14:26", "pwd=abc&token=[guess]"),
+    }
+    df = secrets.scan(spark.createDataFrame([(k, t[0]) for k, t in texts.items()], "doc_id int, text string"))
+    got = df.select("doc_id", secrets.shown(F.col("spans")), secrets.redacted(F.col("text"), F.col("spans"))).collect()
+    assert {k: (s, c) for k, s, c in got} == {k: t[1:] for k, t in texts.items()}
