@@ -6,6 +6,7 @@ and brute-force spans, found by dynamic programming over its positions.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from functools import lru_cache
@@ -25,7 +26,7 @@ BASE = (
 # Names before a credential, in any case. What follows the name and a separator is a value.
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?id|credentials?|bearer)"""
-    r"""(?:[_-]?[a-z]{1,12})?["']?(?:\x20{0,3}(?:=>|:=|[:=])\x20{0,3}|\x20is\x20["'`])["'`]?([!#-&(-_a-~]{8,256})""",
+    r"""(?:[_-]?[a-z]{1,12})?["']?(?:\x20{0,3}(?:=>|:=|[:=])\x20{0,3}|\x20is\x20["'`])["'`]?([!#-&(-_a-~]{8,})""",
     re.A | re.I,
 )
 
@@ -58,6 +59,9 @@ def _neighbours() -> dict[str, set[str]]:
 
 
 NEXT_KEYS = _neighbours()
+#: Characters after each of which a repeat may end; beyond, it ends where it does in the value.
+STRETCH = 64
+
 RANKS = {w: i + 1 for i, w in enumerate(WORDS)}
 _LONGEST = max(map(len, WORDS))
 
@@ -70,59 +74,123 @@ def _alphabet(c: str) -> int:
     return 33 if c.isascii() else 100
 
 
-def cheap_segments(value: str) -> list[list[tuple[int, float, str]]]:
-    """Words, dates, repeats and walks in ``value`` by their end, as (start, cost, kind)."""
-    n = len(value)
-    lower = value.lower()
-    plain = lower.translate(LEET)
-    segments: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]  # by end: (start, cost, kind)
-    for i in range(n):
+class _Segments:
+    """Words, dates, repeats and walks in ``value`` by their start.
+
+    A repeat of one character may end after any of its first ``STRETCH`` ones, or where it ends in the
+    value; one of several characters ends there. Ends of repeats are looked for once.
+    """
+
+    def __init__(self, value: str):
+        self.value, self.lower = value, value.lower()
+        self.plain = self.lower.translate(LEET)
+        self.ends: dict[int, tuple[int, int]] = {}  # by period: from where and until where it holds
+
+    def _end(self, i: int, size: int) -> int:
+        """Where the characters from ``i`` on cease to equal those ``size`` before them."""
+        value = self.value
+        since, end = self.ends.get(size, (0, 0))
+        if not since <= i <= end - size:
+            end = i + size
+            while end < len(value) and value[end] == value[end - size]:
+                end += 1
+            self.ends[size] = (i, end)
+        return end
+
+    def of(self, i: int, limit: float = math.inf) -> list[tuple[int, float, str]]:
+        """Segments (end, cost, kind) from ``i`` on; walks only as far as their turns cost up to ``limit``."""
+        value, lower, plain = self.value, self.lower, self.plain
+        n, found = len(value), []
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
             rank = RANKS.get(lower[i:j]) or RANKS.get(plain[i:j])
             if rank:
                 cased = 1 if value[i:j] == lower[i:j] else 2
                 swapped = 1 if lower[i:j] in RANKS else 2
-                segments[j].append((i, math.log10(rank * cased * swapped + 1), "word"))
+                found.append((j, math.log10(rank * cased * swapped + 1), "word"))
         for j in range(i + 4, min(n, i + 10) + 1) if value[i].isdigit() else ():
             if _DATE.fullmatch(value, i, j):
                 year = j - i == 4 and value[i : i + 2] in ("19", "20")
                 days = 2.1 if year else 4.57  # a year alone, or a day within a hundred years
-                segments[j].append((i, days + (0.6 if not value[i:j].isdigit() else 0), "date"))
-        j = i + 1
-        while j < n and j - i < 64 and value[j] == value[i]:
-            j += 1
-            if j - i >= 3:
-                segments[j].append((i, math.log10(_alphabet(value[i]) * (j - i)), "repeat"))
+                found.append((j, days + (0.6 if not value[i:j].isdigit() else 0), "date"))
+        end = self._end(i, 1)
+        for j in (*range(i + 3, min(end, i + STRETCH) + 1), *((end,) if end > i + STRETCH else ())):
+            found.append((j, math.log10(_alphabet(value[i]) * (j - i)), "repeat"))
         for size in range(2, min(16, (n - i) // 2) + 1):
-            unit, times = value[i : i + size], 1
-            while value.startswith(unit, i + size * times) and size * times < 64:
-                times += 1
+            times = (self._end(i, size) - i) // size if value.startswith(value[i : i + size], i + size) else 1
             if times > 1:
-                unit_cost = sum(math.log10(_alphabet(c)) for c in unit)
-                segments[i + size * times].append((i, unit_cost + math.log10(times), "repeat"))
+                unit_cost = sum(math.log10(_alphabet(c)) for c in value[i : i + size])
+                found.append((i + size * times, unit_cost + math.log10(times), "repeat"))
         turns, j, step = 0, i, None
-        while j + 1 < n and j - i < 64 and lower[j + 1] in NEXT_KEYS.get(lower[j], ()):
+        while j + 1 < n and turns * 0.6 <= limit and lower[j + 1] in NEXT_KEYS.get(lower[j], ()):
             way = ord(lower[j + 1]) - ord(lower[j])
             turns += step is not None and way != step
             step, j = way, j + 1
             if j - i >= 2:
-                segments[j + 1].append((i, math.log10(47 * (j - i)) + turns * 0.6, "walk"))
+                found.append((j + 1, math.log10(47 * (j - i)) + turns * 0.6, "walk"))
         for step in (1, -1):
             j = i
-            while j + 1 < n and j - i < 64 and value[j].isalnum() and ord(value[j + 1]) - ord(value[j]) == step:
+            while j + 1 < n and value[j].isalnum() and ord(value[j + 1]) - ord(value[j]) == step:
                 j += 1
                 if j - i >= 2:
-                    segments[j + 1].append((i, math.log10(_alphabet(value[i]) * (j - i + 1)), "walk"))
+                    found.append((j + 1, math.log10(_alphabet(value[i]) * (j - i + 1)), "walk"))
+        return found
+
+
+def cheap_segments(value: str) -> list[list[tuple[int, float, str]]]:
+    """Words, dates, repeats and walks in ``value`` by their end, as (start, cost, kind)."""
+    found = _Segments(value)
+    segments: list[list[tuple[int, float, str]]] = [[] for _ in range(len(value) + 1)]
+    for i in range(len(value)):
+        for j, cost, kind in found.of(i):
+            segments[j].append((i, cost, kind))
     return segments
 
 
+def costs_at_least(value: str, least: float) -> bool:
+    """Whether ``guess_cost`` of ``value`` is at least ``least``, for values of any length.
+
+    Goes on from the positions reached, nearest first, and drops what costs as much already, as nothing
+    that follows makes it cheaper. A value that is hard to guess ends this after few characters, and
+    one that is easy consists of few segments.
+    """
+    n = len(value)
+    factorial = lambda k: math.lgamma(k + 1) / math.log(10)
+    if not n:
+        return 0.0 >= least
+    segments = _Segments(value)
+    reached: dict[int, dict[tuple[int, bool], float]] = {0: {(0, False): 0.0}}
+    order = [0]
+
+    def offer(j: int, state: tuple[int, bool], cost: float) -> None:
+        if cost + factorial(state[0]) >= least:
+            return
+        if j not in reached:
+            reached[j] = {}
+            heapq.heappush(order, j)
+        if cost < reached[j].get(state, math.inf):
+            reached[j][state] = cost
+
+    while order:
+        i = heapq.heappop(order)
+        states = reached.pop(i)
+        if i == n:
+            return not states
+        one = math.log10(_alphabet(value[i]))
+        following = segments.of(i, least)
+        for (k, brute), cost in states.items():
+            offer(i + 1, (k if brute else k + 1, True), cost + one)
+            for j, added, _ in following:
+                offer(j, (k + 1, False), cost + added)
+    return True
+
+
 @lru_cache(maxsize=4096)
 def guess_cost(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
     """Decimal logarithm of the guesses for ``value`` and the cheapest segmentation as (kind, start, end).
 
     A segmentation costs the product of its segments and of their number's factorial, as their order
     must be guessed too; ``best[k][j]`` is the least sum for the first j characters in k segments.
-    An empty value costs 0. The longest stretch of a segment other than a word is 64 characters.
+    An empty value costs 0.
     """
     n = len(value)
     if not n:
@@ -192,7 +260,7 @@ def guess_spans(text: str, least_cost: float, taken: list[tuple[int, int, str]])
         # Letters alone are a word of some language, not a credential.
         if len(value) < 8 or value.isalpha() or covered(start, end, taken):
             continue
-        if guess_cost(value)[0] >= least_cost:
+        if costs_at_least(value, least_cost):
             found.append((start, end, "guess"))
     return found
 

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from itertools import combinations
 
@@ -91,3 +92,22 @@ def test_values_that_reach_beyond_the_base(spark):
     df = secrets.scan(spark.createDataFrame([(k, t[0]) for k, t in texts.items()], "doc_id int, text string"))
     got = df.select("doc_id", secrets.shown(F.col("spans")), secrets.redacted(F.col("text"), F.col("spans"))).collect()
     assert {k: (s, c) for k, s, c in got} == {k: t[1:] for k, t in texts.items()}
+
+
+def test_whole_values_of_any_length(spark):
+    rng = random.Random(3)
+    draw = lambda n: "".join(rng.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJKMNPQRSTUVWXYZ23456789+/") for _ in range(n))
+    long, longer = draw(400), draw(200_000)
+    rows = [(1, f"private_key = {long} end"), (2, f"bearer: {longer}"), (3, "pwd: " + "=" * 192), (4, "pwd: " + "wxyz" * 60), (5, "pwd: " + "x" * 300_000), (6, "pwd: " + "x" * 300_000 + draw(12))]
+    df = secrets.scan(spark.createDataFrame(rows, "doc_id int, text string"))
+    got = {r.doc_id: r.shown for r in df.select("doc_id", secrets.shown(F.col("spans")).alias("shown")).collect()}
+    assert got == {1: "guess:14:414", 2: "guess:8:200008", 3: "", 4: "", 5: "", 6: "guess:5:300017"}
+
+
+def test_the_bound_is_the_cost():
+    rng = random.Random(4)
+    parts = ("password", "P@ss", "1987", "qwerty", "aaaa", "zzzzzz", "x9", "abcabc", "Q#", "monkey", "2020-01-02", "k")
+    for _ in range(400):
+        value = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 6)))
+        for least in (4.0, 9.0, 12.0):
+            assert secrets.costs_at_least(value, least) == (secrets.guess_cost(value)[0] >= least), value
