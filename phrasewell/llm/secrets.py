@@ -45,6 +45,20 @@ WORDS = (
     "undefined", "environ", "getenv", "config", "settings", "variable", "function", "return", "import", "file", "path", "data",
 )
 
+# Common pairs of letters in English, German, French and Spanish, about a quarter of all pairs. Most pairs
+# in words are among them, few in random letters are.
+PAIRS = frozenset(
+    "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur ro ic "
+    "ne me li co ta io ri ce la el ma di ho ch ll be us om ec em ut pe ac so tr un no wa ot il ee nc id ss rs ni mo na ge ie wi "
+    "da lo ai po qu ue ei ig au ht sc ck am mi pr ol ad ul pl ag im ir ke ay ap ow iv fo fi ca ct av bl ev sp up su ab ty gh ry "
+    "ly os ia ci ga va vi bo ob do br ep ip op mp ns rt rd rm rk rn ls lt pa pi bi bu ba gr cr cl fr fa fe ff fu ki ye".split()
+)
+
+#: Letters that look like words are secrets only at so many times the least cost (a sentence of words, or 26 letters).
+WORDLIKE_TIMES = 4
+
+_CASED = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})+")
+
 # Rows of a keyboard, each shifted half a key to the right of the one above.
 KEY_ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 
@@ -238,6 +252,14 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, kind) for s, _, e, kind in sorted(found)]
 
 
+def wordlike(value: str) -> bool:
+    """Whether a value is letters only, cased as words are, with common pairs at half of its places or more."""
+    if not value.isalpha() or not _CASED.fullmatch(value):
+        return False
+    lower = value.lower()
+    return 2 * sum(lower[i : i + 2] in PAIRS for i in range(len(lower) - 1)) >= len(lower) - 1
+
+
 def covered(start: int, end: int, taken: list[tuple[int, int, str]]) -> bool:
     """Whether spans in order of their starts leave no character from ``start`` to ``end`` out."""
     for s, e, _ in taken:
@@ -257,10 +279,9 @@ def guess_spans(text: str, least_cost: float, taken: list[tuple[int, int, str]])
             at = following.start()
         value = text[start:at].rstrip(".,;:!?)\"'`")
         end = start + len(value)
-        # Letters alone are a word of some language, not a credential.
-        if len(value) < 8 or value.isalpha() or covered(start, end, taken):
+        if len(value) < 8 or covered(start, end, taken):
             continue
-        if costs_at_least(value, least_cost):
+        if costs_at_least(value, least_cost * (WORDLIKE_TIMES if wordlike(value) else 1)):
             found.append((start, end, "guess"))
     return found
 
@@ -271,7 +292,8 @@ def spans(text: Column, least_cost: float = 9.0) -> Column:
     Positions count code points, ends are exclusive. Kinds are assign, access and hex, which have
     fixed patterns, and guess: a value after a credential's name whose least guess cost is at least
     ``10 ** least_cost`` guesses and which the other spans do not cover; it may overlap them, as the
-    fixed pattern ends at the first symbol. A null or empty text has none.
+    fixed pattern ends at the first symbol. Letters that look like words, which are most often just
+    that, count only from ``10 ** (WORDLIKE_TIMES * least_cost)`` guesses on. A null or empty text has none.
     """
 
     @F.arrow_udf("array<struct<start:int,end:int,kind:string>>")

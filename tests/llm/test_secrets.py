@@ -111,3 +111,15 @@ def test_the_bound_is_the_cost():
         value = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 6)))
         for least in (4.0, 9.0, 12.0):
             assert secrets.costs_at_least(value, least) == (secrets.guess_cost(value)[0] >= least), value
+
+
+def test_random_letters_are_told_from_words(spark):
+    rng = random.Random(6)
+    hard = ["passphrase: qzXwRtPLmNvBcKjHgFdSaYuIo"]
+    hard += ["pwd: " + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40)) for _ in range(50)]
+    words = ("international", "Datenschutzerklaerung", "authentication", "verfuegbar", "obligatoire", "necesario", "AccessTokenProvider", "administrators", "unavailable", "VALIDATION", "something")
+    rows = list(enumerate([*hard, *(f"token: {w}, credentials: {w}. bearer={w}" for w in words)]))
+    df = secrets.scan(spark.createDataFrame(rows, "doc_id int, text string"))
+    got = {r.doc_id: [s.kind for s in r.spans] for r in df.collect()}
+    assert all(got[i] == ["guess"] for i in range(len(hard)))
+    assert not any("guess" in got[i] for i in range(len(hard), len(rows)))
