@@ -23,6 +23,14 @@ COMMON = (
     "den", "von", "zu", "mit", "de", "la", "le", "les", "des", "et", "un", "une", "en", "el", "los", "que", "y", "por", "con",
 )
 
+#: Letters of the languages of ``COMMON`` end here; a text where one in so many words has another is in none of them.
+OTHER_LETTERS = r"[\p{L}&&[^a-zA-ZÀ-ÄÇ-ÏÑ-ÔÖÙ-Üß-äç-ïñ-ôöù-üÿŸŒœªº]]"
+OTHER_WORDS = 50
+
+#: The least share of bad votes on good documents that a rule is given, whatever the corpus says: one bad vote alone
+#: is not enough against all others.
+LEAST_WRONG = 0.01
+
 RULES = ("length", "symbols", "plain", "windows", "runs", "distinct", "common", "lines")
 
 
@@ -86,6 +94,7 @@ def measures(docs: DataFrame, key: str, text: str) -> DataFrame:
         share(F.size(F.filter("words", lambda w: w.rlike(PLAIN)))).alias("n_plain"),
         share(F.size(F.filter("words", lambda w, i: w == F.get("words", i - 1)))).alias("n_runs"),
         share(F.size(F.filter("words", lambda w: F.lower(w).isin(*COMMON)))).alias("n_common"),
+        share(F.size(F.filter("words", lambda w: w.rlike(OTHER_LETTERS)))).alias("n_other"),
     )
 
 
@@ -99,7 +108,7 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def votes() -> dict[str, Column]:
-    """Each rule's vote: -1 bad, 1 good, 0 abstain. A text without words gets -1 for its length and abstains."""
+    """Each rule's vote: -1 bad, 1 good, 0 abstain. Common words say nothing of languages they are not of. A text without words gets -1 for its length and abstains."""
     n = F.col("n_words")
     some = n >= 10  # shares of few words say little
 
@@ -118,7 +127,7 @@ def votes() -> dict[str, Column]:
         "windows": share("n_repeat_words", n, 0.2, 0.05),
         "runs": share("n_runs", n, 0.1, 0.02),
         "distinct": short_of("n_distinct", F.least(n, F.lit(500)), 0.25, 0.4),
-        "common": F.when(n >= 30, short_of("n_common", n, 0.03, 0.08)).otherwise(0),
+        "common": F.when((n >= 30) & (OTHER_WORDS * F.col("n_other") < n), short_of("n_common", n, 0.03, 0.08)).otherwise(0),
         "lines": F.when(F.col("n_lines") >= 4, share("n_dup_lines", F.col("n_lines"), 0.3, 0.1)).otherwise(0),
     }
 
@@ -128,7 +137,8 @@ def fit(counted: Iterable[tuple[tuple[int, ...], int]], rounds: int = 100, prior
 
     Per rule it estimates how often it votes bad and good in either class when it does vote, smoothed
     by pseudo-counts that favour a right vote, with which it also starts, so that the classes cannot
-    change places. To abstain says nothing. No pattern at all gives the start values.
+    change places. A good document gets at least ``LEAST_WRONG`` bad votes of a rule, so that none of them
+    decides alone. To abstain says nothing. No pattern at all gives the start values.
     """
     rows = [(p, n) for p, n in counted]
     rules = len(rows[0][0]) if rows else len(RULES)
@@ -146,6 +156,9 @@ def fit(counted: Iterable[tuple[tuple[int, ...], int]], rounds: int = 100, prior
                     sums[r][1][v] += p * n
                     sums[r][0][v] += (1 - p) * n
         new = [{c: {v: s[c][v] / sum(s[c].values()) for v in s[c]} for c in (0, 1)} for s in sums]
+        for rule in new:
+            wrong = max(rule[1][-1], LEAST_WRONG)
+            rule[1] = {-1: wrong, 1: 1 - wrong}
         moved = max(abs(new[r][c][v] - table[r][c][v]) for r in range(rules) for c in (0, 1) for v in (-1, 1))
         table, pi = new, min(max((good + prior) / (total + 1), 0.01), 0.99)
         if moved < 1e-9:

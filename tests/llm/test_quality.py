@@ -77,3 +77,24 @@ def test_no_python_on_executors(spark):
     with_plan = quality.measures(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id", "text")
     plan = with_plan._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_one_bad_vote_is_no_veto():
+    """Rules that never erred on good documents, as in a clean corpus, and bad ones with two bad votes each."""
+    rules = len(quality.RULES)
+    vote = lambda *bad: tuple(-1 if r in bad else 1 for r in range(rules))
+    model = quality.fit([(vote(), 9000), *((vote(r, (r + 1) % rules), 150) for r in range(rules))])
+    for r in range(rules):
+        assert quality.posterior(vote(r), model) > 0.5 > quality.posterior(vote(r, (r + 1) % rules), model)
+
+
+def test_clean_documents_of_other_languages_are_kept(spark):
+    polish = "Wczoraj wieczorem poszliśmy całą rodziną nad rzekę, żeby obejrzeć zachód słońca, który był wyjątkowo piękny. Później wróciliśmy spacerem przez stary park, gdzie kwitły lipy, a dzieci bawiły się jeszcze długo przy fontannie, zanim zrobiło się chłodno."
+    russian = "Вчера вечером мы всей семьёй пошли на реку смотреть закат, который был удивительно красивым. Потом мы вернулись через старый парк, где цвели липы, а дети ещё долго играли у фонтана, пока не стало прохладно и все не захотели домой."
+    goods = "wheat barley timber iron copper wool linen salt coal glass paper leather sugar coffee tobacco cotton rice oats honey wax oil wine butter cheese rope sailcloth bricks slate marble tin".split()
+    numbers = "Goods that came in by the river: " + ", ".join(f"{w} in {1900 + i} of {i * 37 + 5} tons" for i, w in enumerate(goods))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    added = spark.createDataFrame([(-1, polish), (-2, russian), (-3, numbers)], docs.schema)
+    got = {r.doc_id: r for r in quality.assess(docs.unionAll(added)).where("doc_id < 0").collect()}
+    assert got[-1].vote_common == got[-2].vote_common == 0
+    assert got[-3].vote_plain == -1 and all(r.kept for r in got.values())
