@@ -36,27 +36,34 @@ def _byte_letters() -> dict[str, int]:
 class Encoder:
     """Token ids of whole texts by the text of a file of the ``tokenizers`` library, as little-endian bytes.
 
-    Strings of special tokens in a text are ordinary text. A plain byte-level vocabulary whose ids
+    Strings of special tokens in a text are ordinary text, or with ``added`` the tokens that the file
+    adds, as ``encode(text, add_special_tokens=False)`` of the library has it. A plain byte-level vocabulary whose ids
     follow the order of its merges is handed to ``tiktoken``, which gives the same ids about three
     times as fast; any other file is left to ``tokenizers``.
     """
 
-    def __init__(self, file: str):
-        ranks = self._ranks(json.loads(file))
+    def __init__(self, file: str, added: bool = False):
+        told = json.loads(file)
+        ranks = self._ranks(told, added)
         if ranks:
             import tiktoken
 
-            plain = tiktoken.Encoding("own", pat_str=BYTE_LEVEL_CUTS, mergeable_ranks=ranks, special_tokens={})
-            self._encode = plain.encode_ordinary
+            own = {t["content"]: t["id"] for t in told.get("added_tokens") or ()} if added else {}
+            plain = tiktoken.Encoding("own", pat_str=BYTE_LEVEL_CUTS, mergeable_ranks=ranks, special_tokens=own)
+            self._encode = (lambda text: plain.encode(text, allowed_special="all")) if own else plain.encode_ordinary
         else:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_str(file)
-            tokenizer.encode_special_tokens = True
+            tokenizer.encode_special_tokens = not added
             self._encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
     @staticmethod
-    def _ranks(told: dict) -> dict[bytes, int] | None:
+    def _ranks(told: dict, added: bool = False) -> dict[bytes, int] | None:
+        # Tokens that take white space along, stand alone, or begin like another are left to the library.
+        own = [t for t in told.get("added_tokens") or () if added]
+        if any(t.get(k) for t in own for k in ("single_word", "lstrip", "rstrip", "normalized")) or any(a["content"] in b["content"] for a in own for b in own if a is not b):
+            return None
         model, cuts = told["model"], told.get("pre_tokenizer") or {}
         simple = cuts.get("type") == "ByteLevel" and not cuts.get("add_prefix_space") and cuts.get("use_regex", True)
         odd = told.get("normalizer") or model.get("dropout") or model.get("ignore_merges")
@@ -95,7 +102,8 @@ def cut_documents(docs: DataFrame, key: str, text: str, tokenizer: str, size: in
 
     Whole sequences come first, then a half one where there is as much left, then a multiple of a
     64th of a sequence, and the rest. So there are few lengths, all of which the program can combine,
-    and a document has at most three pieces besides its whole sequences. ``end_id`` follows the ids of each document, so an empty or null text has one id. The checksum is
+    and a document has at most three pieces besides its whole sequences. Added tokens of the file
+    that a text spells out are one id each. ``end_id`` follows the ids of each document, so an empty or null text has one id. The checksum is
     that of the piece's ids as little-endian unsigned 32-bit numbers. ``with_ids=False`` leaves the
     ids null once the checksum has been taken.
     """
@@ -108,7 +116,7 @@ def cut_documents(docs: DataFrame, key: str, text: str, tokenizer: str, size: in
     @F.arrow_udf(f"array<struct<{PIECE}>>")
     def pieces(texts: pa.Array) -> pa.Array:
         if not ready:
-            ready.append(Encoder(shared.value))
+            ready.append(Encoder(shared.value, added=True))
         out = []
         for x in texts:
             text = x.as_py()

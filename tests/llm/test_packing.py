@@ -102,3 +102,13 @@ def test_rounding_uses_up_the_demand():
             for x, k in pattern.items():
                 used[x] += times * k
         assert used == demand
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_in_texts_are_their_ids(spark, name):
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(path)
+    spelled = [t.content for t in library.get_added_tokens_decoder().values()][:3]
+    texts = {i: t for i, t in enumerate(f"{a}{s}{b}" for s in spelled for a, b in (("a", "b"), ("a ", " b"), ("", ""), ("x\n", s), (s[:-1], s[1:])))}
+    rows = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id int, text string"), path).collect()
+    check(rows, texts, library)
