@@ -94,7 +94,7 @@ def measures(docs: DataFrame, key: str, text: str) -> DataFrame:
         share(F.size(F.filter("words", lambda w: w.rlike(PLAIN)))).alias("n_plain"),
         share(F.size(F.filter("words", lambda w, i: w == F.get("words", i - 1)))).alias("n_runs"),
         share(F.size(F.filter("words", lambda w: F.lower(w).isin(*COMMON)))).alias("n_common"),
-        share(F.size(F.filter("words", lambda w: w.rlike(OTHER_LETTERS)))).alias("n_other"),
+        share(F.size(F.filter("words", lambda w: (F.octet_length(w) > F.length(w)) & w.rlike(OTHER_LETTERS)))).alias("n_other"),
     )
 
 
