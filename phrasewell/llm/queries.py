@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phrasewell.llm import language, licenses, near_vectors, packing, quality, secrets, sentencepieces, simhash, token_counts, warc
+from phrasewell.llm import language, licenses, near_vectors, packing, quality, secrets, sentencepieces, simhash, sum_squares, token_counts, warc
 from phrasewell.llm.common import stored, table
 
 
@@ -75,6 +75,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.records(files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_sum_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    found = sum_squares.pack(table(spark, sf_dir, "documents"), tokenizer, with_ids=False)
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "doc_tokens")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_licenses": op2_licenses,
@@ -86,4 +92,5 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
+    "op11_sum_squares": op11_sum_squares,
 }
