@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phrasewell.llm import language, licenses, near_vectors, packing, quality, secrets, sentencepieces, simhash, sum_squares, token_counts, warc
+from phrasewell.llm import language, licenses, near_vectors, packing, periodic_runs, quality, secrets, sentencepieces, simhash, sum_squares, token_counts, warc
 from phrasewell.llm.common import stored, table
 
 
@@ -81,6 +81,19 @@ def op11_sum_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "doc_tokens")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.with_planted_runs(table(spark, sf_dir, "documents")))
+    # The longest run, of these the first by start, then period.
+    first = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.withColumn("_first", first).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("_first.s")).alias("start"), F.col("_first.l").alias("length"), (-F.col("_first.p")).alias("period"),
+        F.expr("(1000 * _first.l) div (-_first.p)").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_licenses": op2_licenses,
@@ -93,4 +106,5 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
     "op11_sum_squares": op11_sum_squares,
+    "op13_periodic_runs": op13_periodic_runs,
 }
