@@ -103,59 +103,62 @@ def find_runs(texts: list[np.ndarray], least: int = 12) -> list[np.ndarray]:
         return line, starts
 
     line, starts = joined(chosen)
-    hopes: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+    words = np.array([len(texts[k]) for k in chosen])
+    hopes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     held: list[tuple[int, np.ndarray, np.ndarray]] = []
+    count = 0
 
     def sift() -> None:
         """Keep the pairs of ``held`` that can lie in a run."""
-        sizes = [len(i) for _, i, _ in held]
-        owner = np.repeat([c for c, _, _ in held], sizes)
+        owner = np.repeat([c for c, _, _ in held], [len(i) for _, i, _ in held])
         i, j = (np.concatenate([h[x] for h in held]).astype(np.int64) for x in (1, 2))
-        words = np.array([len(texts[k]) for k in chosen])
-        good = _hopeful(line, i + starts[owner], j + starts[owner], words[owner])
-        for c in np.unique(owner[good]).tolist():
-            own = good & (owner == c)
-            hopes[c].append((i[own], j[own]))
+        good = np.flatnonzero(_hopeful(line, i + starts[owner], j + starts[owner], words[owner]))
+        hopes.append((owner[good], i[good], j[good]))
         held.clear()
 
     for c, k in enumerate(chosen):
         for i, j in _agreeing(texts[k]):
-            if len(i):
-                held.append((c, i, j))
-        if sum(len(i) for _, i, _ in held) >= PAIRS:
+            held.append((c, i, j))
+            count += len(i)
+        if count >= PAIRS:
             sift()
+            count = 0
     if held:
         sift()
-    if not hopes:
+    owner, i, j = map(np.concatenate, zip(*hopes))
+    if not len(owner):
         return found
 
-    owners = sorted(hopes)
-    some = [chosen[c] for c in owners]
-    line, starts = joined(some)
-    grammar = Grammar(line, least=2 * len(line) // max(1, int(np.mean([len(texts[k]) for k in some]))))
-    for c, k, at in zip(owners, some, starts.tolist()):
-        i, j = (np.concatenate(x) for x in zip(*hopes.pop(c)))
-        made = np.zeros((0, 3), np.int64)
-        for turn in range(0, len(i), PAIRS):
-            a, b = i[turn : turn + PAIRS] + at, j[turn : turn + PAIRS] + at
-            period = b - a
-            before = grammar.extensions(a, b, forward=False)
-            length = before + grammar.extensions(a, b) + period
-            long = length >= np.maximum(least, 2 * period)
-            made = _least_periods(np.concatenate([made, np.stack([a - before - at, length, period], axis=1)[long]]))
-        found[k] = made
+    some = np.unique(owner).tolist()
+    line, starts = joined([chosen[c] for c in some])
+    owner = np.searchsorted(some, owner)
+    grammar = Grammar(line, least=4 * len(some))
+    made = np.zeros((0, 4), np.int64)
+    for turn in range(0, len(owner), PAIRS):
+        part = slice(turn, turn + PAIRS)
+        at = starts[owner[part]]
+        a, period = i[part] + at, j[part] - i[part]
+        before = grammar.extensions(a, a + period, forward=False)
+        length = before + grammar.extensions(a, a + period) + period
+        long = length >= np.maximum(least, 2 * period)
+        runs = np.stack([owner[part], a - before - at, length, period], axis=1)[long]
+        made = _least_periods(np.concatenate([made, runs]))
+    ends = np.searchsorted(made[:, 0], np.arange(len(some) + 1))
+    for c, own in enumerate(some):
+        found[chosen[own]] = made[ends[c] : ends[c + 1], 1:]
     return found
 
 
 def _least_periods(runs: np.ndarray) -> np.ndarray:
-    """One row per stretch with its least period. A multiple of it gives the same stretch, and nothing else does."""
-    if not len(runs):
-        return runs
-    runs = runs[np.lexsort((runs[:, 2], runs[:, 1], runs[:, 0]))]
+    """Rows (text, start, length, period), in this order but for the length, each stretch with its least period.
+
+    A multiple of the least period gives the same stretch, and nothing else does.
+    """
+    runs = runs[np.lexsort((runs[:, 3], runs[:, 2], runs[:, 1], runs[:, 0]))]
     new = np.ones(len(runs), bool)
-    new[1:] = (runs[1:, :2] != runs[:-1, :2]).any(axis=1)
+    new[1:] = (runs[1:, :3] != runs[:-1, :3]).any(axis=1)
     runs = runs[new]
-    return runs[np.lexsort((runs[:, 2], runs[:, 0]))]
+    return runs[np.lexsort((runs[:, 3], runs[:, 1], runs[:, 0]))]
 
 
 def _kept(n: int, runs: np.ndarray) -> np.ndarray:

@@ -28,9 +28,13 @@ class Level:
     up: np.ndarray  # boundaries to those of the next level, where they are kept
     down: np.ndarray  # boundaries to those of the level below
     blocks: bool  # whether the next level joins blocks
+    padded: np.ndarray | None = None
     low: np.ndarray | None = None  # first boundary of the block that a letter lies in
     high: np.ndarray | None = None  # last boundary of it
 
+    def __post_init__(self) -> None:
+        self.padded = np.append(self.letters, [-1, -2])
+
 
 def _named(keys: np.ndarray) -> np.ndarray:
     return np.unique(keys, return_inverse=True)[1].astype(np.int64)
@@ -88,7 +92,6 @@ class Grammar:
     def extensions(self, a: np.ndarray, b: np.ndarray, forward: bool = True) -> np.ndarray:
         """How many letters from boundaries ``a`` and ``b`` on agree, or with ``forward=False`` before them."""
         step = 1 if forward else -1
-        # Letters beyond the ends never agree, as they are different there.
         a, b = a.astype(np.int64), b.astype(np.int64)
         first, here = a.copy(), np.arange(len(a))
         stopped: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -111,12 +114,12 @@ class Grammar:
             a, b = level.up[a], level.up[b]
         on, x, y = (np.zeros(0, np.int64),) * 3
         for level, (more, at, to) in zip(reversed(self.levels), reversed(stopped)):
-            while len(on):
-                same = self._same(level, x, y, step)
-                if not same.any():
-                    break
-                jump = np.where(same, self._jump(level, x, y, step), 0)
-                x, y = x + step * jump, y + step * jump
+            same = np.flatnonzero(self._same(level, x, y, step))
+            while len(same):
+                jump = step * self._jump(level, x[same], y[same], step)
+                x[same] += jump
+                y[same] += jump
+                same = same[self._same(level, x[same], y[same], step)]
             on, x, y = np.concatenate([on, more]), np.concatenate([x, at]), np.concatenate([y, to])
             if level is not self.levels[0]:
                 x, y = level.down[x], level.down[y]
@@ -126,17 +129,16 @@ class Grammar:
 
     @staticmethod
     def _same(level: Level, x: np.ndarray, y: np.ndarray, step: int) -> np.ndarray:
-        n = len(level.letters)
-        p, q = (x, y) if step > 0 else (x - 1, y - 1)
-        inside = (p >= 0) & (q >= 0) & (p < n) & (q < n)
-        return inside & (level.letters[np.clip(p, 0, n - 1)] == level.letters[np.clip(q, 0, n - 1)])
+        # Two more letters, which are different, stand for what lies beyond the ends: at n and at -1.
+        if step < 0:
+            x, y = x - 1, y - 1
+        return (level.padded[x] == level.padded[y]) & (x < len(level.letters)) & (x >= 0)
 
     @staticmethod
     def _jump(level: Level, x: np.ndarray, y: np.ndarray, step: int) -> np.ndarray | int:
         """Letters that agree at once where the next ones do: one, or the rest of the shorter of two blocks."""
         if not level.blocks:
             return 1
-        n = len(level.letters)
         if step > 0:
-            return np.minimum(level.high[np.clip(x, 0, n - 1)] - x, level.high[np.clip(y, 0, n - 1)] - y)
-        return np.minimum(x - level.low[np.clip(x - 1, 0, n - 1)], y - level.low[np.clip(y - 1, 0, n - 1)])
+            return np.minimum(level.high[x] - x, level.high[y] - y)
+        return np.minimum(x - level.low[x - 1], y - level.low[y - 1])
