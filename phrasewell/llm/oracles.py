@@ -51,5 +51,26 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
 FROM hashed JOIN spelled USING (h)
+""",
+    "op12_lexical_search": r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
+words AS (SELECT row, doc_id, unnest(regexp_extract_all(body, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+tf AS (SELECT row, doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+length AS (SELECT row, sum(tf)::BIGINT AS n FROM tf GROUP BY row),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM length),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+asked AS (
+    SELECT item_id, term, count(*) AS times
+    FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+    GROUP BY ALL
+),
+weighed AS (SELECT item_id, term, times, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM asked JOIN df USING (term), total),
+scored AS (
+    SELECT item_id, row, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+    FROM weighed JOIN tf USING (term) JOIN length USING (row), total
+    GROUP BY item_id, row, doc_id
+),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """,
 }

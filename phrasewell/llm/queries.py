@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phrasewell.llm import language, licenses, near_vectors, packing, periodic_runs, quality, secrets, sentencepieces, simhash, sum_squares, token_counts, warc
+from phrasewell.llm import bloom_slices, language, licenses, near_vectors, packing, periodic_runs, quality, secrets, sentencepieces, simhash, sum_squares, token_counts, warc
 from phrasewell.llm.common import stored, table
 
 
@@ -81,6 +81,10 @@ def op11_sum_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "doc_tokens")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_slices.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs.periodic_runs(periodic_runs.with_planted_runs(table(spark, sf_dir, "documents")))
     # The longest run, of these the first by start, then period.
@@ -106,5 +110,6 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
     "op11_sum_squares": op11_sum_squares,
+    "op12_lexical_search": op12_lexical_search,
     "op13_periodic_runs": op13_periodic_runs,
 }
