@@ -37,6 +37,74 @@ def test_a_resumed_stage_computes_missing_rows_only(spark, path):
     assert stages.resume_stage(spark.range(2), path, "id", compute).count() == 2
 
 
+def test_a_second_run_reads_keys_and_shuffles_no_stored_row(spark, path):
+    source = spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"), "id")
+    seen = []
+
+    def compute(todo):
+        seen.append(todo)
+        return todo.withColumn("vector", F.array_repeat(F.col("id").cast("double"), 50))
+
+    stages.resume_stage(source.where("id < 4000"), path, "k", compute)
+    whole = stages.resume_stage(source, path, "k", compute)
+    assert whole.count() == 5000 and spark.read.parquet(path).count() == 5000
+    again = stages.resume_stage(source, path, "k", compute)
+
+    def lines(df):
+        return df._jdf.queryExecution().executedPlan().toString().splitlines()
+
+    missing = lines(seen[2])
+    # Only the source is shuffled; of the stage the keys alone are read.
+    scans = [line for line in missing if "FileScan" in line and "Bucketed: true" in line]
+    assert len(scans) == 1 and "ReadSchema: struct<k:string>" in scans[0]
+    assert sum("Exchange" in line for line in missing) == 1
+    returned = lines(again)
+    at = next(i for i, line in enumerate(returned) if "FileScan" in line and "Bucketed: true" in line)
+    exchanges = [i for i, line in enumerate(returned) if "Exchange" in line]
+    assert len(exchanges) == 1 and exchanges[0] > at  # that of the source's keys, on the other side
+    assert not any("Sort" in line for line in returned)
+
+
+def test_a_stage_of_no_rows(spark, path):
+    for _ in range(2):
+        got = stages.resume_stage(spark.range(0), path, "id", lambda todo: todo.withColumn("x", F.lit("a")))
+        assert got.columns == ["id", "x"] and got.count() == 0
+    assert stages.resume_stage(spark.range(2), path, "id", lambda todo: todo.withColumn("x", F.lit("a"))).count() == 2
+
+
+def test_stages_of_other_layouts(spark, path):
+    spark.range(3).withColumn("x", F.col("id")).write.parquet(path + "/plain")
+    got = stages.resume_stage(spark.range(5), path + "/plain", "id", lambda todo: todo.withColumn("x", -F.col("id")))
+    assert sorted((r.id, r.x) for r in got.collect()) == [(0, 0), (1, 1), (2, 2), (3, -3), (4, -4)]
+    stages.resume_stage(spark.range(3), path + "/keyed", "id", lambda todo: todo.withColumn("x", F.col("id")), buckets=3)
+    with pytest.raises(ValueError):
+        stages.resume_stage(spark.range(3).withColumn("y", F.col("id")), path + "/keyed", "y", lambda todo: todo)
+    # A session that does not know the table yet, and one whose table has been taken away.
+    for table in spark.catalog.listTables():
+        if table.name.startswith("stage_"):
+            spark.sql(f"DROP TABLE {table.name}")
+    got = stages.resume_stage(spark.range(5), path + "/keyed", "id", lambda todo: todo.withColumn("x", F.col("id")), buckets=7)
+    assert got.count() == 5 and spark.read.parquet(path + "/keyed").count() == 5
+    assert stages.stage_layout(spark, path + "/keyed", "id", 99).buckets == 3
+
+
+def test_failed_rows_are_kept_with_their_reason_and_tried_again(spark, path):
+    def compute(todo):
+        return todo.withColumns({"x": F.col("id"), "why": F.when(F.col("id") == 7, "odd")})
+
+    got = stages.resume_stage(spark.range(10), path, "id", compute, error="why")
+    assert got.columns == ["id", "x"] and sorted(r.id for r in got.collect()) == [0, 1, 2, 3, 4, 5, 6, 8, 9]
+    assert [tuple(r) for r in stages.failures(spark, path, "id", "why").collect()] == [(7, "odd")]
+    asked = []
+
+    def mended(todo):
+        asked.extend(r.id for r in todo.collect())
+        return todo.withColumns({"x": F.col("id"), "why": F.lit(None).cast("string")})
+
+    assert stages.resume_stage(spark.range(10), path, "id", mended, error="why").count() == 10
+    assert asked == [7] and stages.failures(spark, path, "id", "why").count() == 0
+
+
 def test_a_broken_run_keeps_its_finished_slices(spark, path):
     calls = []
 
