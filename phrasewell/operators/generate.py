@@ -32,7 +32,8 @@ class Call:
     """One model call per row: input columns, new column, its type, and what makes the model.
 
     With ``nested`` the inputs are arrays of equal lengths; the model is given their elements and
-    the new column is an array of ``kind``.
+    the new column is an array of ``kind``. ``error`` names a column for the reason why a row has
+    failed: such a row has no value and does not end the job.
     """
 
     inputs: tuple[str, ...]
@@ -40,6 +41,8 @@ class Call:
     kind: T.DataType
     factory: Callable[[], Callable]
     nested: bool = False
+    error: str | None = None
+    retries: int = 0
 
     @property
     def column_type(self) -> T.DataType:
@@ -47,31 +50,79 @@ class Call:
 
 
 def _attach(df: DataFrame, *calls: Call) -> DataFrame:
-    """Add the column of each call, all in one pass over the Arrow batches."""
-    schema = T.StructType([*df.schema.fields, *[T.StructField(c.out, c.column_type) for c in calls]])
+    """Add the column of each call, all in one pass over the Arrow batches.
+
+    The column of reasons is added where a call names one; rows that have a reason already are not
+    asked for.
+    """
+    reasons = [c.error for c in calls if c.error and c.error not in df.columns]
+    named = [(c.out, c.column_type) for c in calls] + [(e, T.StringType()) for e in dict.fromkeys(reasons)]
+    schema = T.StructType([*df.schema.fields, *[T.StructField(name, kind) for name, kind in named]])
+    order = [f.name for f in schema.fields]
     # Plain tuples, so that tasks need nothing of this package.
-    plans = [(c.inputs, c.out, to_arrow_type(c.kind), c.factory, c.nested) for c in calls]
+    plans = [(c.inputs, c.out, to_arrow_type(c.kind), c.factory, c.nested, c.error, c.retries) for c in calls]
+
+    def asked(model: Callable, given: list[list], retries: int) -> tuple[list, list[str | None]]:
+        """Values and reasons of failure of all rows of ``given``, one list per input.
+
+        A batch that fails is asked for in halves until the rows that make it fail stand alone; these
+        are asked for ``retries`` times more.
+        """
+        n = len(given[0])
+        if not n:
+            return [], []
+        for _ in range(1 if n > 1 else retries + 1):
+            try:
+                made = list(model(*given))
+                if len(made) != n:
+                    raise ValueError(f"{len(made)} answers to {n} prompts")
+                return made, [None] * n
+            except Exception as failed:  # whatever a model may raise is the row's failure, and is stored
+                reason = f"{type(failed).__name__}: {failed}"
+        if n == 1:
+            return [None], [reason]
+        halves = [asked(model, [x[part] for x in given], retries) for part in (slice(0, n // 2), slice(n // 2, n))]
+        return halves[0][0] + halves[1][0], halves[0][1] + halves[1][1]
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        models = [factory() for _, _, _, factory, _ in plans]
+        models = [plan[3]() for plan in plans]
+
+        def guarded(model: Callable, lists: list[list], lengths: Any, told: list, retries: int) -> list:
+            """Values of the elements of rows without a reason; ``told`` gets the reasons."""
+            row = np.repeat(np.arange(len(told)), lengths)
+            ask = [i for i, r in enumerate(row.tolist()) if told[r] is None]
+            made, why = asked(model, [[x[i] for i in ask] for x in lists], retries)
+            values: list = [None] * len(row)
+            for i, value, reason in zip(ask, made, why):
+                values[i] = value
+                if reason is not None and told[row[i]] is None:
+                    told[row[i]] = reason
+            return [None if told[r] is not None else value for r, value in zip(row.tolist(), values)]
+
         for batch in batches:
-            columns, names = list(batch.columns), list(batch.schema.names)
-            for model, (inputs, out, kind, _, nested) in zip(models, plans):
-                given = [batch.column(name) for name in inputs]
+            columns = dict(zip(batch.schema.names, batch.columns))
+            for model, (inputs, out, kind, _, nested, error, retries) in zip(models, plans):
+                given = [columns[name] for name in inputs]
+                lengths = np.ones(len(batch), int)
                 if nested:
                     lengths = pc.fill_null(pc.list_value_length(given[0]), 0).to_numpy(zero_copy_only=False)
                     given = [lists.flatten() for lists in given]
-                made = pa.array(model(*[values.to_pylist() for values in given]), type=kind)
+                lists = [values.to_pylist() for values in given]
+                if error:
+                    told = columns[error].to_pylist() if error in columns else [None] * len(batch)
+                    made = pa.array(guarded(model, lists, lengths, told, retries), type=kind)
+                    columns[error] = pa.array(told, pa.string())
+                else:
+                    made = pa.array(model(*lists), type=kind)
                 if nested:
                     ends = np.concatenate([[0], np.cumsum(lengths)]).astype("int32")
                     made = pa.ListArray.from_arrays(pa.array(ends), made)
-                columns.append(made)
-                names.append(out)
-            yield pa.RecordBatch.from_arrays(columns, names)
+                columns[out] = made
+            yield pa.RecordBatch.from_arrays([columns[name] for name in order], order)
 
     return df.mapInArrow(run, schema)
 
@@ -84,17 +135,21 @@ def batch_generate(
     sample: str | None = None,
     concurrency: int | None = None,
     raw_body: bool = False,
+    error: str | None = None,
+    retries: int = 0,
 ) -> DataFrame:
     """Add the generated text of each prompt.
 
     The generator is given prompts and sample numbers, so that a seeded model answers a retried
     task in the same way. ``concurrency`` caps the number of calls under way; ``raw_body`` says
-    that the generator returns bodies that still have to be parsed.
+    that the generator returns bodies that still have to be parsed. Without ``error`` a call that
+    fails ends the job; with it a row that fails has no text, the reason is in the column of that
+    name, and the other rows of its batch keep theirs. Such a row is tried ``retries`` times more.
     """
     asked = df if sample else df.withColumn("_sample", F.lit(0))
     if concurrency:
         asked = asked.repartition(concurrency)
-    made = _attach(asked, Call((prompt, sample or "_sample"), out, T.StringType(), generator))
+    made = _attach(asked, Call((prompt, sample or "_sample"), out, T.StringType(), generator, error=error, retries=retries))
     if raw_body:
         made = made.withColumn(out, response_text(F.col(out)))
     return made if sample else made.drop("_sample")
@@ -151,10 +206,13 @@ def answer_lists(
     style: str = TAGGED,
     raw_body: bool = False,
     out: str = "texts",
+    error: str | None = None,
+    retries: int = 0,
 ) -> DataFrame:
     """Like ``answer_candidates`` with the ``k`` answers in one array per query.
 
     The candidates of a query never leave its row, so nothing has to be gathered by a shuffle.
+    ``error`` and ``retries`` are those of ``batch_generate``; a query fails if one of its candidates does.
     """
     asked, context_column = F.col(query), F.col(context)
     numbers = F.sequence(F.lit(0), F.lit(k - 1)) if k > 0 else F.array().cast("array<int>")
@@ -164,11 +222,11 @@ def answer_lists(
     for turn in range(rounds + 1):
         prompts = F.transform(out, lambda last: refine_prompt(asked, context_column, last, style))
         shown = df.withColumn("_prompts", prompts if turn else F.col(out)).drop(out)
-        df = _attach(shown, Call(("_prompts", "_samples"), out, T.StringType(), generator, nested=True))
+        df = _attach(shown, Call(("_prompts", "_samples"), out, T.StringType(), generator, True, error, retries))
         if raw_body:
             df = df.withColumn(out, F.transform(out, lambda body: response_text(body)))
         df = df.drop("_prompts")
-    return df.select(*columns, out)
+    return df.select(*columns, out, *[error] if error else [])
 
 
 def critique_select(
@@ -179,11 +237,13 @@ def critique_select(
     style: str = TAGGED,
     concurrency: int | None = None,
     raw_body: bool = False,
+    error: str | None = None,
+    retries: int = 0,
 ) -> DataFrame:
     """Add the reply ``critique`` and ``critique_idx``, its place among the candidates or NULL."""
     asked = df.withColumn("_prompt", critique_prompt(F.col(query), F.col(candidates), style))
     made = batch_generate(
-        asked, "_prompt", "critique", generator, concurrency=concurrency, raw_body=raw_body
+        asked, "_prompt", "critique", generator, None, concurrency, raw_body, error, retries
     ).withColumn("critique", F.trim("critique"))
     place = F.array_position(F.transform(candidates, F.trim), F.col("critique"))
     return made.drop("_prompt").withColumn(
@@ -209,11 +269,11 @@ def judge_verdict(
     out: str = "eval_llm",
     concurrency: int | None = None,
     raw_body: bool = False,
+    error: str | None = None,
+    retries: int = 0,
 ) -> DataFrame:
     """Add the verdict on each prompt and whether it could be read."""
-    made = batch_generate(
-        df, prompt, "_reply", generator, concurrency=concurrency, raw_body=raw_body
-    )
+    made = batch_generate(df, prompt, "_reply", generator, None, concurrency, raw_body, error, retries)
     return made.withColumns(
         {out: verdict(F.col("_reply")), "verdict_valid": verdict_valid(F.col("_reply"))}
     ).drop("_reply")

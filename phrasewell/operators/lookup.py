@@ -75,3 +75,22 @@ def lookup(
     if fits(table, broadcast_bytes):
         return rows.join(F.broadcast(table), key, how)
     return salted_join(rows, table, key, how)
+
+
+def join_in_place(rows: DataFrame, table: DataFrame, key: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Inner join with a table that holds each key once and lies in buckets of it, which stays where it lies.
+
+    Rows of rare keys are sent to the buckets. A popular key's rows stay where they are, and its row of
+    the table is sent to them: there are fewer popular keys than partitions, and should their rows not
+    fit, these are joined with salts.
+    """
+    popular = popular_keys(rows, key, bucket_count(rows)).collect()  # fewer than there are partitions
+    popular = [r["_popular"] for r in popular if r["_popular"] is not None]
+    if not popular:
+        return rows.join(table, key)
+    spark = rows.sparkSession
+    names = F.broadcast(spark.createDataFrame([(k,) for k in popular], f"_popular {rows.schema[key].dataType.simpleString()}"))
+    at = F.col(key) == F.col("_popular")
+    rare = rows.join(names, at, "left_anti").join(table, key)
+    hot, own = rows.join(names, at, "left_semi"), table.join(names, at, "left_semi")
+    return rare.unionByName(hot.join(F.broadcast(own), key) if fits(own, broadcast_bytes) else salted_join(hot, own, key, "inner"))

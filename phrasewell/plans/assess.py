@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from phrasewell.functions import fixed_values as fixed
 from phrasewell.functions.vectors import doubles
@@ -18,12 +19,13 @@ from phrasewell.operators.generate import (
     critique_select,
     encode_texts,
 )
+from phrasewell.operators.lookup import join_in_place
 from phrasewell.operators.prompts import TAGGED
 from phrasewell.operators.rows import score_filter
-from phrasewell.sources.stages import content_key, read_stage, resume_stage
+from phrasewell.sources.stages import content_key, failures, read_stage, resume_stage
 from phrasewell.sources.tables import write_results
 from phrasewell.session import new_path
-from phrasewell.streaming.incremental import append_batches
+from phrasewell.streaming.incremental import append_batches, with_first_batch
 
 # The columns of a result record.
 RESULT_COLUMNS = (
@@ -36,6 +38,18 @@ RESULT_COLUMNS = (
 )
 
 
+INPUT = ("question", "sparql_wikidata", "sparql_wikidata_translated", "descriptions")
+
+
+def query_id(
+    run_id: str = "", models: str = "", k: int = 2, rounds: int = 1, mode: str = "uninstantiated", style: str = TAGGED, raw_body: bool = False, **_: Any
+) -> Column:
+    """What an answer depends on, as the key of a row."""
+    told = [F.lit(str(x)) for x in (run_id, models, k, rounds, mode, style, raw_body)]
+    content = [F.col(c) for c in ("sparql_wikidata", "question", "sparql_wikidata_translated")]
+    return content_key(*told, *content, F.to_json("descriptions"))
+
+
 def assess(
     rows: DataFrame,
     stage: str,
@@ -52,20 +66,24 @@ def assess(
     raw_body: bool = False,
     slices: int = 1,
     models: str = "",
+    retries: int | None = None,
 ) -> DataFrame:
     """Assessed rows: ``RESULT_COLUMNS`` and the vectors behind them, one row per input row.
 
-    The input has question, sparql_wikidata, sparql_wikidata_translated and descriptions. Answers
-    and critiques are stored under ``stage`` before they are used, by what they depend on: the run,
+    The input has question, sparql_wikidata, sparql_wikidata_translated and descriptions. Answers,
+    critiques and scores are stored under ``stage`` before they are used, by what they depend on: the run,
     the parameters, ``models`` (the name the caller gives to them) and all of the input. A second run
     asks for missing ones only, equal rows are asked for once, and rows of other inputs or other
     parameters that lie under ``stage`` are not returned. The ``k`` candidates of a query stay in its row from the
-    first prompt to the last score, so no vector is ever shuffled. ``concurrency`` is the number of
+    first prompt to the last score, and stages lie in buckets of their key, so no vector is ever shuffled. ``concurrency`` is the number of
     tasks that call the models at a time; ``slices`` is that of ``resume_stage``.
+
+    With ``retries`` a query whose calls fail is tried that many times more and then left out of the
+    result; ``failed`` tells the reasons, and the next run asks again. Without it such a call ends the job.
     """
-    told = [F.lit(str(x)) for x in (run_id, models, k, rounds, mode, style, raw_body)]
-    content = [F.col(c) for c in ("sparql_wikidata", "question", "sparql_wikidata_translated")]
-    keyed = rows.withColumn("query_id", content_key(*told, *content, F.to_json("descriptions")))
+    error = None if retries is None else ERROR
+    tries = retries or 0
+    keyed = rows.withColumn("query_id", query_id(run_id, models, k, rounds, mode, style, raw_body))
     queries = keyed.select(
         "query_id",
         F.col("sparql_wikidata").alias("original_query"),
@@ -80,7 +98,7 @@ def assess(
         return todo.repartition(concurrency, "query_id") if concurrency else todo
 
     def answered(todo: DataFrame) -> DataFrame:
-        made = answer_lists(spread(todo), k, generator, rounds=rounds, style=style, raw_body=raw_body)
+        made = answer_lists(spread(todo), k, generator, rounds=rounds, style=style, raw_body=raw_body, error=error, retries=tries)
         encoded = encode_texts(
             made,
             ("texts", "_text_vectors", text_encoder),
@@ -103,29 +121,43 @@ def assess(
 
     def criticised(todo: DataFrame) -> DataFrame:
         asked = spread(todo).withColumn("_texts", F.transform("candidates", lambda c: c["text"]))
-        chosen = critique_select(asked, critic, candidates="_texts", style=style, raw_body=raw_body)
+        chosen = critique_select(asked, critic, candidates="_texts", style=style, raw_body=raw_body, error=error, retries=tries)
         return encode_texts(
             chosen.drop("_texts"),
             ("critique", "critique_text_vector", text_encoder),
             ("critique", "critique_query_space", query_encoder),
         )
 
-    answers = resume_stage(queries, f"{stage}/answers", "query_id", answered, slices=slices)
-    critiques = resume_stage(answers, f"{stage}/critiques", "query_id", criticised, slices=slices)
-    as_doubles = critiques.withColumns(
-        {
-            **{c: doubles(F.col(c)) for c in ("query_vector", "truth_vector", "critique_text_vector", "critique_query_space")},
-            "candidates": F.transform(
-                "candidates",
-                lambda c: F.struct(
-                    c["cand_idx"].alias("cand_idx"), c["text"].alias("text"),
-                    doubles(c["text_vector"]).alias("text_vector"),
-                    doubles(c["query_space"]).alias("query_space"),
-                ),
+    def as_doubles(stored: DataFrame) -> DataFrame:
+        candidates = F.transform(
+            "candidates",
+            lambda c: F.struct(
+                c["cand_idx"].alias("cand_idx"), c["text"].alias("text"),
+                doubles(c["text_vector"]).alias("text_vector"), doubles(c["query_space"]).alias("query_space"),
             ),
-        }
-    )
-    return keyed.select("query_id").join(assess_scores(as_doubles), "query_id")
+        )
+        vectors = ("query_vector", "truth_vector", "critique_text_vector", "critique_query_space")
+        return stored.withColumns({**{c: doubles(F.col(c)) for c in vectors}, "candidates": candidates})
+
+    def scored(todo: DataFrame) -> DataFrame:
+        made = assess_scores(as_doubles(todo))
+        return made.select("query_id", *[c for c in made.columns if c not in todo.columns])
+
+    answers = resume_stage(queries, f"{stage}/answers", "query_id", answered, slices, error)
+    critiques = resume_stage(answers, f"{stage}/critiques", "query_id", criticised, slices, error)
+    scores = resume_stage(critiques, f"{stage}/scores", "query_id", scored, slices)
+    known = as_doubles(critiques).join(scores, "query_id")
+    return join_in_place(keyed.select("query_id"), known, "query_id")
+
+
+ERROR = "error"
+
+
+def failed(spark: SparkSession, stage: str) -> DataFrame:
+    """Rows (step, query_id, error) of the queries of a stage that have no answer or no critique yet."""
+    steps = [step for step in ("answers", "critiques") if read_stage(spark, f"{stage}/{step}") is not None]
+    told = [failures(spark, f"{stage}/{step}", "query_id", ERROR).select(F.lit(step).alias("step"), "query_id", ERROR) for step in steps]
+    return reduce(DataFrame.unionByName, told)
 
 
 # Names of the strategies, and the columns of their winners and scores.
@@ -155,21 +187,37 @@ def results(assessed: DataFrame) -> DataFrame:
 
 
 def assess_stream(
-    stream: DataFrame, out: str, stage: str, checkpoint: str, *models: Callable, **options: Any
+    stream: DataFrame, out: str, stage: str, checkpoint: str, *models: Callable, expiry_ms: int | None = None, **options: Any
 ) -> DataFrame:
     """Assess rows as they arrive; the result table grows batch by batch.
 
     ``models`` and ``options`` are those of ``assess``. Each batch has folders of its own for its
     answers and its results: one that is handed over again after a failure goes on with its stored
-    answers and replaces its results, and no batch reads what earlier ones wrote.
+    answers and replaces its results. The stream's state tells in which batch a query came first; one that comes again
+    gets the result of that batch, of which no other rows are read, and is not asked for again. It is
+    asked for again if it failed there, or if it has not come for ``expiry_ms``.
     """
+    spark = stream.sparkSession
+    keyed = stream.select(*INPUT, query_id(**options).alias("query_id"))
 
     def handle(batch: DataFrame, number: int) -> None:
-        flat = results(assess(batch, f"{stage}/batch={number}", *models, **options))
-        write_results(flat, f"{out}/batch={number}")
-
-    append_batches(stream, handle, checkpoint)
-    spark = stream.sparkSession
+        here = f"{stage}/batch={number}"
+        batch.write.mode("overwrite").parquet(f"{here}/rows")  # the state is asked once
+        rows = batch.sparkSession.read.schema(batch.schema).parquet(f"{here}/rows")
+        known = rows.where(F.col("first_batch") < number).select("query_id", "first_batch")
+        earlier = [r[0] for r in known.select("first_batch").distinct().collect()]  # fewer than there were batches
+        new = rows.where(F.col("first_batch") == number)
+        parts = []
+        if earlier:
+            stored = rows.sparkSession.read.option("basePath", out).parquet(*[f"{out}/batch={n}" for n in earlier])
+            own = stored.join(known.distinct(), (F.col("batch") == F.col("first_batch")) & (stored["query_id"] == known["query_id"]), "left_semi")
+            told = own.dropDuplicates(["query_id"]).select(*RESULT_COLUMNS)
+            parts = [join_in_place(known.select("query_id"), told, "query_id").select(*RESULT_COLUMNS)]
+            new = new.unionByName(rows.where(F.col("first_batch") < number).join(told.select("query_id"), "query_id", "left_anti").select(*rows.columns))
+        parts.append(results(assess(new.select(*INPUT), here, *models, **options)))
+        write_results(reduce(DataFrame.unionByName, parts), f"{out}/batch={number}")
+
+    append_batches(with_first_batch(keyed, "query_id", expiry_ms=expiry_ms), handle, checkpoint)
     if read_stage(spark, out) is None:  # nothing has arrived yet
         empty = spark.createDataFrame([], stream.schema)
         return results(assess(empty, new_path(spark, "nothing"), *models, **options))

@@ -102,3 +102,64 @@ def test_compare_template_both_ways(spark):
     assert default == [f"q{i}" for i in range(30, 0, -1)]
     last = [r.block.split("\n")[1] for r in M.compare_template(df, "q", "a", size=3, last_n=True).collect()]
     assert last == ["q49", "q48", "q47"]
+
+
+def picky():
+    """Answers prompts with their length; those that hold an x make the whole call fail."""
+
+    def make():
+        def answer(prompts, samples):
+            if any("x" in p for p in prompts):
+                raise ConnectionError("no answer")
+            return [str(len(p)) for p in prompts]
+
+        return answer
+
+    return make
+
+
+def test_one_bad_prompt_of_many_is_a_failed_row(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") == 437, "x").otherwise(F.repeat(F.lit("a"), F.col("id").cast("int") % 7)).alias("p"))
+    got = G.batch_generate(df, "p", "out", picky(), error="why", retries=2).collect()
+    assert [(r.id, r.out, r.why) for r in got if r.why] == [(437, None, "ConnectionError: no answer")]
+    assert all(r.out == str(r.id % 7) for r in got if r.id != 437) and len(got) == 1000
+
+
+def test_rows_that_failed_once_are_tried_again(spark):
+    def moody():
+        seen = {}
+
+        def answer(prompts, samples):
+            for p in prompts:
+                seen[p] = seen.get(p, 0) + 1
+            if len(prompts) > 1 or seen[prompts[0]] < 4:
+                raise TimeoutError("late")
+            return ["ok"]
+
+        return answer
+
+    df = spark.createDataFrame([("a",), ("b",)], "p string").coalesce(1)
+    assert [(r.out, r.why) for r in G.batch_generate(df, "p", "out", moody, error="why", retries=3).collect()] == [("ok", None)] * 2
+    assert [(r.out, r.why) for r in G.batch_generate(df, "p", "out", moody, error="why", retries=1).collect()] == [(None, "TimeoutError: late")] * 2
+
+
+def test_a_query_fails_with_one_of_its_candidates(spark):
+    df = spark.createDataFrame([("good", ["d"]), ("xbad", ["d"]), ("fine", [])], "query string, descriptions array<string>")
+    # The fixed text of prompts holds the letter too.
+    def strict():
+        def answer(prompts, samples):
+            if any("xbad" in p and n == 1 for p, n in zip(prompts, samples)):
+                raise ValueError("bad")
+            return ["t" for _ in prompts]
+
+        return answer
+
+    got = {r.query: (r.texts, r.error) for r in G.answer_lists(df, 3, strict, rounds=2, error="error").collect()}
+    assert got["good"] == got["fine"] == (["t"] * 3, None)
+    assert got["xbad"] == ([None] * 3, "ValueError: bad")
+
+
+def test_answers_that_are_too_few_are_failures(spark):
+    short = lambda: lambda prompts, samples: ["one"][: len(prompts) - 1]
+    got = G.batch_generate(spark.createDataFrame([("a",), ("b",)], "p string"), "p", "out", short, error="why").collect()
+    assert {r.why for r in got} == {"ValueError: 0 answers to 1 prompts"}

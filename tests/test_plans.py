@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import views
-from phrasewell.plans.assess import RESULT_COLUMNS, STRATEGIES, accepted, assess, assess_stream, results, run_table
+from phrasewell.plans.assess import RESULT_COLUMNS, STRATEGIES, accepted, assess, assess_stream, failed, results, run_table
 from phrasewell.plans.filtering import add_bleu, evaluate_answers, filter_answers, stored_threshold
 from phrasewell.plans.preprocess import preprocess
 from phrasewell.sources import tables
@@ -116,6 +116,93 @@ def test_a_stream_of_rows_is_assessed_once(spark, path):
     assert got.count() == 5
 
 
+def logged(folder, answer):
+    """A generator that leaves a file per call with the number of prompts."""
+
+    def make():
+        import os
+        import uuid
+
+        def call(prompts, samples):
+            with open(os.path.join(folder, uuid.uuid4().hex), "w") as log:
+                log.write("\n".join(p.replace("\n", " ") for p in prompts))
+            return answer(prompts, samples)
+
+        return call
+
+    return make
+
+
+def asked(folder):
+    return sorted(line for file in folder.iterdir() for line in file.read_text().splitlines() if line)
+
+
+def test_a_query_of_an_earlier_batch_is_not_asked_again(spark, path, tmp_path):
+    source = path + "/in"
+    echo = views.echo_generator()()
+    models = (logged(str(tmp_path), echo), views.shortest_critic(), views.hashing_encoder(), views.hashing_encoder(32))
+    one = rows(spark).where("question IN ('what is 0', 'what is 1')")
+    parts = [one, rows(spark).where("question = 'what is 1'").unionByName(rows(spark).where("question = 'what is 2'")), one.unionByName(one)]
+    for n, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(source)
+        stream = file_stream(spark, source, rows(spark).schema)
+        got = assess_stream(stream, path + "/out", path + "/stage", path + "/checkpoint", *models, k=1, rounds=0)
+        assert len(asked(tmp_path)) == (2, 3, 3)[n]
+    counts = {r.original_question: r["count"] for r in got.groupBy("original_question").count().collect()}
+    assert counts == {"what is 0": 3, "what is 1": 4, "what is 2": 1}
+    assert got.dropDuplicates().count() == 3
+
+
+def test_forgotten_queries_are_asked_again(spark, path, tmp_path):
+    import time
+
+    source = path + "/in"
+    models = (logged(str(tmp_path), views.echo_generator()()), views.shortest_critic(), views.hashing_encoder(), views.hashing_encoder(32))
+    one = rows(spark).where("question = 'what is 0'")
+    for n in range(3):
+        (one if n != 1 else rows(spark).where("question = 'what is 3'")).coalesce(1).write.mode("append").parquet(source)
+        stream = file_stream(spark, source, rows(spark).schema)
+        got = assess_stream(stream, path + "/out", path + "/stage", path + "/checkpoint", *models, k=1, rounds=0, expiry_ms=1)
+        time.sleep(0.1)
+    assert len(asked(tmp_path)) == 3 and got.count() == 3
+
+
+def test_a_failed_query_is_left_out_and_asked_again(spark, path):
+    def failing(broken):
+        def make():
+            def call(prompts, samples):
+                if broken and any("thing 2" in p for p in prompts):
+                    raise ConnectionError("gone")
+                return [f"{len(p)}?" for p in prompts]
+
+            return call
+
+        return make
+
+    def go(broken):
+        return assess(rows(spark), path, failing(broken), views.shortest_critic(), views.hashing_encoder(), views.hashing_encoder(32), k=2, retries=1)
+
+    with pytest.raises(Exception, match="gone"):
+        assess(rows(spark), path + "/other", failing(True), views.shortest_critic(), views.hashing_encoder(), views.hashing_encoder(32), k=2)
+    assert sorted(r.original_question for r in go(True).collect()) == [f"what is {i}" for i in (0, 1, 3, 4)]
+    told = failed(spark, path).collect()
+    assert [(r.step, r.error) for r in told] == [("answers", "ConnectionError: gone")]
+    assert go(False).count() == 5 and failed(spark, path).count() == 0
+
+
+def test_rows_that_are_equal_are_joined_where_they_lie(spark, path):
+    """A third of the rows is one query: its scores are sent to the rows, and scores are worked out once."""
+    many = spark.range(300).selectExpr(
+        "IF(id % 3 = 0, 'hot', concat('q', id)) AS question", "IF(id % 3 = 0, 'ASK wd:Q0', concat('ASK wd:Q', id)) AS sparql_wikidata",
+        "IF(id % 3 = 0, 'ASK [0]', concat('ASK [', id, ']')) AS sparql_wikidata_translated", "array('d') AS descriptions",
+    )
+    models = (views.echo_generator(), views.shortest_critic(), views.hashing_encoder(), views.hashing_encoder(32))
+    got = assess(many, path, *models, k=2)
+    assert got.count() == 300 and got.where("original_question = 'hot'").count() == 100
+    plan = accepted(got)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan  # the stored score is read
+
+
 def test_threshold_is_stored_once(spark, path):
     high = spark.createDataFrame([(0.9,)], "s double")
     assert stored_threshold(spark, path, high, "s").collect()[0].threshold == 0.6000000000000004
