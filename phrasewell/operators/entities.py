@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from phrasewell.functions import fixed_values as fixed
 from phrasewell.functions.text import ANY_MENTION, mention_key, mentions
-from phrasewell.operators.lookup import lookup, salted_join
+from phrasewell.operators.lookup import lookup, salted_join, used_rows
 from phrasewell.operators.ranges import spread
 from phrasewell.session import BROADCAST_BYTES, fits
 
@@ -31,7 +31,14 @@ def label_lookup(
 ) -> DataFrame:
     """Mentions with label and description; NULL where the table has none."""
     keyed = mentioned.withColumn("id", mention_key(F.col("part")))
-    return lookup(keyed, labels.select("id", "label", "description"), "id", "left", broadcast_bytes)
+    known = asked_labels(labels, mention_keys(mentioned), broadcast_bytes)
+    return lookup(keyed, known, "id", "left", broadcast_bytes)
+
+
+def asked_labels(labels: DataFrame, ids: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Labels and descriptions, of a table that is not small only those that the ids at hand ask for."""
+    known = labels.select("id", "label", "description")
+    return known if fits(known, broadcast_bytes) else used_rows(known, ids, "id", broadcast_bytes)
 
 
 def _segments(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -74,11 +81,12 @@ def resolve_entities(
     """Per row: text with labels put in, descriptions, number of mentions left unresolved.
 
     ``labels`` holds each id once; a missing text stays missing. Texts are cut into segments, joined with the labels and put together again in order, so an
-    inserted label is never searched. ``key`` is unique, so no group outgrows one text. With labels
-    that are measured to be few, whole texts are spread by key and nothing else is shuffled;
+    inserted label is never searched. ``key`` is unique, so no group outgrows one text. A label table that is not small is first
+    reduced to the ids at hand. With labels
+    that are then measured to be few, whole texts are spread by key and nothing else is shuffled;
     otherwise the segments are shuffled by id, popular ids salted, and put together by key.
     """
-    known = labels.select("id", "label", "description")
+    known = asked_labels(labels, mention_keys(extract_mentions(df, key, text)), broadcast_bytes)
     if fits(known, broadcast_bytes):
         whole = spread(df.select(key, text), key)
         pieces = _segments(whole, key, text).join(F.broadcast(known), "id", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from phrasewell.operators.ranges import bucket_count
-from phrasewell.session import BROADCAST_BYTES, fits
+from phrasewell.session import BROADCAST_BYTES, fits, new_path
 
 
 #: Salts per share of a partition. Salted keys are hashed to partitions, and smaller pieces even out.
@@ -64,6 +64,38 @@ def salted_join(rows: DataFrame, table: DataFrame, key: str, how: str = "left")
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+#: Bits of the filter that stands for keys too many to be broadcast: 32 MB.
+FILTER_BITS = 1 << 28
+#: Fixed value: bits that a bitmap of Spark holds.
+BITMAP_BITS = 32_768
+
+
+def _might_be_used(table: DataFrame, ids: DataFrame, key: str, bits: int) -> DataFrame:
+    """Rows of ``table`` whose key hashes to a bit that a key of ``ids`` sets, and so at least those of all these keys."""
+    spot = F.pmod(F.xxhash64(key), F.lit(bits))
+    maps = ids.select(spot.alias("_spot")).groupBy(F.bitmap_bucket_number("_spot").alias("_map")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_spot")).alias("_bits")
+    )
+    # One row of 4 kB per BITMAP_BITS bits, however many keys there are.
+    placed = table.withColumn("_spot", spot).withColumn("_map", F.bitmap_bucket_number("_spot"))
+    at = F.bitmap_bit_position("_spot")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0
+    return placed.join(F.broadcast(maps), "_map").where(is_set).select(*table.columns)
+
+
+def used_rows(table: DataFrame, ids: DataFrame, key: str, broadcast_bytes: int = BROADCAST_BYTES, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``table`` that the keys in ``ids`` can ask for, stored in the shared folder.
+
+    ``ids`` holds each key once. The table is read once where it lies and not shuffled: keys that fit are sent to it,
+    more of them as a filter of ``bits`` bits, which lets some rows through that are not asked for.
+    """
+    found = table.join(F.broadcast(ids), key, "left_semi") if fits(ids, broadcast_bytes) else _might_be_used(table, ids, key, bits)
+    path = new_path(table.sparkSession, "used")
+    found.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def lookup(
     rows: DataFrame,
     table: DataFrame,

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from phrasewell.functions import ratios as R, vectors as V
 from phrasewell.operators.candidates import SCORE_DIGITS
 from phrasewell.operators.generate import Encoder, encode_texts
+from phrasewell.operators.lookup import lookup
 from phrasewell.operators.ranges import running_totals, with_next
 from phrasewell.operators.rows import head_n
 from phrasewell.operators.stats import histogram, present_scores, score_counts
@@ -18,25 +18,38 @@ from phrasewell.session import new_path
 
 
 def contrastive_pairs(
-    df: DataFrame, key: str, query: str, question: str, split: str | None = None, buckets: int | None = None
+    df: DataFrame, key: str | tuple[str, ...], query: str, question: str, split: str | None = None, buckets: int | None = None
 ) -> DataFrame:
     """Two rows per input row: its own question with label 1, that of the next row with label 0.
 
-    The last row is paired with the first one, with ``split`` that of its own split; there are few
-    splits. ``key`` is unique and gives the order.
+    The last row is paired with the first one, with ``split`` that of its own split; rows without a
+    split are left out. ``key``, one column or several of any types that have an order, is unique within a split and
+    gives the order. All splits are ordered together, by split and key, so a split of any size is
+    spread like other rows, and any number of splits is one plan.
     """
-    if split is not None:
-        values = sorted(r[0] for r in df.select(split).where(F.col(split).isNotNull()).distinct().collect())
-        parts = [contrastive_pairs(df.where(F.col(split) == v), key, query, question, None, buckets).withColumn(split, F.lit(v)) for v in values]
-        return reduce(DataFrame.unionByName, parts)
-    ringed = with_next(df.select(key, query, question), key, {"_next": question}, buckets)
+    keys = (key,) if isinstance(key, str) else tuple(key)
+    others = [split] if split is not None else []
+    rows = df.select(*others, *keys, query, question)
+    if split is None:
+        at = keys[0] if len(keys) == 1 else "_at"
+        ordered = rows if len(keys) == 1 else rows.withColumn(at, F.struct(*keys))
+        ringed = with_next(ordered, at, {"_next": question}, buckets)
+    else:
+        ordered = rows.where(F.col(split).isNotNull()).withColumn("_at", F.struct(split, *keys))
+        ahead = with_next(ordered, "_at", {"_next": question, "_next_split": split}, buckets)
+        # The last row of a split, and it alone, looks up the first one.
+        last = F.when(F.col("_next_split") != F.col(split), F.col(split))
+        heads = ordered.groupBy(F.col(split).alias("_last")).agg(F.min_by(F.struct(F.col(question).alias("q")), "_at").alias("_first"))
+        ringed = lookup(ahead.withColumn("_last", last), heads, "_last").withColumn(
+            "_next", F.when(F.col("_last").isNotNull(), F.col("_first.q")).otherwise(F.col("_next"))
+        )
     own, shifted = [
         F.struct(F.col(c).alias("sentence_1"), F.lit(label).alias("label"))
         for c, label in ((question, 1.0), ("_next", 0.0))
     ]
     return ringed.select(
-        key, F.col(query).alias("sentence_0"), F.explode(F.array(own, shifted)).alias("p")
-    ).select(key, "sentence_0", "p.sentence_1", "p.label")
+        *keys, *others, F.col(query).alias("sentence_0"), F.explode(F.array(own, shifted)).alias("p")
+    ).select(*keys, "sentence_0", "p.sentence_1", "p.label", *others)
 
 
 def pair_vectors(

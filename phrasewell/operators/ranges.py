@@ -8,8 +8,11 @@ bucket totals, one row per bucket, carry the offset from the buckets before it.
 
 from __future__ import annotations
 
+import math
+from typing import Any
+
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 BUCKET = "_bucket"
 _AS_DOUBLE = "_bucket_key"
@@ -28,15 +31,54 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(bucket_count(df), key)
 
 
+NUMBERS = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+#: Keys per bucket that are drawn to find cut points of keys that are no numbers.
+DRAWN = 32
+
+
+def _cut_points(df: DataFrame, key: str, n: int) -> list:
+    """At most ``n - 1`` keys that cut ``df`` into about equal parts, in order; a bounded sample is drawn for them."""
+    whole, wanted = df.count(), DRAWN * n
+    keys = df.select(key).where(F.col(key).isNotNull())
+    some = keys if whole <= wanted else keys.sample(min(1.0, 1.2 * wanted / whole), 7)
+    drawn = [r[0] for r in some.orderBy(key).collect()]
+    cuts = [drawn[len(drawn) * i // n] for i in range(1, n)] if drawn else []
+    return [c for i, c in enumerate(cuts) if i == 0 or c != cuts[i - 1]]
+
+
+def _bucket_of(df: DataFrame, key: str, cuts: list) -> Column:
+    """How many of ``cuts`` are at most the key; looked up in parts, so that few cuts are compared."""
+    kind = df.schema[key].dataType
+    step = max(1, math.isqrt(len(cuts)))
+
+    def constant(value: Any, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType) and value is not None:
+            return F.struct(*[constant(v, f.dataType).alias(f.name) for v, f in zip(value, kind.fields)])
+        return F.lit(value).cast(kind)
+
+    def told(values: list) -> Column:
+        return F.array(*[constant(value, kind) for value in values])
+
+    part = F.size(F.filter(told(cuts[::step]), lambda c: c <= F.col(key)))
+    inside = F.size(F.filter(F.slice(told(cuts), F.greatest(F.lit(1), (part - 1) * step + 1), step), lambda c: c <= F.col(key)))
+    return F.when(part > 0, (part - 1) * step + inside).otherwise(0)
+
+
 def with_bucket(
     df: DataFrame, key: str, buckets: int | None = None, basis: DataFrame | None = None
 ) -> DataFrame:
-    """Add ``_bucket``, which never falls when ``key`` grows. ``key`` is numeric, date or time.
+    """Add ``_bucket``, which never falls when ``key`` grows. ``key`` is of any type that has an order.
 
     The cut points are taken from ``basis``, by default ``df`` itself. For counts of distinct values
     the raw rows are a good basis: they need no shuffle, and a bucket of few rows has few values.
+    Numbers, dates and times are cut at approximate quantiles. Other keys, such as texts and structs
+    of several columns, are cut at keys of a bounded sample, in their own order.
     """
     n = buckets or bucket_count(df)
+    if not isinstance(df.schema[key].dataType, NUMBERS):
+        cuts = _cut_points(df if basis is None else basis, key, n)
+        return df.withColumn(BUCKET, _bucket_of(df, key, cuts) if cuts else F.lit(0))
 
     def keyed(rows: DataFrame) -> DataFrame:
         value = F.col(key)

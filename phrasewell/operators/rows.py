@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from phrasewell.functions.text import text_or_missing
-from phrasewell.operators.ranges import with_position
+from phrasewell.operators.ranges import BUCKET, with_bucket, with_position
 from phrasewell.session import reliable_checkpoint
 
 _ORDERED_AS_NUMBERS = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -35,14 +35,46 @@ def row_index(df: DataFrame, *keys: str, out: str = "row_id", buckets: int | Non
     return joined.select(*df.columns, (F.col("_before") + place).alias(out))
 
 
-def head_n(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    """First ``n`` rows in the order of ``keys``."""
-    return df.orderBy(*keys).limit(n)
+#: Rows that one task may gather and order; more are selected by their rank.
+AT_ONCE = 10_000
 
 
-def tail_n(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    """Last ``n`` rows in the order of ``keys``, kept in that order."""
-    last = df.orderBy(*[F.col(k).desc() for k in keys]).limit(n)
+def _selected(df: DataFrame, n: int, keys: tuple[str, ...], last: bool, buckets: int | None) -> DataFrame:
+    """The first or last ``n`` rows: whole ranges of the first key, and the one at the edge in part.
+
+    Ranges are counted, their numbers come to the driver, one per range; only the rows of the range at the edge are ordered.
+    """
+    placed = with_bucket(df, keys[0], buckets)
+    counts = {r[BUCKET]: r["n"] for r in placed.groupBy(BUCKET).agg(F.count("*").alias("n")).collect()}
+    left, whole, edge = n, [], None
+    for bucket in sorted(counts, reverse=last):
+        if counts[bucket] > left:
+            edge = bucket
+            break
+        whole.append(bucket)
+        left -= counts[bucket]
+    within = Window.partitionBy(BUCKET).orderBy(*[F.desc(k) if last else F.asc(k) for k in keys])
+    at = F.col(BUCKET)
+    beyond = placed.where(at >= min(whole) if last else at <= max(whole)) if whole else placed.where(F.lit(False))
+    if edge is None or not left:
+        return beyond.drop(BUCKET)
+    cut = placed.where(at == edge).withColumn("_rank", F.row_number().over(within)).where(F.col("_rank") <= left)
+    return beyond.unionByName(cut.drop("_rank")).drop(BUCKET)
+
+
+def head_n(df: DataFrame, n: int, *keys: str, at_once: int = AT_ONCE, buckets: int | None = None) -> DataFrame:
+    """First ``n`` rows in the order of ``keys``. Beyond ``at_once`` rows no task gathers them."""
+    if n <= at_once:
+        return df.orderBy(*keys).limit(n)
+    return _selected(df, n, keys, False, buckets).orderBy(*keys)
+
+
+def tail_n(df: DataFrame, n: int, *keys: str, at_once: int = AT_ONCE, buckets: int | None = None) -> DataFrame:
+    """Last ``n`` rows in the order of ``keys``, kept in that order. Beyond ``at_once`` rows no task gathers them."""
+    if n <= at_once:
+        last = df.orderBy(*[F.col(k).desc() for k in keys]).limit(n)
+    else:
+        last = _selected(df, n, keys, True, buckets)
     return last.orderBy(*keys)
 
 

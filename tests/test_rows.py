@@ -78,3 +78,14 @@ def test_ordered_work_never_sorts_the_table_in_one_task(spark):
     single = plan.split("SinglePartition")
     # The only gathering is that of bucket totals, which sits under an aggregate.
     assert len(single) == 2 and "HashAggregate(keys=[_bucket" in single[1]
+
+
+def test_many_first_and_last_rows_are_selected_by_rank(spark):
+    df = spark.range(5000).selectExpr("(id * 7919) % 5000 AS k", "concat('t', (id * 31) % 5000) AS t", "id % 3 AS few", "IF(id % 50 = 0, NULL, id) AS gaps")
+    for keys in (("k",), ("t",), ("few", "k"), ("gaps", "k")):
+        for n in (1, 1700, 9000):
+            first, last = (f(df, n, *keys, at_once=0, buckets=9).collect() for f in (rows.head_n, rows.tail_n))
+            assert first == rows.head_n(df, n, *keys).collect() and last == rows.tail_n(df, n, *keys).collect()
+    plan = rows.head_n(df, 500, "k", at_once=100)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "TakeOrdered" not in plan
+    assert rows.head_n(df.limit(0), 5, "k", at_once=0).count() == 0

@@ -169,3 +169,39 @@ def test_pairs_by_encoder(spark):
     scored = P.score_pairs(P.pair_vectors(df, "k", "q", "n", hashing_encoder(256))).collect()
     assert all(r.similarity == pytest.approx(1) for r in scored if r.label == 1)
     assert all(r.similarity < 0.99 for r in scored if r.label == 0)
+
+
+def told_pairs(rows, keys, split=None):
+    """Brute force: pairs of each row with its own question and with the next one of its split."""
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[split] if split else None, []).append(r)
+    found = []
+    for name, own in groups.items():
+        if split and name is None:
+            continue
+        own.sort(key=lambda r: tuple(r[k] for k in keys))
+        for i, r in enumerate(own):
+            for question, label in ((r["n"], 1.0), (own[(i + 1) % len(own)]["n"], 0.0)):
+                found.append((r["q"], question, label))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("key", ["t", ("a", "t"), "d"])
+@pytest.mark.parametrize("split", [None, "s"])
+def test_pairs_by_keys_of_any_type(spark, key, split):
+    df = spark.range(400).selectExpr(
+        "concat('é', (id * 37) % 1000) AS t", "id % 7 AS a", "date_add(date'2020-01-01', CAST((id * 53) % 997 AS INT)) AS d",
+        "IF(id % 11 = 0, NULL, concat('s', id * id % 5)) AS s", "concat('q', id) AS q", "concat('n', id) AS n",
+    )
+    got = P.contrastive_pairs(df, key, "q", "n", split, buckets=5)
+    keys = (key,) if isinstance(key, str) else key
+    assert sorted((r.sentence_0, r.sentence_1, r.label) for r in got.collect()) == told_pairs(df.collect(), keys, split)
+    assert got.columns == [*keys, "sentence_0", "sentence_1", "label", *([split] if split else [])]
+
+
+def test_ten_thousand_splits_are_one_plan(spark):
+    df = spark.range(30_000).selectExpr("id", "CAST(id % 10000 AS STRING) AS s", "id AS q", "id AS n")
+    got = P.contrastive_pairs(df, "id", "q", "n", "s", buckets=6)
+    wrong = got.where("label = 0 AND sentence_1 <> (sentence_0 + 10000) % 30000 OR label = 1 AND sentence_1 <> sentence_0").count()
+    assert got.count() == 60_000 and wrong == 0
