@@ -428,9 +428,7 @@ def flatten_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.candidates(spark, sf_dir).withColumn("m", F.array("v"))
     gathered = C.gather_candidates(rows, "g", "i", "m")
     flat = gathered.select("g", V.flatten_stack(C.field("m")).alias("stack"))
-    checked = flat.where(V.same_length(F.col("stack"))).select(
-        "g", F.posexplode("stack").alias("place", "v")
-    )
+    checked = flat.select("g", F.posexplode(V.checked_stack(F.col("stack"))).alias("place", "v"))
     return by_dim(checked.withColumn("place", F.col("place").cast("bigint")), "v", "g", "place")
 
 

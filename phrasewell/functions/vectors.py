@@ -54,6 +54,12 @@ def same_length(vectors: Column) -> Column:
     return F.forall(vectors, lambda v: F.size(v) == F.size(F.get(vectors, F.lit(0))))
 
 
+def checked_stack(vectors: Column) -> Column:
+    """The stack itself; one with vectors of unequal lengths ends the job with an error."""
+    told = F.concat(F.lit("vectors of unequal lengths: "), F.to_json(F.transform(vectors, lambda v: F.size(v))))
+    return F.when(F.coalesce(same_length(vectors), F.lit(True)), vectors).otherwise(F.raise_error(told))
+
+
 def _per_dimension(vectors: Column, fold: Callable[[Column], Column]) -> Column:
     width = F.size(F.get(vectors, F.lit(0)))
     columns = F.transform(

@@ -7,8 +7,10 @@ vectors, have operators of their own at the end that never gather a group.
 
 from __future__ import annotations
 
+import math
 from typing import Any
 
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from phrasewell.functions import fixed_values as fixed, vectors as V
 from phrasewell.functions.text import tokens
 from phrasewell.operators.lookup import lookup
-from phrasewell.operators.ranges import BUCKET, spread, with_bucket
+from phrasewell.operators.ranges import BUCKET, with_bucket
 from phrasewell.session import BROADCAST_BYTES, fits
 
 SCORE_DIGITS = 9
@@ -25,10 +27,9 @@ SCORE_DIGITS = 9
 def hashed_embedding(df: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:
     """Key and unit-length vector of hashed token counts; ``key`` is unique.
 
-    Texts are spread by key first, so the exploded tokens are counted without another shuffle.
+    Tokens are counted where their text lies: what is shuffled is a number per text and dimension.
     """
-    words = spread(df.select(key, F.col(text).alias("_text")), key)
-    token = words.select(key, F.explode(tokens(F.coalesce("_text", F.lit("")))).alias("token"))
+    token = df.select(key, F.explode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("token"))
     bucket = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("bigint") % dims
     counted = token.groupBy(key, bucket.cast("int").alias("dim")).agg(
         F.count("*").cast("double").alias("n")
@@ -216,6 +217,57 @@ def cluster_cosine(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame
     )
 
 
+#: Rows of a group up to which each pair is measured, and directions that larger groups are seen from.
+EXACT_ROWS, DIRECTIONS = 4096, 512
+
+
+def _directions(dims: int, n: int, seed: int = 11) -> Any:
+    """``n`` unit vectors, each run of ``dims`` of them at right angles, times the factor that makes a mean of lengths.
+
+    A difference of vectors, seen from all directions, is on average its length over this factor.
+    """
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    bases = [np.linalg.qr(rng.normal(size=(dims, dims)))[0].T for _ in range(-(-n // dims))]
+    factor = math.sqrt(math.pi) * math.exp(math.lgamma((dims + 1) / 2) - math.lgamma(dims / 2))
+    return factor * np.concatenate(bases)[:n]
+
+
+def _sliced_distance(members: DataFrame, key: str, directions: int, buckets: int | None) -> DataFrame:
+    """Key, pairs, estimate of the mean distance and its standard error, for members (key, _v, _n)."""
+    made = _directions
+
+    @F.arrow_udf("array<double>")
+    def seen(vectors: pa.Array) -> pa.Array:
+        import numpy as np
+
+        known: dict[int, Any] = {}
+        out = []
+        for v in vectors:
+            x = np.asarray(v.as_py(), float)
+            if len(x) not in known:
+                known[len(x)] = made(len(x), directions)
+            out.append(known[len(x)] @ x)
+        return pa.array(out, pa.list_(pa.float64()))
+
+    values = members.select(key, "_n", F.posexplode(seen("_v")).alias("_d", "x"))
+    placed = with_bucket(values, "x", buckets)
+    by_range = Window.partitionBy(key, "_d").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy(key, "_d", BUCKET).agg(F.count("*").alias("_c")).select(
+        key, "_d", BUCKET, F.coalesce(F.sum("_c").over(by_range), F.lit(0)).alias("_before")
+    )
+    inside = Window.partitionBy(key, "_d", BUCKET).orderBy("x")
+    rank = F.col("_before") + F.row_number().over(inside)
+    # Of n sorted values the differences of all pairs add up to the sum of x (2 rank - n - 1).
+    terms = placed.join(before, [key, "_d", BUCKET]).select(key, "_n", "_d", (F.col("x") * (2 * rank - F.col("_n") - 1)).alias("_t"))
+    pairs = F.col("_n") * (F.col("_n") - 1) / 2
+    means = terms.groupBy(key, "_n", "_d").agg(F.sum("_t").alias("_s")).withColumn("_mean", F.col("_s") / pairs)
+    return means.groupBy(key, "_n").agg(
+        F.avg("_mean").alias("avg_pairwise_distance"), (F.stddev("_mean") / math.sqrt(directions)).alias("standard_error")
+    ).select(key, pairs.cast("bigint").alias("pairs"), "avg_pairwise_distance", "standard_error")
+
+
 def cluster_distance(
     df: DataFrame,
     key: str,
@@ -223,16 +275,39 @@ def cluster_distance(
     vector: str,
     block_rows: int = 512,
     broadcast_bytes: int = BROADCAST_BYTES,
+    exact_rows: int = EXACT_ROWS,
+    directions: int = DIRECTIONS,
+    buckets: int | None = None,
 ) -> DataFrame:
-    """Mean pairwise Euclidean distance of groups of any size.
+    """Mean pairwise Euclidean distance of groups of any size: key, pairs, mean and its standard error.
 
-    There is no short cut for this mean, so all pairs are measured, but none is emitted: the
+    In groups of up to ``exact_rows`` members all pairs are measured, but none is emitted: the
     members, told apart by ``idx``, are hashed into blocks of about ``block_rows``. Each block goes
-    to every block it has to meet, and a task measures one pair of blocks. A large group becomes
-    many such tasks of equal size.
+    to every block it has to meet, and a task measures one pair of blocks. The error is 0.
+
+    A larger group is seen from ``directions`` directions. From one of them its vectors are numbers,
+    whose mean difference follows from their order; ranks are counted by ranges of values, so no
+    task orders a whole group. The mean over the directions estimates the mean distance; the work grows with n log n.
+    With 512 directions the standard error is below 1 % of the mean for groups that are not all on
+    one line, and at most 3.4 % for those.
     """
     members = df.select(key, F.col(idx).alias("_i"), V.doubles(F.col(vector)).alias("_v"))
-    spans = members.groupBy(key).agg(F.ceil(F.count("*") / block_rows).alias("_blocks"))
+    sized = members.groupBy(key).agg(F.count("*").alias("_n"))
+    large = sized.where(F.col("_n") > exact_rows)
+    exact = _measured_distance(members, sized.where(F.col("_n") <= exact_rows), df, key, block_rows, broadcast_bytes)
+    exact = exact.withColumn("standard_error", F.lit(0.0))
+    if large.isEmpty():
+        return exact
+    # A group in this table holds over exact_rows rows, so its keys are few against the rows.
+    known = F.broadcast(large) if fits(large, broadcast_bytes) else large
+    return exact.unionByName(_sliced_distance(members.join(known, key).select(key, "_v", "_n"), key, directions, buckets))
+
+
+def _measured_distance(
+    members: DataFrame, sized: DataFrame, df: DataFrame, key: str, block_rows: int, broadcast_bytes: int
+) -> DataFrame:
+    """Key, pairs and the mean distance of all pairs."""
+    spans = sized.select(key, F.ceil(F.col("_n") / block_rows).alias("_blocks"))
     if fits(spans, broadcast_bytes):
         spans = F.broadcast(spans)
     placed = members.join(spans, key).withColumn(

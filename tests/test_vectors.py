@@ -100,3 +100,30 @@ def test_stacks_are_flattened_and_checked(spark):
     stack = spark.createDataFrame([([[[1.0, 2.0]], [[3.0, 4.0]]],)], "m array<array<array<double>>>")
     assert stack.select(V.flatten_stack(F.col("m")).alias("x")).collect()[0].x == [[1.0, 2.0], [3.0, 4.0]]
     assert not column(spark, V.same_length(F.col("a")), a=[[1.0], [1.0, 2.0]])
+
+
+def test_unequal_vectors_end_the_job(spark):
+    assert column(spark, V.checked_stack(F.col("a")), a=[[1.0, 3.0], [1.0, 2.0]]) == [[1.0, 3.0], [1.0, 2.0]]
+    with pytest.raises(Exception, match="unequal lengths: \\[1,2\\]"):
+        column(spark, V.checked_stack(F.col("a")), a=[[1.0], [1.0, 2.0]])
+
+
+def test_large_groups_are_seen_from_directions(spark):
+    rng = np.random.default_rng(1)
+    groups = {0: rng.normal(size=(300, 24)), 1: rng.normal(size=(250, 24)) * np.linspace(0.01, 3, 24) + 5, 2: rng.normal(size=(20, 24))}
+    rows = [(g, i, [float(x) for x in v]) for g, vs in groups.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "g int, id int, v array<double>")
+    got = {r.g: r for r in C.cluster_distance(df, "g", "id", "v", exact_rows=100, buckets=7).collect()}
+    for g, points in groups.items():
+        i, j = np.triu_indices(len(points), 1)
+        exact = np.linalg.norm(points[i] - points[j], axis=1).mean()
+        assert got[g].pairs == len(i) and abs(got[g].avg_pairwise_distance / exact - 1) < (0.01 if g < 2 else 1e-9)
+        assert (got[g].standard_error == 0) == (g == 2) and got[g].standard_error < 0.02 * exact
+
+
+def test_texts_are_counted_where_they_lie(spark):
+    df = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "k int, t string")
+    made = C.hashed_embedding(df, "k", "t", 8)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert all("t#" not in line for line in plan.splitlines() if "Exchange" in line)
+    assert {r.k: round(sum(x * x for x in r.vector), 9) for r in made.collect()}[1] == 1
