@@ -73,3 +73,50 @@ def test_recall_at_the_threshold(spark):
 @pytest.mark.parametrize("kind", ["array<float>", "array<double>"])
 def test_empty_table(spark, kind):
     assert near_vectors(spark.createDataFrame([], f"vec_id bigint, embedding {kind}")).collect() == []
+
+
+def test_pivots_are_drawn_without_ordering_the_table(spark):
+    from phrasewell.llm import near_vectors as N
+
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(3000, 8)))] + [(9000 + i, [float(i), 1.0]) for i in range(50)]
+    df = spark.createDataFrame(rows, "node bigint, v array<double>").repartition(6)
+    seen = []
+    collect = type(df).collect
+    try:
+        type(df).collect = lambda self: seen.append(self) or collect(self)
+        points = N.fit_pivots(df, 16, apart=2)
+    finally:
+        type(df).collect = collect
+    hashed = df.selectExpr("node", "v", "xxhash64(v) AS h").where("size(v) = 8").orderBy("h", "node").limit(16).collect()
+    expected = np.array([r.v for r in hashed])
+    assert np.allclose(points[8], expected / np.linalg.norm(expected, axis=1, keepdims=True)) and len(points[2]) == 16
+    assert len(seen[-1].collect()) <= 2 * 64
+    under = seen[-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert under.index("Window [") < under.index("<= most")  # the bound lies below the window
+
+
+def test_fewer_pairs_meet_as_tables_grow():
+    """Share of pairs that meet in a list, and of pairs at 0.9 that do, for the sizes of four tables."""
+    from phrasewell.llm.near_vectors import index_size
+
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = unit(rng.normal(size=(1500, 64)))
+    r = rng.normal(size=a.shape)
+    r = unit(r - (r * a).sum(1)[:, None] * a)
+    b = 0.9 * a + math.sqrt(1 - 0.81) * r
+    shares = []
+    for rows in (50_000, 1_000_000, 4_000_000):
+        pivots, prefix = index_size(rows)
+        points = unit(rng.normal(size=(pivots, 64)))
+        near = lambda x: np.argsort(-(x @ points.T), axis=1)[:, :prefix]
+        one = np.zeros((len(a), pivots))
+        np.put_along_axis(one, near(a), 1, 1)
+        two = np.zeros((len(a), pivots))
+        np.put_along_axis(two, near(b), 1, 1)
+        assert ((one * two).sum(axis=1) >= 2).mean() >= 0.95
+        met = one @ one.T >= 2
+        shares.append((met.sum() - len(a)) / (len(a) * (len(a) - 1)))
+    assert shares[0] > 2.5 * shares[1] > 5 * shares[2]
+    assert index_size(0) == index_size(60_000) == (256, 6)
