@@ -204,6 +204,8 @@ def assess_stream(
         here = f"{stage}/batch={number}"
         batch.write.mode("overwrite").parquet(f"{here}/rows")  # the state is asked once
         rows = batch.sparkSession.read.schema(batch.schema).parquet(f"{here}/rows")
+        if rows.isEmpty():  # a batch that lets states expire
+            return
         known = rows.where(F.col("first_batch") < number).select("query_id", "first_batch")
         earlier = [r[0] for r in known.select("first_batch").distinct().collect()]  # fewer than there were batches
         new = rows.where(F.col("first_batch") == number)
