@@ -9,9 +9,11 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from phrasewell.llm.common import short_batches
@@ -23,12 +25,22 @@ BASE = (
     ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24),
 )
 
-# Names before a credential, in any case. What follows the name and a separator is a value.
-CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?id|credentials?|bearer)"""
-    r"""(?:[_-]?[a-z]{1,12})?["']?(?:\x20{0,3}(?:=>|:=|[:=])\x20{0,3}|\x20is\x20["'`])["'`]?([!#-&(-_a-~]{8,})""",
+# Names before a credential, in any case, which may stand anywhere within a longer name.
+NAME = re.compile(
+    r"pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?id|credential|bearer|authorization",
     re.A | re.I,
 )
+REST_OF_NAME = re.compile(r"[a-z0-9_-]*+", re.A | re.I)
+
+# What stands between such a name and its value, and the schemes of a header before it.
+SEPARATOR = re.compile(r"""["'`]?(?:\s*+(?:=>|:=|[:=])\s*+|\s++is\s++(?=["'`]))""", re.A | re.I)
+SCHEME = re.compile(r"(?:bearer|basic|token)\s++(?![:=])", re.A | re.I)
+ELEMENT = re.compile(r"[\w:.-]*+", re.A)
+
+# A value is what quotes enclose on one line, or all up to white space or a tag.
+QUOTED = re.compile(r""""((?:[^"\\\r\n]|\\[^\r\n])*+)"|'((?:[^'\\\r\n]|\\[^\r\n])*+)'|`([^`\r\n]*+)`""")
+BARE = re.compile(r"(?:[^\s<]++|<(?!/?[A-Za-z][^<>\s]*+[\s/>]))*+")
+NAME_AT_END = re.compile(r"[:=]+[\w-]+", re.A)  # of the value read backwards
 
 # A value ends before a separator and a further name with its equals sign.
 NEXT_NAME = re.compile(r"(?:&(?:amp;)?|;)[A-Za-z_][\w.-]*=", re.A)
@@ -54,10 +66,21 @@ PAIRS = frozenset(
     "ly os ia ci ga va vi bo ob do br ep ip op mp ns rt rd rm rk rn ls lt pa pi bi bu ba gr cr cl fr fa fe ff fu ki ye".split()
 )
 
+#: Decimal logarithm of the guesses from which on a value is a secret.
+LEAST_COST = 9.0
+
 #: Letters that look like words are secrets only at so many times the least cost (a sentence of words, or 26 letters).
 WORDLIKE_TIMES = 4
 
-_CASED = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})+")
+#: Three kinds of characters in one value are seldom anything but a secret; a million guesses do then, about five characters.
+MIXED_TIMES = 2 / 3
+
+_CASED = re.compile(r"(?:A?a{2,}|A{2,})+")
+
+# Blanks, letters of scripts without case and punctuation outside ASCII part a value that holds prose.
+_PROSE = regex.compile(r"(?V1)(?:[\s\p{Lo}\p{Lm}\p{Mn}\p{Mc}]|[\p{P}--[!-~]])+")
+_QUOTES = re.compile("[\"'`]")
+_MARKS = re.compile(r"[^\w]|_")
 
 # Rows of a keyboard, each shifted half a key to the right of the one above.
 KEY_ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
@@ -85,7 +108,7 @@ def _alphabet(c: str) -> int:
         return 10
     if c.isascii() and c.isalpha():
         return 26
-    return 33 if c.isascii() else 100
+    return 33 if c.isascii() or c.isalpha() else 100
 
 
 class _Segments:
@@ -253,11 +276,41 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def wordlike(value: str) -> bool:
-    """Whether a value is letters only, cased as words are, with common pairs at half of its places or more."""
-    if not value.isalpha() or not _CASED.fullmatch(value):
+    """Whether a value is letters only, cased as words are, with common pairs at half of its places or more.
+
+    Pairs with a letter outside ASCII, of which there is no list, count as common.
+    """
+    if not value.isalpha() or not _CASED.fullmatch("".join("A" if c.isupper() else "a" for c in value)):
         return False
     lower = value.lower()
-    return 2 * sum(lower[i : i + 2] in PAIRS for i in range(len(lower) - 1)) >= len(lower) - 1
+    pairs = [lower[i : i + 2] for i in range(len(lower) - 1)]
+    return 2 * sum(x in PAIRS or not x.isascii() for x in pairs) >= len(pairs)
+
+
+def least_for(value: str, least: float) -> float:
+    """The cost from which on a value counts, by what it looks like."""
+    if wordlike(value):
+        return least * WORDLIKE_TIMES
+    kinds = {"A" if c.isupper() else "a" if c.isalpha() else "1" if c.isdigit() else "." for c in value}
+    return least * MIXED_TIMES if len(kinds) > 2 else least
+
+
+def costly(value: str, least: float) -> bool:
+    """Whether a value, or a part of one that holds blanks or letters without case, costs at least ``least``.
+
+    Words of prose are judged one by one, others as a whole: an apostrophe parts a value only where
+    there are words on both sides, and so does any mark within a value that has blanks.
+    """
+    parts = [p for p in _PROSE.split(value) if p]
+    marks = _MARKS if len(parts) > 1 else _QUOTES
+    for part in parts:
+        part = part.strip(".,;:!?()\"'`")
+        pieces = marks.split(part)
+        if not all(len(p) < 3 or wordlike(p) for p in pieces):
+            pieces = [part]
+        if any(costs_at_least(p, least_for(p, least)) for p in pieces):
+            return True
+    return False
 
 
 def covered(start: int, end: int, taken: list[tuple[int, int, str]]) -> bool:
@@ -268,32 +321,62 @@ def covered(start: int, end: int, taken: list[tuple[int, int, str]]) -> bool:
     return start >= end
 
 
-def guess_spans(text: str, least_cost: float, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Values in credential contexts of at least ``least_cost`` that reach beyond the base spans."""
-    found, at = [], 0
-    while m := CONTEXT.search(text, at):
-        start, at = m.span(1)
+def context_values(text: str) -> Iterator[tuple[int, int]]:
+    """Where the values after credentials' names start and end, in order; takes time in proportion to the text."""
+    at = bare_end = 0
+    while m := NAME.search(text, at):
+        since, at = at, REST_OF_NAME.match(text, m.end()).end()
+        opened = SEPARATOR.match(text, at)
+        if opened:
+            start = opened.end()
+        elif text.startswith(">", at) and (tag := text.rfind("<", since, m.start())) >= 0 and ELEMENT.fullmatch(text, tag + 1, m.start()):
+            start = at + 1
+        else:
+            continue
+        at = start
+        scheme = SCHEME.match(text, start)
+        if scheme:
+            start = scheme.end()
+        quoted = QUOTED.match(text, start)
+        if quoted:
+            at = quoted.end()
+            yield quoted.span(quoted.lastindex)
+            continue
+        # An opening quote without a closing one is not part of the value.
+        start += text.startswith(('"', "'", "`"), start)
+        if bare_end <= start:
+            bare_end = BARE.match(text, start).end()
+        inner = NAME.match(text, start)
+        if inner and SEPARATOR.match(text, REST_OF_NAME.match(text, inner.end()).end()):
+            continue  # a further name, which has the value
+        end = bare_end
         # The next of several parameters is judged on its own.
-        following = NEXT_NAME.search(text, start, at)
+        following = NEXT_NAME.search(text, start, end)
         if following:
-            at = following.start()
-        value = text[start:at].rstrip(".,;:!?)\"'`")
-        end = start + len(value)
-        if len(value) < 8 or covered(start, end, taken):
-            continue
-        if costs_at_least(value, least_cost * (WORDLIKE_TIMES if wordlike(value) else 1)):
-            found.append((start, end, "guess"))
-    return found
+            end = following.start()
+        named = NAME_AT_END.match(text[start:end][::-1])
+        at = max(at, end - named.end()) if named else max(at, end)
+        yield start, start + len(text[start:end].rstrip(".,;:!?)\"'`"))
+
+
+def guess_spans(text: str, least_cost: float, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Values in credential contexts of at least ``least_cost`` that reach beyond the base spans."""
+    values = ((s, e) for s, e in context_values(text) if s < e and not covered(s, e, taken))
+    return [(s, e, "guess") for s, e in values if costly(text[s:e], least_cost)]
 
 
-def spans(text: Column, least_cost: float = 9.0) -> Column:
+def spans(text: Column, least_cost: float = LEAST_COST) -> Column:
     """All secrets of a text as an array of (start, end, kind), by start and then by kind.
 
     Positions count code points, ends are exclusive. Kinds are assign, access and hex, which have
     fixed patterns, and guess: a value after a credential's name whose least guess cost is at least
     ``10 ** least_cost`` guesses and which the other spans do not cover; it may overlap them, as the
-    fixed pattern ends at the first symbol. Letters that look like words, which are most often just
-    that, count only from ``10 ** (WORDLIKE_TIMES * least_cost)`` guesses on. A null or empty text has none.
+    fixed pattern ends at the first symbol. A value is what quotes enclose or all up to white space or
+    a tag, in any letters and of any length; it may follow the name in an element or, after a scheme,
+    in a header. Letters that look like words, which are most often just that, count only from
+    ``10 ** (WORDLIKE_TIMES * least_cost)`` guesses on, and letters of scripts without case, such as
+    Chinese, not at all; three kinds of characters together from ``10 ** (MIXED_TIMES * least_cost)``
+    on. There is no least length beside the cost. A null or empty text has none.
     """
 
     @F.arrow_udf("array<struct<start:int,end:int,kind:string>>")
@@ -328,11 +411,12 @@ def redacted(text: Column, found: Column) -> Column:
     return F.when(F.size(found) > 0, whole).otherwise(text)
 
 
-def scan(docs: DataFrame, text: str = "text", out: str = "spans", least_cost: float = 9.0) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", out: str = "spans", least_cost: float = LEAST_COST) -> DataFrame:
     """``docs`` with the column ``out``: the secrets of each text as ``spans`` gives them.
 
     Row by row, without a shuffle; every row and column is kept, whatever is null, empty or repeated,
-    and a column that is already called ``out`` is replaced.
+    and a column that is already called ``out`` is replaced. An empty table gives an empty one. A text
+    of any length is searched whole by one task, in time that grows with its length.
     """
     short_batches(docs.sparkSession)
     return docs.withColumn(out, spans(F.col(text), least_cost))
