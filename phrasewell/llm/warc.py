@@ -18,6 +18,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from phrasewell.llm.common import stored
+from phrasewell.llm.quality import let
+from phrasewell.operators.lookup import lookup
+from phrasewell.session import fits
 
 # The magic number of the skippable frame that holds a dictionary, and that of a frame.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -39,16 +42,12 @@ def payload_digest(payload: bytes) -> str:
 
 
 def digest_column(payload: Column) -> Column:
-    """``payload_digest`` of a binary column, JVM-side: five bits of the hash per letter."""
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-    bits = F.lpad(F.conv(F.substring(F.sha1(payload), 1, 10), 16, 2), 40, "0")
-    for part in range(1, 4):
-        bits = F.concat(bits, F.lpad(F.conv(F.substring(F.sha1(payload), 1 + 10 * part, 10), 16, 2), 40, "0"))
-    spelled = F.transform(
-        F.sequence(F.lit(0), F.lit(31)),
-        lambda i: F.substr(F.lit(alphabet), F.conv(F.substr(bits, 5 * i + F.lit(1), F.lit(5)), 2, 10).cast("int") + 1, F.lit(1)),
-    )
-    return F.array_join(spelled, "")
+    """``payload_digest`` of a binary column, JVM-side: the hash, taken once, in four numbers of eight letters each."""
+    alphabet = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    letter = lambda number, i: F.substr(alphabet, F.shiftright(number, 35 - 5 * i).bitwiseAND(31).cast("int") + 1, F.lit(1))
+    number = lambda h, part: F.conv(F.substring(h, 1 + 10 * part, 10), 16, 10).cast("bigint")
+    eight = lambda x: F.concat(*[letter(x, i) for i in range(8)])
+    return let(F.sha1(payload), lambda h: F.array_join(F.transform(F.array(*[number(h, part) for part in range(4)]), eight), ""))
 
 
 def fit_dictionary(pages: DataFrame, html: str, size: int = 65_536, samples: int = 256, sample_bytes: int = 16_384) -> bytes:
@@ -101,25 +100,29 @@ def classified(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
 
     Of pages with equal payloads that with the largest id is the response and the others revisit it;
     a null payload is an empty one. Null ids are smaller than any other. Where the largest id itself
-    is repeated, one of its rows is the response. Payloads are grouped by their digest, whose largest
-    id is found before the shuffle, so a payload that many pages share costs no more than its rows.
+    is repeated, one of its rows is the response.
+
+    Which row revisits which is told from digests and row numbers alone, with popular digests salted.
+    Payloads stay where they lie if the revisits fit in a broadcast; else they are joined by row number,
+    of which there is one per row, so a payload that many pages share is spread like any other.
     """
     row = "_row"
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     read = pages.select(F.col(key).cast("bigint").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
     read = read.withColumn("payload_digest", digest_column(F.col("payload"))).withColumn(row, F.monotonically_increasing_id())
     read = stored(read, "pages")
-    ids = read.select("page_id", "payload_digest", row)
     rank = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("id"), F.col(row).alias("row"))
-    first = ids.groupBy("payload_digest").agg(F.max(rank).alias("top"), F.count("*").alias("same"))
+    first = read.groupBy("payload_digest").agg(F.max(rank).alias("top"), F.count("*").alias("same"))
     # Payloads that only one page has need no join.
     shared = first.where("same > 1").select("payload_digest", F.col("top.row").alias("_first"), F.col("top.id").alias("_id"))
-    joined = read.join(shared, "payload_digest", "left")
-    revisit = F.coalesce(F.col("_first") != F.col(row), F.lit(False))
     known = F.when(F.col("_id") > -(1 << 63), F.col("_id"))
+    again = lookup(read.select("payload_digest", row), shared, "payload_digest", "inner")
+    again = stored(again.where(F.col("_first") != F.col(row)).select(row, known.alias("refers_to"), F.lit(True).alias("revisit")), "revisits")
+    joined = read.join(F.broadcast(again) if fits(again) else again, row, "left")
+    revisit = F.coalesce("revisit", F.lit(False))
     return joined.select(
         "page_id", "url", F.when(~revisit, F.col("payload")).otherwise(F.lit(b"")).alias("payload"), "payload_digest",
-        F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.when(revisit, known).alias("refers_to"), revisit.alias("revisit"),
+        F.octet_length("payload").cast("bigint").alias("payload_bytes"), "refers_to", revisit.alias("revisit"),
     )
 
 

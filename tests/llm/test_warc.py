@@ -10,6 +10,7 @@ from checks.compare import difference
 from phrasewell.llm import warc
 from phrasewell.llm.oracles import SQL
 from phrasewell.llm.queries import QUERIES
+from phrasewell.operators.lookup import lookup, salted_join
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,3 +72,19 @@ def test_faults_are_told(spark):
 def test_digest_in_columns(spark):
     df = spark.createDataFrame([("",), ("abc",), ("é" * 100,)], "t string").select("t", warc.digest_column(F.encode("t", "UTF-8")).alias("d"))
     assert all(r.d == warc.payload_digest(r.t.encode()) for r in df.collect())
+
+
+def test_a_payload_that_many_pages_share(spark, monkeypatch):
+    """With and without a broadcast of the revisits; popular digests are salted."""
+    rows = [(i, "u", "shared" if i % 3 else f"own {i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    last = max(i for i, _, html in rows if html == "shared")
+    for limit in (True, False):
+        monkeypatch.setattr(warc, "fits", lambda df, limit=limit: limit)
+        monkeypatch.setattr(warc, "lookup", lookup if limit else salted_join)
+        got = {r.page_id: r for r in warc.classified(df).collect()}
+        assert len(got) == 600
+        for i, _, html in rows:
+            again = html == "shared" and i != last
+            assert (got[i].revisit, got[i].refers_to, bytes(got[i].payload)) == (again, last if again else None, b"" if again else html.encode())
+            assert got[i].payload_bytes == len(html) and got[i].payload_digest == warc.payload_digest(html.encode())
