@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -20,14 +22,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_stored: ContextVar[list[str] | None] = ContextVar("stored", default=None)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; cuts the lineage and survives lost executors."""
     short_batches(df.sparkSession)
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    made = _stored.get()
+    if made is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that are ``stored`` inside are deleted at the end, but for those taken out of the list it gives.
+
+    The tables of a scope inside belong to that scope. If the work inside fails, they stay.
+    """
+    made: list[str] = []
+    token = _stored.set(made)
+    try:
+        yield made
+    finally:
+        _stored.reset(token)
+    for path in made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Rows of an Arrow batch. Batches are held whole by Spark and by Python, and texts may be long.
 BATCH_ROWS = 500
 
