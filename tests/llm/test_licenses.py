@@ -57,3 +57,25 @@ def test_all_units_against_all_templates(spark, odd_docs, no_docs):
 def test_no_python_on_executors(spark):
     plan = QUERIES["op2_licenses"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
+
+
+def test_short_forms_headers_and_paragraphs(spark):
+    lines = {
+        "Licensed under the MIT License.": "MIT",
+        "This software is released under the MIT License": "MIT",
+        "# Licensed under the Apache License 2.0": "Apache-2.0",
+        "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "BSD",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": "LGPL-2.1",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": "GPL-2.0",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.": "CC0-1.0",
+        "// SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0",
+        "SPDX-License-Identifier: MIT": "MIT",
+        "SPDX-License-Identifier: CC-BY-NC-SA-4.0": "CC-BY-NC-SA-4.0",
+        "Licensed under the Foo License.": None,
+        "SPDX-License-Identifier: Foo": None,
+        "This project is about the history of the licence.": None,
+    }
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id int, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(df).where("unit = 'line'").collect()}
+    assert {i: got.get(i) for i in range(len(lines))} == dict(enumerate(lines.values()))
