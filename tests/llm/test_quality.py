@@ -98,3 +98,71 @@ def test_clean_documents_of_other_languages_are_kept(spark):
     got = {r.doc_id: r for r in quality.assess(docs.unionAll(added)).where("doc_id < 0").collect()}
     assert got[-1].vote_common == got[-2].vote_common == 0
     assert got[-3].vote_plain == -1 and all(r.kept for r in got.values())
+
+
+def test_a_fault_that_two_rules_see_counts_once():
+    """Two rules whose bad votes always fall together weigh like one; the estimate of a rule that errs alone is its own."""
+    rules = len(quality.RULES)
+    vote = lambda *bad: tuple(-1 if r in bad else 1 for r in range(rules))
+    model = quality.fit([(vote(), 9000), (vote(1, 2, 6), 600), (vote(1, 2), 60), (vote(3, 5, 7), 600), (vote(4, 0), 100), (vote(4), 400)])
+    assert model["shared"][1][2] > 0.95 and model["shared"][1][3] == 0
+    plain = {k: model[k] for k in ("prior", "table")}
+    assert quality.posterior(vote(1, 2), plain) < quality.posterior(vote(1, 2), model)
+    assert quality.posterior(vote(4), model) > 0.5
+    wrong = [t[1][-1] for t in model["table"]]
+    assert wrong[4] > 0.03 and max(wrong[:4] + wrong[5:]) < 0.03
+
+
+def test_probability_in_columns_is_the_posterior(spark):
+    got = quality.assess(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    names = [f"vote_{r}" for r in quality.RULES]
+    rows = got.groupBy(*names, "probability").count().collect()
+    counts = Counter()
+    for r in rows:
+        counts[tuple(r[n] for n in names)] += r["count"]
+    model = quality.fit(sorted(counts.items()))
+    for r in rows:
+        assert abs(quality.posterior(tuple(r[n] for n in names), model) - r.probability) < 1e-9
+
+
+def test_clean_code_is_kept(spark):
+    java = """package org.example.tools;
+import java.util.List;
+
+/* Sums what is asked for. */
+public class Adder {
+    private final List<Integer> parts;
+
+    public Adder(List<Integer> given) {
+        this.parts = given;
+    }
+
+    public int total() {
+        int sum = 0;
+        for (int part : parts) {
+            if (part % 2 == 0 && part > 10 || part < -3) {
+                sum += part * 3;
+            }
+        }
+        return sum;
+    }
+}
+"""
+    python = """import os
+from collections import Counter
+
+# How often each ending of a file name occurs.
+def endings(folder):
+    found = Counter()
+    for name in os.listdir(folder):
+        found[name.rpartition(".")[2]] += 1
+    return found
+
+if __name__ == "__main__":
+    for ending, n in endings(".").most_common(5):
+        print("%s: %d" % (ending, n))
+"""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    added = spark.createDataFrame([(-1, java), (-2, python)], docs.schema)
+    got = {r.doc_id: r for r in quality.assess(docs.unionAll(added)).where("doc_id < 0").collect()}
+    assert all(r.kept and r.vote_symbols == r.vote_plain == r.vote_common == 0 for r in got.values())
