@@ -40,7 +40,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id; null ids come last."""
+    """Of each group of near-duplicates the document with the smallest doc_id; null ids come last.
+
+    Fingerprints by SimHash that ball hashing links are compared first, and an exact join finds the links beyond its radius.
+    Null texts count as empty, repeated rows are copies; an empty table gives an empty one.
+    """
     return near_texts.keep_first(docs).select(*COLUMNS)
 
 

@@ -1,4 +1,8 @@
-"""Near-duplicate texts by an exact prefix-filter join on five-word shingles.
+"""Near-duplicate texts: SimHash links by ball hashing, verified, then an exact join for all links beyond its radius.
+
+Texts whose fingerprints are equal or within the radius (``simhash.linked``) are compared first, on their sets
+of shingles; what these links connect is not compared again. At a similarity of 0.8 most pairs differ in more bits
+than balls can hold, so what is left is told by a prefix-filter join, which misses no link.
 
 In one order of all shingles, two sets with a Jaccard similarity of at least t share one of the first
 ``n - ceil(t * n) + 1`` shingles of each. So every text emits these, rare ones first, and what meets at
@@ -11,7 +15,7 @@ of the sets, which never differ in more bits than the sets in members, tell most
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phrasewell.llm.common import free_name, stored
 from phrasewell.llm.components import components
-from phrasewell.llm.simhash import SEED, shingles
+from phrasewell.llm.simhash import SEED, fingerprint, linked, shingles
 from phrasewell.operators.lookup import lookup
 
 #: Ids of rows that are sent to every task at most, 8 bytes each; more of them are joined by a shuffle.
@@ -52,14 +56,18 @@ def parities(shingles_: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
 
 
-def shingle_set_and_parities(text: Column, words: int) -> Column:
-    """Struct of a text's set ``s``, its size ``n`` and its ``parities``."""
+#: Rows (node, s) of the texts that rows (node) name.
+Sets = Callable[[DataFrame], DataFrame]
+
+
+def shingle_set_and_parities(text: Column, words: int, whole: bool = True) -> Column:
+    """Struct of a text's set ``s``, its size ``n`` and its ``parities``; without ``whole`` the set is null."""
     longs = pa.list_(pa.int64())
 
     @F.arrow_udf("struct<s:array<bigint>,n:int,parities:array<bigint>>")
     def of(texts: pa.Array) -> pa.Array:
         sets = [text_shingles(x.as_py() or b"", words) for x in texts.cast(pa.binary())]
-        parts = [pa.array(sets, longs), pa.array([len(s) for s in sets], pa.int32()), pa.array([parities(s) for s in sets], longs)]
+        parts = [pa.array(sets if whole else [None] * len(sets), longs), pa.array([len(s) for s in sets], pa.int32()), pa.array([parities(s) for s in sets], longs)]
         return pa.StructArray.from_arrays(parts, ["s", "n", "parities"])
 
     return of(text)
@@ -129,15 +137,35 @@ def meetings(keys: DataFrame) -> DataFrame:
     return others.where("last is not null or next is not null").drop("next")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets, rows (node, s, n, parities), have a Jaccard similarity of at least ``similarity``; two empty ones do."""
+def simhash_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of rows (node, fingerprint) to be compared: each text with the first of its fingerprint, and first ones of linked fingerprints."""
+    firsts = stored(nodes.groupBy("fingerprint").agg(F.min("node").alias("first")), "fingerprints")
+    same = lookup(nodes, firsts, "fingerprint", "inner").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = linked(firsts.select("fingerprint"), radius)
+    one = near.join(firsts.select(F.col("fingerprint").alias("a"), F.col("first").alias("x")), "a")
+    both = one.join(firsts.select(F.col("fingerprint").alias("b"), F.col("first").alias("y")), "b")
+    return same.unionAll(both.select(F.least("x", "y"), F.greatest("x", "y")))
+
+
+def still_apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that no component, rows (node, component), holds both of."""
+    for x in ("a", "b"):
+        pairs = lookup(pairs, parts.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")), x)
+    return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float, whole: Sets) -> DataFrame:
+    """The pairs whose sets have a Jaccard similarity of at least ``similarity``; two empty ones do.
+
+    Of rows (node, n, parities), ``sets``, those that cannot be alike are told first; ``whole`` gives the sets of the others.
+    """
     small = lambda x: sets.select(F.col("node").alias(x), F.struct("n", "parities").alias(f"p_{x}"))
     sketched = pairs.join(small("a"), "a").join(small("b"), "b")
     bits = F.aggregate(F.zip_with("p_a.parities", "p_b.parities", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda sum_, x: sum_ + x)
     bits = F.when(F.size("p_a.parities") == F.size("p_b.parities"), bits).otherwise(0)
     apart = F.greatest(bits, F.abs(F.col("p_a.n") - F.col("p_b.n")))
     pairs = stored(sketched.where(apart <= most_apart(similarity) * (F.col("p_a.n") + F.col("p_b.n"))).select("a", "b"), "candidates")
-    sets = _by_ids(sets.select("node", "s"), pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "node", "inner")
+    sets = stored(whole(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()), "compared")
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s_a")), "a")
     both = one.join(sets.select(F.col("node").alias("b"), F.col("s").alias("s_b")), "b")
     counted = both.select("a", "b", F.size("s_a").alias("n_a"), F.size("s_b").alias("n_b"), F.size(F.array_intersect("s_a", "s_b")).alias("same"))
@@ -259,8 +287,12 @@ def _compare(similarity: float):
     return _by_group(finish)
 
 
-def rest_of_links(rows: DataFrame, sets: DataFrame, similarity: float, block_texts: int = BLOCK_TEXTS) -> DataFrame:
-    """Links (a, b) that connect what ``unconnected`` rows leave apart and is alike: all of a key are compared."""
+def rest_of_links(rows: DataFrame, sets: DataFrame, similarity: float, block_texts: int = BLOCK_TEXTS, whole: Sets | None = None) -> DataFrame:
+    """Links (a, b) that connect what ``unconnected`` rows leave apart and is alike: all of a key are compared.
+
+    ``sets`` has rows (node, n, parities), and the set ``s`` too unless ``whole`` gives it.
+    """
+    whole = whole or (lambda ids: _by_ids(sets.select("node", "s"), ids, "node", "inner"))
     blocks = F.ceil(F.greatest(F.col("texts") / block_texts, F.col("shingles") / BLOCK_SHINGLES, F.lit(1.0))).cast("int")
     numbered = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     meets = F.transform(
@@ -277,11 +309,11 @@ def rest_of_links(rows: DataFrame, sets: DataFrame, similarity: float, block_tex
     sketched = together(sided.join(sets.select("node", "n", "parities"), "node"))
     near = sketched.mapInArrow(_keep_near(similarity), "group string, own boolean, side int, node bigint, part bigint")
     near = stored(near, "near")
-    whole = together(near.join(_by_ids(sets.select("node", "s"), near.select("node").distinct(), "node", "inner"), "node"))
-    return whole.mapInArrow(_compare(similarity), "a bigint, b bigint")
+    full = together(near.join(whole(near.select("node").distinct()), "node"))
+    return full.mapInArrow(_compare(similarity), "a bigint, b bigint")
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """``docs`` without the rows that near-duplicate one before them: of each group the smallest key stays.
 
     A group is what links of at least ``similarity`` (Jaccard, on distinct shingles of ``words`` words
@@ -289,27 +321,36 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     and rows are told apart by their place in the stored copy, null texts count as empty, and empty
     ones are copies of each other. Columns may have any names. An empty table gives an empty one.
 
-    All links are found, up to equal 64-bit hashes of unlike shingles, save those between texts that
-    other links connect already. Texts are stored once; only rows that meet another are taken up again.
+    Texts whose SimHash over the same shingles differs in at most ``radius`` bits are compared first; a pair that is alike is a
+    link. All other links are found too, up to equal 64-bit hashes of unlike shingles, save those between texts that
+    other links connect already. Texts are stored once; only rows that meet another are taken up again, and their
+    sets are made once more for those that sizes and parities leave, instead of being stored for all.
     Ids of a popular text or group are joined with salts, or where they lie if the other side is measured to be small.
     """
     row, own = free_name(docs, "row"), docs.columns
     numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
     body = F.coalesce(F.col(text), F.lit(""))
-    marked = stored(numbered.select(F.col(row).alias("row"), F.col(key).alias("key"), F.unhex(F.md5(body)).alias("digest")), "digests")
-    nodes = stored(marked.groupBy("digest").agg(F.min("row").alias("node")), "texts")
-    placed = stored(lookup(marked, nodes, "digest", "inner").select("row", "key", "node"), "nodes")
+    marked = stored(numbered.select(F.col(row).alias("row"), F.col(key).alias("key"), F.unhex(F.md5(body)).alias("digest"), fingerprint(body, words).alias("fingerprint")), "digests")
+    nodes = stored(marked.groupBy("digest").agg(F.min("row").alias("node"), F.min("fingerprint").alias("fingerprint")), "texts")
+    placed = stored(lookup(marked.select("row", "key", "digest"), nodes.select("digest", "node"), "digest", "inner").select("row", "key", "node"), "nodes")
 
     copies = placed.where("row != node").select(F.col("row").alias(row))
     texts = _by_ids(numbered.select(row, body.alias("body")), copies, row, "left_anti").select(F.col(row).alias("node"), "body")
     met = stored(meetings(prefixes(texts, common_shingles(texts, words), words, similarity)), "meetings")
-    wanted = met.select(F.col("node").alias(row)).distinct()
-    again = _by_ids(numbered.select(row, body.alias("body")), wanted, row, "inner")
-    sets = stored(again.select(F.col(row).alias("node"), shingle_set_and_parities(F.col("body"), words).alias("p")).select("node", "p.*"), "shingles")
+    def shingled(ids: DataFrame, whole: bool) -> DataFrame:
+        again = _by_ids(numbered.select(row, body.alias("body")), ids.select(F.col("node").alias(row)), row, "inner")
+        return again.select(F.col(row).alias("node"), shingle_set_and_parities(F.col("body"), words, whole).alias("p"))
+
+    def whole(ids: DataFrame) -> DataFrame:
+        return shingled(ids, True).select("node", "p.s")
+
+    sets = stored(shingled(met.select("node").distinct(), False).select("node", "p.n", "p.parities"), "parities")
 
+    near = stored(verified(simhash_pairs(nodes.select("node", "fingerprint"), radius), sets, similarity, whole), "near")
     some = met.where("last is not null").select("node", F.explode(F.array("first", "last")).alias("other"))
-    links = stored(verified(some.select(F.col("other").alias("a"), F.col("node").alias("b")).distinct(), sets, similarity), "links")
-    rest = stored(rest_of_links(unconnected(met, components(links)), sets, similarity), "rest")
+    some = still_apart(some.select(F.col("other").alias("a"), F.col("node").alias("b")).distinct(), components(near))
+    links = stored(verified(some, sets, similarity, whole).unionAll(near), "links")
+    rest = stored(rest_of_links(unconnected(met, components(links)), sets, similarity, whole=whole), "rest")
     parts = components(links.unionAll(rest))
 
     grouped = stored(lookup(placed, parts, "node").withColumn("part", F.coalesce("component", "node")).select("row", "key", "part"), "parts")

@@ -124,3 +124,25 @@ def test_no_link_is_ruled_out():
         near = near_texts._near(at, np.zeros(2), True, n[at], [sketches[i], sketches[j]], 0.8).all()
         same = len(np.intersect1d(sets[i], sets[j]))
         assert near if same >= 0.8 * (n[i] + n[j] - same) else (i // 3 == j // 3 or not near)
+
+
+def test_links_come_from_simhash_first(spark, monkeypatch):
+    """Ball hashing names the pairs within its radius; they are verified, and the exact join has only the others left."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9)))
+    texts = []
+    for _ in range(20):
+        words = [word() for _ in range(900)]
+        texts += [" ".join(words), " ".join([*words[:-1], word()]), " ".join(words[:450]), " ".join([*words[:450], *[word() for _ in range(450)]])]
+    seen = {}
+    for name in ("simhash_pairs", "still_apart"):
+        def kept(*given, own=getattr(near_texts, name), name=name):
+            out = own(*given)
+            seen[name] = ({(r.a, r.b) for r in given[0].collect()} if name == "still_apart" else None, {(r.a, r.b) for r in out.collect()})
+            return out
+        monkeypatch.setattr(near_texts, name, kept)
+    kept, wanted = exact(spark, texts)
+    assert kept == wanted and len(wanted) == 60
+    assert len(seen["simhash_pairs"][1]) >= 15  # most of the 20 pairs that differ in one word
+    before, after = seen["still_apart"]
+    assert len(before) - len(after) >= 15 and after < before
