@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
 from phrasewell.llm.common import stored
+from phrasewell.session import fits
 
 # Fixed value: how byte-level vocabularies cut a text before they merge bytes.
 BYTE_LEVEL_CUTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -94,40 +96,44 @@ def cuts(n: int, size: int) -> list[tuple[int, int]]:
     return made
 
 
-PIECE = "doc_tokens:bigint,start:bigint,length:bigint,ids_crc32:bigint,ids:array<int>"
+PIECE = "doc_tokens:bigint,start:bigint,length:bigint,ids_crc32:bigint,ids:array<int>,place:bigint"
 
 
 def cut_documents(docs: DataFrame, key: str, text: str, tokenizer: str, size: int, end_id: int = 0, with_ids: bool = True) -> DataFrame:
-    """Rows (key, doc_tokens, start, length, ids_crc32, ids): the pieces that documents are cut into.
+    """Rows (key, doc_tokens, start, length, ids_crc32, ids, place): the pieces that documents are cut into.
 
     Whole sequences come first, then a half one where there is as much left, then a multiple of a
     64th of a sequence, and the rest. So there are few lengths, all of which the program can combine,
     and a document has at most three pieces besides its whole sequences. Added tokens of the file
     that a text spells out are one id each. ``end_id`` follows the ids of each document, so an empty or null text has one id. The checksum is
     that of the piece's ids as little-endian unsigned 32-bit numbers. ``with_ids=False`` leaves the
-    ids null once the checksum has been taken.
+    ids null once the checksum has been taken. ``place`` counts the pieces of the same length that the
+    same task has made before, from 0 on.
     """
-    kind = pa.struct([("doc_tokens", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    kind = pa.struct([("doc_tokens", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32())), ("place", pa.int64())])
     end = np.array([end_id], "<u4").tobytes()
     with open(tokenizer, encoding="utf-8") as file:  # read here; executors may lack the file
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
     ready: list[Encoder] = []
 
     @F.arrow_udf(f"array<struct<{PIECE}>>")
-    def pieces(texts: pa.Array) -> pa.Array:
+    def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if not ready:
             ready.append(Encoder(shared.value, added=True))
-        out = []
-        for x in texts:
-            text = x.as_py()
-            ids = (ready[0].ids(text) if text else b"") + end
-            parts = []
-            for at, n in cuts(len(ids) // 4, size):
-                part = ids[4 * at : 4 * (at + n)]
-                own = np.frombuffer(part, "<u4").astype(np.int32).tolist() if with_ids else None
-                parts.append({"doc_tokens": len(ids) // 4, "start": at, "length": n, "ids_crc32": zlib.crc32(part), "ids": own})
-            out.append(parts)
-        return pa.array(out, pa.list_(kind))
+        made: Counter[int] = Counter()  # per length, of which there are few
+        for texts in batches:
+            out = []
+            for x in texts:
+                text = x.as_py()
+                ids = (ready[0].ids(text) if text else b"") + end
+                parts = []
+                for at, n in cuts(len(ids) // 4, size):
+                    part = ids[4 * at : 4 * (at + n)]
+                    own = np.frombuffer(part, "<u4").astype(np.int32) if with_ids else None
+                    parts.append({"doc_tokens": len(ids) // 4, "start": at, "length": n, "ids_crc32": zlib.crc32(part), "ids": own, "place": made[n]})
+                    made[n] += 1
+                out.append(parts)
+            yield pa.array(out, pa.list_(kind))
 
     return docs.select(F.col(key).alias("key"), F.explode(pieces(F.col(text))).alias("p")).select("key", "p.*")
 
@@ -302,40 +308,30 @@ def pack(
 
     Pieces are stored once, the text is read once. Lengths are counted before the shuffle and their
     histogram, ``size`` numbers at most, goes to the driver; the places that come back are bounded by
-    the patterns, no more than two per length. Ranks within a length are counted per group of rows,
-    so a length that a third of the documents share is ranked in many tasks.
+    the patterns, no more than two per length. The task that cuts the documents counts its pieces of
+    each length as it writes them, so ranks within a length take a number per task and length, and the
+    pieces with their ids are seated where they lie.
     """
     spark = docs.sparkSession
     cut = cut_documents(docs, key, text, tokenizer, size, end_id, with_ids)
-    made = stored(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
-    groups = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    grouped = made.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
+    made = stored(cut.withColumn("task", F.spark_partition_id()), "pieces")
 
-    sizes = grouped.groupBy("length", "group").agg(F.count("*").alias("n"))
-    sizes = stored(sizes, "sizes")
+    sizes = stored(made.groupBy("length", "task").agg(F.count("*").alias("n")), "sizes")
     demand = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    before = Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("length", "group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    offsets = F.broadcast(offsets) if fits(offsets) else offsets
 
     spots = spark.createDataFrame(
         places(demand, size) if demand else [],
         "p_length bigint, first bigint, last bigint, per bigint, sequence bigint, p_offset bigint",
     )
-    within = Window.partitionBy("length", "group").orderBy("row")
-    ranked = (
-        grouped.select("length", "group", "row")
-        .withColumn("n", F.row_number().over(within) - 1)
-        .join(offsets, ["length", "group"])
-        .select("row", "length", (F.col("n") + F.col("before")).alias("rank"))
-    )
+    ranked = made.join(offsets, ["length", "task"]).withColumn("rank", F.col("place") + F.col("before"))
     # Bounded by the patterns, which are as many as there are lengths.
     at = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))
     turn = F.col("rank") - F.col("first")
-    seated = ranked.join(F.broadcast(spots), at).select(
-        "row",
+    return ranked.join(F.broadcast(spots), at).select(
+        F.col("key").alias(key), "start", "length", "ids_crc32", "ids", "doc_tokens",
         (F.col("sequence") + F.floor(turn / F.col("per"))).cast("bigint").alias("sequence_id"),
         (F.col("p_offset") + F.pmod(turn, F.col("per")) * F.col("length")).cast("bigint").alias("offset"),
     )
-    return made.join(seated, "row").select(
-        F.col("key").alias(key), "start", "length", "ids_crc32", "ids", "doc_tokens", "sequence_id", "offset"
-    )

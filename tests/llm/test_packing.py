@@ -112,3 +112,20 @@ def test_added_tokens_in_texts_are_their_ids(spark, name):
     texts = {i: t for i, t in enumerate(f"{a}{s}{b}" for s in spelled for a, b in (("a", "b"), ("a ", " b"), ("", ""), ("x\n", s), (s[:-1], s[1:])))}
     rows = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id int, text string"), path).collect()
     check(rows, texts, library)
+
+
+def test_pieces_are_seated_where_they_lie(spark, tokenizer):
+    """Pieces and their ids go through no shuffle, however many there are."""
+    texts = {i: " ".join(["word"] * (i % 700)) for i in range(900)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(7)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        packed = packing.pack(docs, PATH)
+        plan = packed._jdf.queryExecution().executedPlan().toString()
+        rows = packed.collect()
+    finally:
+        spark.conf.set(name, before)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert check(rows, texts, tokenizer) < 0.01
