@@ -22,11 +22,17 @@ from phrasewell.operators.prompts import (
     refine_prompt,
     translate_prompt,
 )
+from phrasewell.session import short_batches
 
 Generator = Callable[[list[str], list[int]], list[str]]
 Encoder = Callable[[list[str]], list[Iterable[float]]]
 
 
+#: Rows that Python takes up at a time of what Spark hands over, and bytes of these rows' Arrow data: a table's
+#: size does not change what a task holds as Python objects. A single row may be larger.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 4_000_000
+
+
 @dataclass(frozen=True)
 class Call:
     """One model call per row: input columns, new column, its type, and what makes the model.
@@ -59,6 +65,7 @@ def _attach(df: DataFrame, *calls: Call) -> DataFrame:
     named = [(c.out, c.column_type) for c in calls] + [(e, T.StringType()) for e in dict.fromkeys(reasons)]
     schema = T.StructType([*df.schema.fields, *[T.StructField(name, kind) for name, kind in named]])
     order = [f.name for f in schema.fields]
+    rows_at_once, bytes_at_once = ROWS_AT_ONCE, BYTES_AT_ONCE
     # Plain tuples, so that tasks need nothing of this package.
     plans = [(c.inputs, c.out, to_arrow_type(c.kind), c.factory, c.nested, c.error, c.retries) for c in calls]
 
@@ -103,7 +110,14 @@ def _attach(df: DataFrame, *calls: Call) -> DataFrame:
                     told[row[i]] = reason
             return [None if told[r] is not None else value for r, value in zip(row.tolist(), values)]
 
-        for batch in batches:
+        def pieces() -> Iterator[Any]:
+            for batch in batches:
+                size = batch.nbytes // max(1, len(batch)) + 1
+                step = max(1, min(rows_at_once, bytes_at_once // size))
+                for at in range(0, len(batch), step):
+                    yield batch.slice(at, step)
+
+        for batch in pieces():
             columns = dict(zip(batch.schema.names, batch.columns))
             for model, (inputs, out, kind, _, nested, error, retries) in zip(models, plans):
                 given = [columns[name] for name in inputs]
@@ -124,6 +138,7 @@ def _attach(df: DataFrame, *calls: Call) -> DataFrame:
                 columns[out] = made
             yield pa.RecordBatch.from_arrays([columns[name] for name in order], order)
 
+    short_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -163,3 +163,20 @@ def test_answers_that_are_too_few_are_failures(spark):
     short = lambda: lambda prompts, samples: ["one"][: len(prompts) - 1]
     got = G.batch_generate(spark.createDataFrame([("a",), ("b",)], "p string"), "p", "out", short, error="why").collect()
     assert {r.why for r in got} == {"ValueError: 0 answers to 1 prompts"}
+
+
+def test_python_takes_up_few_rows_at_a_time(spark):
+    """However many rows a task gets, a model sees bounded pieces of them, and all of them in order."""
+    from phrasewell.operators import generate as G
+
+    def sizes():
+        return lambda prompts, samples: [f"{len(prompts)} {sum(map(len, prompts))}" for _ in prompts]
+
+    def lengths():
+        return lambda texts: [[float(len(texts)), float(t.split()[0])] for t in texts]
+
+    df = spark.range(0, 9000, 1, 1).selectExpr("id", "concat(id, IF(id < 3000, ' x', repeat(' long', 10000))) AS text")
+    seen = [tuple(map(int, r.a.split())) for r in G.batch_generate(df, "text", "a", sizes).collect()]
+    assert len(seen) == 9000 and max(n for n, _ in seen) <= 256 and max(b for _, b in seen) < 6_000_000
+    vectors = G.encode_texts(df, ("text", "v", lengths)).select("id", "v").collect()
+    assert all(r.v[1] == r.id and r.v[0] <= 256 for r in vectors) and len(vectors) == 9000
