@@ -20,10 +20,8 @@ def preprocess(
     rows = union_splits(*splits)
     if limit is not None:
         rows = head_n(rows, limit, key)
-    resolved = resolve_entities(rows, key, text, labels)
-    return rows.join(
-        resolved.select(
-            key, F.col("translated").alias("sparql_wikidata_translated"), "descriptions"
-        ),
-        key,
+    others = tuple(c for c in rows.columns if c != key)
+    resolved = resolve_entities(rows.where(F.col(key).isNotNull()), key, text, labels, keep=others)
+    return resolved.select(
+        key, *others, F.col("translated").alias("sparql_wikidata_translated"), "descriptions"
     )
