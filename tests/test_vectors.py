@@ -127,3 +127,14 @@ def test_texts_are_counted_where_they_lie(spark):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert all("t#" not in line for line in plan.splitlines() if "Exchange" in line)
     assert {r.k: round(sum(x * x for x in r.vector), 9) for r in made.collect()}[1] == 1
+
+
+def test_mean_pool_has_more_tasks_for_more_rows(spark):
+    """A table over the limit of which few tokens are asked for is reduced and broadcast; sums of vectors are not shuffled."""
+    rows = spark.range(2000).selectExpr("id AS k", "0 AS pos", "id % 5 AS tok")
+    table = spark.range(5000).selectExpr("id AS tok", "array(CAST(id AS DOUBLE), 1D) AS vector")
+    for limit in (5_000, 10**7):
+        made = C.mean_pool(rows, table, "k", "tok", "pos", 2, broadcast_bytes=limit, at_once=100)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning") == 1 and ", 20)" in plan and "BroadcastHashJoin" in plan
+        assert {r.k: r.vector for r in made.collect()} == {i: [i % 5, 1.0] for i in range(2000)}
