@@ -138,3 +138,16 @@ def test_mean_pool_has_more_tasks_for_more_rows(spark):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert plan.count("hashpartitioning") == 1 and ", 20)" in plan and "BroadcastHashJoin" in plan
         assert {r.k: r.vector for r in made.collect()} == {i: [i % 5, 1.0] for i in range(2000)}
+
+
+def test_a_large_cluster_is_ordered_in_more_tasks(spark):
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(300, 6))
+    df = spark.createDataFrame([(1, i, p.tolist()) for i, p in enumerate(points)], "g int, id int, v array<double>")
+    made = C.cluster_distance(df, "g", "id", "v", exact_rows=100, buckets=7, directions=60, at_once=1000)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert ", 18)" in plan and plan.count("ArrowEvalPython") == 1
+    i, j = np.triu_indices(300, 1)
+    seen = np.sort(points @ C._directions(6, 60).T, axis=0)
+    wanted = (seen * (2 * np.arange(1, 301) - 301)[:, None]).sum(axis=0).mean() / len(i)
+    assert made.collect()[0].avg_pairwise_distance == pytest.approx(wanted)
