@@ -19,6 +19,9 @@ from phrasewell.llm.common import BLOCK_BYTES, short_batches, stored
 UNKNOWN = "und"
 LONGEST = 3
 
+#: Texts of the sample that the driver compares with the landmarks at a time.
+BLOCK_ROWS = 64
+
 #: Codes of the n-grams of up to three bytes: those of one length follow those of the length before.
 _FIRST = (0, 1 << 8, (1 << 8) + (1 << 16))
 CODES = (1 << 8) + (1 << 16) + (1 << 24)
@@ -126,7 +129,7 @@ def fit(
 
     rows = sorted(tuple(r) for r in texts.select("key", "lang", "text").mapInArrow(bits, "key string, lang string, bits binary").collect())
     languages = sorted({lang for _, lang, _ in rows})
-    present = np.array([np.unpackbits(np.frombuffer(b, np.uint8), count=len(codes)) for *_, b in rows], np.float64)
+    present = np.unpackbits(np.frombuffer(b"".join(b for *_, b in rows), np.uint8).reshape(len(rows), -1), axis=1, count=len(codes))
     own = np.array([languages.index(lang) for _, lang, _ in rows])
     return Model(languages, codes, _ridge(present, own, len(languages), landmarks, ridge).astype(np.float32))
 
@@ -136,11 +139,14 @@ def _unit(present: np.ndarray) -> np.ndarray:
 
 
 def _ridge(present: np.ndarray, own: np.ndarray, n: int, landmarks: int, ridge: float) -> np.ndarray:
-    """Weights per n-gram: solves (K'K + ridge * rows * M) a = K'Y with K to the landmarks and M among them."""
-    rows = _unit(present)
+    """Weights per n-gram: solves (K'K + ridge * rows * M) a = K'Y with K to the landmarks and M among them.
+
+    Besides the landmarks a block of rows at a time is held in double precision.
+    """
     picked = np.concatenate([np.flatnonzero(own == c)[:landmarks] for c in range(n)])
-    points = rows[picked]
-    to, among = rows @ points.T, points @ points.T
+    points = _unit(present[picked])
+    to = np.concatenate([_unit(present[at : at + BLOCK_ROWS]) @ points.T for at in range(0, len(own), BLOCK_ROWS)])
+    among = points @ points.T
     targets = np.where(own[:, None] == np.arange(n)[None, :], 1.0, -1.0)
     # Each language weighs the same, however many texts of it there are.
     weight = (len(own) / (n * np.bincount(own, minlength=n)))[own][:, None]

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -56,6 +57,28 @@ def test_weights_give_kernel_ridge_regression():
     assert np.allclose(language._unit(present) @ weights, to @ a, atol=1e-6)
 
 
+def test_the_driver_holds_no_number_per_text_and_ngram(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = language.sample(docs, "lang", "text", 400, "doc_id").count()
+    tracemalloc.start()
+    try:
+        model = language.fit(docs, landmarks=16)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < texts * len(model.codes) * 8 / 2
+
+
+def test_weights_do_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(5)
+    present, own = (rng.random((90, 40)) < 0.3).astype(np.uint8), np.arange(90) % 3
+    weights = []
+    for rows in (7, 90):
+        monkeypatch.setattr(language, "BLOCK_ROWS", rows)
+        weights.append(language._ridge(present, own, 3, 8, 0.01))
+    assert np.allclose(*weights, atol=1e-9)
+
+
 def test_presence_counts_the_whole_text(monkeypatch):
     monkeypatch.setattr(language, "BLOCK_BYTES", 16)
     text = "abc " * 30 + "xyz"
